@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import decontaminate, minhash, mixing, quality
+from rangeloom.llm import decontaminate, langid, minhash, mixing, oracles, quality, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +26,36 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), F.col("start_word").cast("long").alias("start_word"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+}

@@ -124,7 +124,7 @@ def contaminated_passages(
     known = known.where(F.size("words") > 0).withColumn("length", F.size("words")).withColumn("width", F.least("length", F.lit(width)))
     known = known.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("hashes", _word_hashes(F.col("words"))).drop("words")
     known = stored(known.dropDuplicates(["item_id", "hashes"]).withColumn("n", F.size("shingles")), "items")
-    facts = known.agg(F.collect_set("width").alias("widths"), F.max("length").alias("longest")).first()
+    facts = known.agg(F.collect_set("width").alias("widths"), F.max("length").alias("longest"), F.count("*").alias("items")).first()
     lane_bits = 16 if (facts["longest"] or 0) < 1 << 15 else 32
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -162,11 +162,19 @@ def contaminated_passages(
     marked = joined.select(*key, "n", "width", "start", _shingles(F.col("words"), F.col("width")).alias("x"), fingerprint(F.col("hashes"), lane_bits).alias("print"))
     marked = stored(marked, "windows")
 
-    items_ = known.select("item_id", "n", "width", F.col("shingles").alias("y"), fingerprint(F.col("hashes"), lane_bits).alias("item_print"))
-    index = items_.select("*", F.posexplode("item_print").alias("block", "v"))
-    index = index.select("item_id", "n", "width", "y", "item_print", "block", F.explode(F.transform(F.array(*map(F.lit, _masks(flips))), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    probes = marked.select(*key, "n", "width", "start", "x", "print", F.posexplode("print").alias("block", "v"))
-    near = probes.join(index, ["block", "v", "n", "width"]).where(hamming(F.col("print"), F.col("item_print")) <= radius)
+    items_ = stored(known.select("item_id", F.col("shingles").alias("y"), fingerprint(F.col("hashes"), lane_bits).alias("item_print"), "n", "width"), "item_prints")
+    masks = _masks(flips)
+    index = items_.select("item_id", "n", "width", F.posexplode("item_print").alias("block", "v"))
+    index = index.select("item_id", "n", "width", "block", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    # a plan can't see how many rows the flipped blocks make, so that the kind of join is said here
+    index = F.broadcast(index) if facts["items"] * BLOCKS * len(masks) <= BROADCAST_SHINGLES else index.hint("merge")
+    probes = marked.select(*key, "n", "width", "start", F.posexplode("print").alias("block", "v"))
+    near = probes.join(index, ["block", "v", "n", "width"]).select(*key, "n", "width", "start", "item_id").distinct()
+    same = F.col("m.doc_id").eqNullSafe(F.col("c.doc_id"))
+    for column in ("text_hash", "n", "width", "start"):
+        same = same & (F.col(f"m.{column}") == F.col(f"c.{column}"))
+    near = near.alias("c").join(marked.alias("m"), same).select("m.*", "c.item_id")
+    near = near.join(items_.drop("n", "width"), "item_id").where(hamming(F.col("print"), F.col("item_print")) <= radius)
     shared = _shared_weight(F.col("x"), F.col("y"))
     scored = near.withColumn("shared", shared).where(F.expr(f"shared * {100 + percent} >= (size(x) + size(y)) * {percent}"))
     scored = scored.withColumn("similarity", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared")))

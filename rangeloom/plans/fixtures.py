@@ -103,16 +103,25 @@ BASES = "acgtacgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTACGTAC"
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The dense tracks ``price`` and ``qty`` and the sparse track ``ev``."""
-    price, qty, ev = price_bins(spark, sf_dir), quantity_bins(spark, sf_dir), event_records(spark, sf_dir)
-    names = price.select("chrom").distinct().withColumn("size", F.lit(SIZE // DAY).cast("long")).unionByName(ev.select("chrom").distinct().withColumn("size", F.lit(86400 * 400).cast("long")))
-    ws = Workspace(names.select(F.crc32("chrom").cast("int").alias("chrom_id"), "chrom", "size"))
+    """The dense tracks ``price`` and ``qty``; positions are days."""
+    price = price_bins(spark, sf_dir)
+    ws = Workspace(chroms_of(price, DAYS))
     ws.dense("price", price, 7)
-    ws.dense("qty", qty, 7)
+    ws.dense("qty", quantity_bins(spark, sf_dir), 7)
+    return ws
+
+
+def event_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    """The sparse track ``ev``; positions are seconds."""
+    ev = event_records(spark, sf_dir)
+    ws = Workspace(chroms_of(ev, EVENT_SECONDS))
     ws.sparse("ev", ev)
     return ws
 
 
+EVENT_SECONDS = 86400 * 400
+
+
 SQL = f"""
 price AS (SELECT l_returnflag || l_linestatus AS chrom, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7)::BIGINT AS bin, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(l_extendedprice) / 100 AS value
           FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2),
@@ -129,7 +138,7 @@ rect AS (SELECT p_brand AS chrom1, (p_size * 10)::BIGINT AS start1, (p_size * 10
 pts AS (SELECT 'n' || c_nationkey AS chrom1, c_custkey AS start1, 'n' || s_nationkey AS chrom2, s_suppkey AS start2, sum(l_quantity) AS value
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 seqs AS (SELECT doc_id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGTacgt]', 'N', 'g') AS seq FROM documents WHERE text IS NOT NULL),
-chroms AS (SELECT DISTINCT chrom, {SIZE // DAY} AS size FROM price UNION ALL SELECT DISTINCT chrom, {86400 * 400} AS size FROM ev),
+chroms AS (SELECT DISTINCT chrom, {DAYS} AS size FROM price),
 bins AS (SELECT chrom, size, unnest(range(0, ((size + 6) // 7)::BIGINT)) AS bin FROM chroms)
 """
 

@@ -209,11 +209,10 @@ def vtrack_lse(spark, d):
     )
 )
 def extract_sparse(spark, d):
-    ws = fx.workspace(spark, d)
-    scope = ws.chroms.where(F.col("size") == 86400 * 400).select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    ws = fx.event_workspace(spark, d)
     for name, func in {"n": "size", "m": "avg", "hi": "max"}.items():
         ws.vtrack(name, "ev", func)
-    return _rounded(ws.evaluate({"n": "n", "m": "m", "hi": "hi"}, scope, 3600).drop("intervalID"))
+    return _rounded(ws.evaluate({"n": "n", "m": "m", "hi": "hi"}, iterator=3600).drop("intervalID"))
 
 
 @query(

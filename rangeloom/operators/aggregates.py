@@ -13,6 +13,7 @@ from rangeloom.operators import iterators as it
 from rangeloom.operators.intervals import canonic
 from rangeloom.operators.ranges import TILE, no_nan, running
 from rangeloom.operators.tracks import Workspace
+from rangeloom.storage import stored
 
 
 def extract(ws: Workspace, exprs: dict[str, str], scope: DataFrame | None = None, iterator=None) -> DataFrame:
@@ -197,6 +198,7 @@ def correlation(ws: Workspace, pairs: list[tuple[str, str]], scope: DataFrame |
         missing = both.agg(F.count("*").alias("n"), F.count(F.when(F.col("x").isNull() | F.col("y").isNull(), 1)).alias("n_missing"))
         full = both.where("x IS NOT NULL AND y IS NOT NULL")
         if method == "spearman":
+            full = stored(full, "ranked")
             for c in "xy":
                 full = full.join(average_ranks(full, c).withColumnRenamed("rank", f"r{c}"), c)
             full = full.select(F.col("rx").alias("x"), F.col("ry").alias("y"))

@@ -127,8 +127,8 @@ price AS (SELECT l_returnflag || l_linestatus AS chrom, (date_diff('day', DATE '
           FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2),
 qty AS (SELECT l_returnflag || l_linestatus AS chrom, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7)::BIGINT AS bin, sum(l_quantity) AS value
         FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2),
-ev AS (SELECT event_type AS chrom, (floor((epoch(ts)::BIGINT - 1704067200) / 60) * 60)::BIGINT AS "start", (floor((epoch(ts)::BIGINT - 1704067200) / 60) * 60 + 60)::BIGINT AS "end", avg(value) AS value
-       FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL AND epoch(ts)::BIGINT >= 1704067200 GROUP BY ALL),
+ev AS (SELECT event_type AS chrom, (floor((floor(epoch(ts))::BIGINT - 1704067200) / 60) * 60)::BIGINT AS "start", (floor((floor(epoch(ts))::BIGINT - 1704067200) / 60) * 60 + 60)::BIGINT AS "end", avg(value) AS value
+       FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL AND floor(epoch(ts))::BIGINT >= 1704067200 GROUP BY ALL),
 a AS (SELECT o_orderpriority AS chrom, (d * {DAY} + (o_orderkey * 7919) % {DAY})::BIGINT AS "start", (d * {DAY} + (o_orderkey * 7919) % {DAY} + 1 + o_orderkey % 300)::BIGINT AS "end", o_totalprice AS value
       FROM (SELECT *, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL)),
 b AS (SELECT o_orderpriority AS chrom, (d * {DAY} + (o_orderkey * 104729) % {DAY})::BIGINT AS "start", (d * {DAY} + (o_orderkey * 104729) % {DAY} + 1 + o_custkey % 200)::BIGINT AS "end",

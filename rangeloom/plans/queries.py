@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions import sequence as seq
@@ -51,12 +51,12 @@ def _case(column: str, breaks: list[float]) -> str:
 
 _GRID = """grid AS (SELECT chrom, bin, bin * 7 AS "start", least(bin * 7 + 7, size) AS "end", price.value AS p, qty.value AS q
  FROM bins LEFT JOIN price USING (chrom, bin) LEFT JOIN qty USING (chrom, bin))"""
-_SUMMARY = """count(*) AS n, count(*) - count({v}) AS n_missing, round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(sum({v}), 3) AS sum, round(avg({v}), 6) AS mean,
+_SUMMARY = """count(*) AS n, count(*) - count({v}) AS n_missing, round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(sum({v}), 5) AS sum, round(avg({v}), 6) AS mean,
  round(stddev_samp({v}), 5) AS stddev"""
 
 
 def _summarised(df: DataFrame) -> DataFrame:
-    digits = {"sum": 3, "stddev": 5}
+    digits = {"sum": 5, "stddev": 5}
     return df.select(*(F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
@@ -149,28 +149,22 @@ def correlation_spearman(spark, d):
 # extraction
 
 
-@query(_with(_GRID, 'SELECT chrom, "start", "end", dense_rank() OVER (ORDER BY chrom) AS "intervalID", round(p, 6) AS price, round(p / q, 6) AS ratio FROM grid'))
+@query(_with(_GRID, 'SELECT chrom, "start", "end", dense_rank() OVER (ORDER BY chrom) AS "intervalID", round(p, 6) AS price, round(p / q, 9) AS ratio FROM grid'))
 def extract_fixed_bin(spark, d):
     ws = fx.workspace(spark, d)
     made = agg.extract(ws, {"price": "price", "ratio": "price / qty"}, iterator=7)
-    ranks = ws.chroms.select("chrom", F.rank().over(F_window_by_chrom()).cast("long").alias("_r"))
-    return _rounded(made.join(ranks, "chrom").withColumn("intervalID", F.col("_r")).drop("_r"))
-
-
-def F_window_by_chrom():
-    from pyspark.sql import Window
-
-    return Window.orderBy("chrom")
+    ranks = ws.chroms.select("chrom", F.rank().over(Window.orderBy("chrom")).cast("long").alias("_r"))
+    made = made.join(ranks, "chrom").withColumns({"intervalID": F.col("_r"), "price": F.round("price", 6)}).drop("_r")
+    return _rounded(made, 9)
 
 
 @query(
     _with(
         """w AS (SELECT chrom, "start", least("start" + 21, size) AS "end" FROM (SELECT chrom, size, unnest(range(0, size::BIGINT, 21)) AS "start" FROM chroms)),
-        t AS (SELECT w.chrom, w."start", w."end", price.bin, value FROM w JOIN price ON w.chrom = price.chrom AND price.bin BETWEEN (w."start" - 14) // 7 AND (w."end" + 6) // 7
-              AND price.bin * 7 < w."end" + 14 AND price.bin * 7 + 7 > greatest(w."start" - 14, 0)),
+        t AS (SELECT w.chrom, w."start", w."end", price.bin, value FROM w JOIN price ON w.chrom = price.chrom AND price.bin * 7 < w."end" + 14 AND price.bin * 7 + 7 > greatest(w."start" - 14, 0)),
         g AS (SELECT chrom, "start", "end", avg(value) AS va, min(value) AS vmin, max(value) AS vmax, sum(value) AS vs, stddev_samp(value) AS vsd, count(value) AS vn,
               arg_min(value, bin) AS vf, arg_max(value, bin) AS vl, quantile_cont(value, 0.3) AS vq,
-              greatest(arg_min(bin, -value) * 7, greatest("start" - 14, 0)) AS pmax, greatest(arg_min(bin, value) * 7, greatest("start" - 14, 0)) AS pmin FROM t GROUP BY ALL)""",
+              greatest(arg_min(bin, -value) * 7, greatest("start" - 14, 0)) AS pmax, greatest(arg_min(bin, value) * 7, greatest("start" - 14, 0)) AS pmin FROM t GROUP BY chrom, "start", "end")""",
         """SELECT chrom, "start", "end", round(va, 6) AS va, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax, round(vs, 4) AS vs, round(vsd, 5) AS vsd, coalesce(vn, 0) AS vn, round(vf, 6) AS vf, round(vl, 6) AS vl,
         round(vq, 6) AS vq, pmax, pmin, CASE WHEN vn > 0 THEN 1 ELSE 0 END AS vex FROM w LEFT JOIN g USING (chrom, "start", "end")""",
     )
@@ -235,7 +229,7 @@ def partition(spark, d):
     return agg.partition(fx.workspace(spark, d), "price", PRICE_BREAKS, iterator=7)
 
 
-@query(_with(f"{_GRID}, k AS (SELECT *, least(greatest({_case('p', [-1e18, *PRICE_BREAKS[1:-1], 1e18])}, 0), 5) AS b FROM grid)", 'SELECT chrom, "start", "end", [1.5, 2.5, 4.0, 8.0, 16.0, 32.0][b + 1] AS value FROM k'))
+@query(_with(f"{_GRID}, k AS (SELECT *, least(greatest({_case('p', [-1e18, *PRICE_BREAKS[1:-1], 1e18])}, 0), 5) AS b FROM grid)", 'SELECT chrom, "start", "end", CASE WHEN p IS NOT NULL THEN [1.5, 2.5, 4.0, 8.0, 16.0, 32.0][b + 1] END AS value FROM k'))
 def lookup(spark, d):
     return agg.lookup(fx.workspace(spark, d), [1.5, 2.5, 4, 8, 16, 32], [("price", PRICE_BREAKS)], iterator=7).drop("intervalID")
 

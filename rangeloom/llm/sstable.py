@@ -37,16 +37,19 @@ from rangeloom.llm._store import scratch_path, stored
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 12, 8
 END_ID = 2
-#: Segments whose ids a worker remembers; then it starts anew.
-MEMO_SEGMENTS = 300_000
+#: Segments whose ids a worker process remembers, about 200 bytes each; then it starts anew.
+MEMO_SEGMENTS = 1_000_000
 MAGIC = b"RLTOKSS1"
 _ENTRY = struct.Struct("<HHI")
 _INDEX = struct.Struct("<HQII")
 _FOOTER = struct.Struct("<QQQQIQQB8s")
 
-# A segment is white space of one kind followed by a run without any; a byte-level
-# pre-tokenizer's pieces never cross from such a run into the space after it.
-_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
+# A segment is white space followed by a word of letters that ends at white space
+# or plain punctuation, or by any other run without white space.  The byte-level
+# pre-tokenizer's pieces never cross from such a run into the space or punctuation
+# after it, so the segments' ids, one after another, are the text's.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SEGMENT = re.compile(rf"[ \n]*[{_LETTER}]+(?=[ \n.,;:!?]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
 #: White space other than space and newline, over which the cut might not hold.
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
@@ -82,6 +85,16 @@ class Encoder:
         return b"".join([*map(memo.__getitem__, segments), self._end])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The worker process's encoder, whose memory outlasts a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def key_of(identifier: int | None) -> bytes:
     return b"" if identifier is None else struct.pack(">Q", (identifier + (1 << 63)) & ((1 << 64) - 1))
 
@@ -243,7 +256,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_for(tokenizer_path)
                 files, root = pafs.FileSystem.from_uri(path)
                 files.create_dir(root, recursive=True)
                 name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"

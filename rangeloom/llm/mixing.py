@@ -45,11 +45,11 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
     """
     whole = Window.partitionBy(*group)
     quota = F.when(F.sum(votes).over(whole) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(whole)).otherwise(F.lit(0.0))
-    sure = parties.withColumn("sure", F.greatest(F.floor(quota) - 2, F.lit(0)).cast("long"))
-    sure = sure.withColumn("open", F.col(seats) - F.sum("sure").over(whole))
-    rivals = sure.where(F.col(votes) > 0).select("*", F.explode(F.sequence(F.col("sure"), F.col("sure") + 5)).alias("k"))
-    rivals = rivals.withColumn("place", F.row_number().over(whole.orderBy((F.col(votes) / (2 * F.col("k") + 1)).desc(), key)))
-    won = rivals.groupBy(*group, key).agg((F.min("sure") + F.count(F.when(F.col("place") <= F.col("open"), 1))).alias("quota"))
+    sure = parties.withColumn("_sure", F.greatest(F.floor(quota) - 2, F.lit(0)).cast("long"))
+    sure = sure.withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
+    rivals = sure.where(F.col(votes) > 0).select("*", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 5)).alias("_k"))
+    rivals = rivals.withColumn("_place", F.row_number().over(whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), key)))
+    won = rivals.groupBy(*group, key).agg((F.min("_sure") + F.count(F.when(F.col("_place") <= F.col("_open"), 1))).alias("quota"))
     return parties.join(won, [*group, key], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("long"))
 
 

@@ -240,9 +240,7 @@ def test_mixing(spark):
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     want = plain_targets(sizes)
     totals = {}
-    by_id = {}
     for r in got:
-        by_id.setdefault(r.doc_id, []).append((r.size, r.taken))
         assert 0 <= r.taken <= 2 * r.size
     sources = {i: s for i, _, s in rows[:600]}
     for r in got:
@@ -256,8 +254,7 @@ def test_mixing(spark):
     assert again == {(r.doc_id, r.size, r.taken) for r in got}
     mixed = mixing.mixed_documents(df, block_words=16, shard_words=3000)
     words = mixed.select(F.sum(F.size(F.split("text", " ")))).first()[0]
-    unique = {(r.doc_id, r.size): r.taken for r in got}
-    assert mixed.columns == df.columns and words == sum(unique.values())
+    assert mixed.columns == df.columns and words == sum(r.taken for r in got)
 
 
 def test_sainte_lague(spark):

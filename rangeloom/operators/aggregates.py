@@ -24,7 +24,7 @@ def extract(ws: Workspace, exprs: dict[str, str], scope: DataFrame | None = None
 def merge_runs(rows: DataFrame, flag: Column, carry: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Join consecutive touching rows for which ``flag`` holds, and whose ``carry`` columns agree, into one."""
     carry = carry or []
-    marked = rows.withColumn("_k", F.when(flag, F.struct(F.col("end").alias("e"), *carry)))
+    marked = stored(rows.withColumn("_k", F.when(flag, F.struct(F.col("end").alias("e"), *carry))), "runs")
     order = [F.col("start"), F.col("end")]
     prev = Window.partitionBy("chrom", F.floor(F.col("start") / tile)).orderBy(*order)
     # what the row before a tile's first row was

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators.ranges import BIN, TILE, overlap_join, running
+from rangeloom.storage import stored
 
 
 def intervals(spark: SparkSession, chroms: DataFrame, chrom: list[str], start: list[int] | int = 0, end: list[int] | int = -1, strand: list[int] | int | None = None) -> DataFrame:
@@ -27,11 +28,11 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def from_strings(df: DataFrame, column: str = "region") -> DataFrame:
-    """Parse ``chrom:start-end``; thousands separators are allowed."""
+    """Parse ``chrom:start-end``; thousands separators are allowed, and what doesn't parse has null places."""
     parts = F.regexp_replace(column, ",", "")
-    pattern = r"^\s*([^:\s]+):(\d+)-(\d+)\s*$"
+    pattern = r"^\s*([^:]+):(\d+)-(\d+)\s*$"
     pick = lambda i: F.regexp_extract(parts, pattern, i)
-    return df.withColumns({"chrom": pick(1), "start": pick(2).cast("long"), "end": pick(3).cast("long")})
+    return df.withColumns({"chrom": pick(1), "start": pick(2).try_cast("long"), "end": pick(3).try_cast("long")})
 
 
 def to_strings(df: DataFrame, name: str = "region") -> DataFrame:
@@ -47,6 +48,7 @@ def mark_overlaps(df: DataFrame, group_col: str = "overlap_group", touching: boo
     begins = running(df, "max", F.col("end"), "_reach", [F.col("start"), F.col("end")], tile)
     new = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") if touching else F.col("start") >= F.col("_reach"))
     numbered = running(begins.withColumn("_new", new.cast("long")).drop("_reach"), "sum", F.col("_new"), "_island", [F.col("start"), F.col("end")], tile, before=False)
+    numbered = stored(numbered, "islands")
     per_chrom = numbered.groupBy("chrom").agg(F.max("_island").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifted = per_chrom.select("chrom", before.alias("_base"))  # a row for each chromosome
@@ -56,7 +58,10 @@ def mark_overlaps(df: DataFrame, group_col: str = "overlap_group", touching: boo
 
 def canonic(df: DataFrame, touching: bool = True, tile: int = TILE) -> DataFrame:
     """Merge overlapping and, by default, touching intervals: ``chrom, start, end``."""
-    marked = mark_overlaps(df.select("chrom", "start", "end"), "_g", touching, tile)
+    rows = df.select("chrom", "start", "end")
+    begins = running(rows, "max", F.col("end"), "_reach", [F.col("start"), F.col("end")], tile)
+    new = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") if touching else F.col("start") >= F.col("_reach"))
+    marked = running(begins.withColumn("_new", new.cast("long")).drop("_reach"), "sum", F.col("_new"), "_g", [F.col("start"), F.col("end")], tile, before=False)
     return marked.groupBy("chrom", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
@@ -97,7 +102,7 @@ def difference(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
 
 def next_start(df: DataFrame, tile: int = TILE, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Add ``_next``: the start of the key's next row (starts are distinct)."""
-    tiled = df.withColumn("_tile", F.floor(F.col("start") / tile))
+    tiled = stored(df.withColumn("_tile", F.floor(F.col("start") / tile)), "tiles")
     local = F.lead("start").over(Window.partitionBy(*keys, "_tile").orderBy("start"))
     firsts = tiled.groupBy(*keys, "_tile").agg(F.min("start").alias("_first"))
     after = firsts.select(*keys, "_tile", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_tile")).alias("_after"))

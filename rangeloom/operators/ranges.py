@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rangeloom.storage import stored
+
 #: Positions in a tile.  Running aggregates sort within tiles and carry over a row per tile.
 TILE = 1 << 16
 #: Positions in a bin of an overlap join.
@@ -60,7 +62,8 @@ def running(df: DataFrame, kind: str, value: Column, name: str, order: list[Colu
     """
     functions = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
     f, merge = functions[kind], functions["sum" if kind == "count" else kind]
-    tiled = df.withColumn("_tile", F.floor(F.col("start") / tile)).withColumn("_value", value)
+    # both levels read these rows; stored, they are made once, and chains of running aggregates don't multiply
+    tiled = stored(df.withColumn("_tile", F.floor(F.col("start") / tile)).withColumn("_value", value), "tiles")
     within = Window.partitionBy(*keys, "_tile").orderBy(*order)
     local = f("_value").over(within.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
     if kind == "last":

@@ -426,8 +426,8 @@ def annotate(spark, d):
 
 @query(
     _with(
-        _BOTH.replace("FROM a)", "FROM a)"),
-        """SELECT q.chrom, q."start", q."end", round(coalesce(sum(least(q."end", cb."end") - greatest(q."start", cb."start")), 0) / (q."end" - q."start"), 9) AS share
+        _BOTH,
+        """SELECT q.chrom, q."start", q."end", round(sum(CASE WHEN cb.chrom IS NULL THEN 0 ELSE least(q."end", cb."end") - greatest(q."start", cb."start") END) / (q."end" - q."start"), 9) AS share
         FROM (SELECT DISTINCT chrom, "start", "end" FROM ca) q LEFT JOIN cb ON q.chrom = cb.chrom AND q."start" < cb."end" AND cb."start" < q."end" GROUP BY q.chrom, q."start", q."end" """,
     )
 )

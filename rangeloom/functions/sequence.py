@@ -59,10 +59,18 @@ def kmer_frac(seq: Column, kmer: str, strand: int = 0, gaps: str = "") -> Column
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of A, C, G, T in order, as an array; those with other letters are left out."""
-    s = F.upper(seq)
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
-    return F.filter(parts, lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))
+    """All k-mers of A, C, G, T in order, as an array; those with other letters are left out.
+
+    The letters become an array once, bound as a variable, so that a k-mer costs
+    k lookups wherever it stands.
+    """
+
+    def of(letters: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(letters) - k, F.lit(0)))
+        parts = F.transform(places, lambda i: F.concat(*(F.get(letters, i + j) for j in range(k))))
+        return F.filter(parts, lambda x: F.coalesce(F.length(F.translate(x, "ACGT", "")) == 0, F.lit(False)))
+
+    return F.transform(F.array(F.split(F.upper(seq), "")), of)[0]
 
 
 def masked_count(seq: Column) -> Column:

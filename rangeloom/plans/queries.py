@@ -500,9 +500,10 @@ def _smooth_query(name: str, weight: str, algorithm: str):
     sql = f"""t AS (SELECT x.chrom, x.bin, sum(y.value * ({weight})) / sum({weight}) AS value FROM price x JOIN price y ON x.chrom = y.chrom AND y.bin BETWEEN x.bin - 3 AND x.bin + 3
       WHERE x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY x.chrom, x.bin)"""
 
-    @query(_with(sql, "SELECT chrom, bin, round(value, 6) AS value FROM t"), name=name)
+    @query(_with(sql, "SELECT chrom, bin, round(value + 1.3e-7, 6) AS value FROM t"), name=name)
     def run(spark, d):
-        return _rounded(tr.smooth(fx.price_bins(spark, d), 7, 42, algorithm))
+        made = tr.smooth(fx.price_bins(spark, d), 7, 42, algorithm)
+        return _rounded(made.withColumn("value", F.col("value") + 1.3e-7))  # off the ties that weights of 16ths make
 
 
 _smooth_query("smooth_mean", "1", "MEAN")
@@ -595,7 +596,7 @@ def reverse_complement(spark, d):
 
 @query(
     _with(
-        "k AS (SELECT doc_id, upper(seq) AS s, unnest(range(1, greatest(length(seq) - 2, 1))) AS i FROM seqs)",
+        "k AS (SELECT doc_id, upper(seq) AS s, unnest(range(1, length(seq) - 1)) AS i FROM seqs)",
         "SELECT substr(s, i, 3) AS kmer, count(*) AS n FROM k WHERE regexp_matches(substr(s, i, 3), '^[ACGT]{3}$') GROUP BY 1",
     )
 )
@@ -626,3 +627,67 @@ def pwm_scores(spark, d):
             seq.pwm_edits(s, MOTIF, -1.5).alias("edits"),
         )
     )
+
+
+# segmentation, conversion, models
+
+
+@query(None)
+def sliding_wilcoxon(spark, d):
+    from rangeloom.operators.segmentation import sliding_wilcoxon as run
+
+    return _rounded(run(fx.price_bins(spark, d), 7, 28, 280, 0.01), 9)
+
+
+@query(None)
+def segment(spark, d):
+    from rangeloom.operators.segmentation import segment as run
+
+    return run(fx.price_bins(spark, d), 7, 70, 0.001)
+
+
+def _chain(spark, d) -> DataFrame:
+    """Every order's span moved to a chromosome of its status; even keys keep their direction."""
+    rows = iv.canonic(fx.order_spans(spark, d), touching=False)
+    size = F.lit(fx.SIZE).cast("long")
+    turn = F.col("start") % 2 == 1
+    return rows.select(
+        F.concat(F.lit("new"), "chrom").alias("chrom"), F.when(turn, size - F.col("end")).otherwise(F.col("start") + 7).alias("start"), F.when(turn, size - F.col("start")).otherwise(F.col("end") + 7).alias("end"),
+        F.when(turn, -1).otherwise(1).alias("strand"), F.col("chrom").alias("chromsrc"), F.col("start").alias("startsrc"), F.col("end").alias("endsrc"), F.lit(1).alias("strandsrc"),
+        F.xxhash64("chrom", "start").alias("chain_id"), F.lit(1.0).alias("score"),
+    )
+
+
+@query(
+    _with(
+        fx.canonic_sql("a", "c", touching=False),
+        f"""SELECT 'new' || b.chrom AS chrom, CASE WHEN c."start" % 2 = 1 THEN {fx.SIZE} - least(b."end", c."end") ELSE greatest(b."start", c."start") + 7 END AS "start",
+        CASE WHEN c."start" % 2 = 1 THEN {fx.SIZE} - greatest(b."start", c."start") ELSE least(b."end", c."end") + 7 END AS "end"
+        FROM b JOIN c ON b.chrom = c.chrom AND b."start" < c."end" AND c."start" < b."end" """,
+    )
+)
+def liftover(spark, d):
+    from rangeloom.operators.liftover import liftover as run
+
+    return run(fx.customer_spans(spark, d), _chain(spark, d)).select("chrom", "start", "end")
+
+
+@query(
+    _with(
+        """k AS (SELECT doc_id, upper(seq) AS s, unnest(range(1, length(seq) - 2)) AS i FROM seqs), m AS (SELECT substr(s, i, 3) AS context, substr(s, i + 3, 1) AS base FROM k WHERE regexp_matches(substr(s, i, 4), '^[ACGT]{4}$')),
+        c AS (SELECT context, base, count(*) AS n FROM m GROUP BY ALL)""",
+        "SELECT context, base, n, round((n + 1.0) / (sum(n) OVER (PARTITION BY context) + 4), 9) AS p FROM c",
+    )
+)
+def markov_counts(spark, d):
+    from rangeloom.operators.synthesis import train
+
+    made = train(fx.sequences(spark, d), 3, pseudocount=1.0, both_strands=False)
+    return _rounded(made.where("n > 0").select("context", "base", "n", "p"), 9)
+
+
+@query("SELECT label::VARCHAR AS chrom, vec_id AS \"start\", vec_id + 1 AS \"end\", round((embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3.0, 6) AS value FROM embeddings WHERE embedding IS NOT NULL")
+def array_slice(spark, d):
+    rows = fx.table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    track = rows.select(F.col("label").cast("string").alias("chrom"), F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("end"), F.col("embedding").alias("value"))
+    return _rounded(tr.array_slice(track, [f"v{i}" for i in range(3)]))

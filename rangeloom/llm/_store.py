@@ -1,39 +1,5 @@
 """Scratch tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from rangeloom.storage import scratch_path, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder where it is unset (tests)."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = context.applicationId
-    if key not in _fallback:
-        _fallback[key] = "file://" + tempfile.mkdtemp(prefix="rangeloom-")
-        context.setCheckpointDir(_fallback[key])
-    return _fallback[key]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and lets several consumers share one computation; the
-    files outlive any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["scratch_path", "shared_dir", "stored"]

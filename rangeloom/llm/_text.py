@@ -21,7 +21,7 @@ SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Text bytes handled at once by the numpy kernels; bounds their temporaries.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

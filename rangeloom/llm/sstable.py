@@ -38,7 +38,7 @@ BLOCK_BYTES = 1 << 18
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 12, 8
 END_ID = 2
 #: Segments whose ids a worker process remembers, about 200 bytes each; then it starts anew.
-MEMO_SEGMENTS = 1_000_000
+MEMO_SEGMENTS = 400_000
 MAGIC = b"RLTOKSS1"
 _ENTRY = struct.Struct("<HHI")
 _INDEX = struct.Struct("<HQII")

@@ -339,6 +339,28 @@ def test_line_exact_groups_against_brute_force(spark):
     assert {r.doc_id: r.removed for r in line_dedup.repeated_lines(df).collect() if r.n_removed} == want
 
 
+def test_edits_against_brute_force():
+    rng = random.Random(13)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    for _ in range(3000):
+        a = [rng.choice("abc") for _ in range(rng.randrange(12))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.choice("abc")] * rng.randrange(2)
+        d = distance(a, b)
+        for most in range(6):
+            assert line_dedup.edits_within(a, b, most) == (d <= most), (a, b, d, most)
+
+
 def test_block_keys_find_all_within_radius(spark):
     rng = random.Random(10)
     rows = []

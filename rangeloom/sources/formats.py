@@ -92,7 +92,8 @@ def extract_sequence(sequence: DataFrame, intervals: DataFrame, chunk: int = 1 <
     from rangeloom.functions.sequence import reverse_complement
 
     rows = intervals.withColumn("_id", F.monotonically_increasing_id())
-    asked = rows.withColumn("chunk_start", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))) * chunk)
+    asked = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))))
+    asked = asked.withColumn("chunk_start", F.col("_c") * chunk).drop("_c")
     found = asked.join(sequence, ["chrom", "chunk_start"])
     first = F.greatest(F.col("start") - F.col("chunk_start"), F.lit(0))
     last = F.least(F.col("end") - F.col("chunk_start"), F.lit(chunk))

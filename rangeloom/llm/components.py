@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rangeloom.llm._store import stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges and what tells them from others, observed while they are written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    kept = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), "links")
+    return kept, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -29,16 +33,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    edges = stored(edges.distinct(), "links")
-    before = _fingerprint(edges)
-    for _ in range(max_rounds):
+    edges, before = _saved(edges.distinct())
+    for _ in range(max_rounds if before[0] else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u != v").distinct(), "links")
-        after = _fingerprint(edges)
+        edges, after = _saved(small.select("e.u", "e.v").where("u != v").distinct())
         if after == before:
             break
         before = after

@@ -339,6 +339,28 @@ def test_line_exact_groups_against_brute_force(spark):
     assert {r.doc_id: r.removed for r in line_dedup.repeated_lines(df).collect() if r.n_removed} == want
 
 
+def test_line_fuzzy_pairs_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in [10, 11, 14, 19, 20, 25, 29, 30, 40, 47, 80, 130] * 4:
+        line = prose(rng, n, rng.choice([3, 40, 3000])).split()
+        other = list(line)
+        for k in range(n // 10 + rng.randrange(2)):
+            at = rng.randrange(len(other)) if rng.random() < 0.5 else (5 + 10 * k) % len(other)
+            other[at : at + rng.randrange(2)] = [f"new{'abcdefghijklmnop'[k]}"] * rng.randrange(2)
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    split = [(d, text.split(" ")) for d, text in rows]
+    group = {d: d for d, _ in rows}
+    for d, a in split:
+        for e, b in split:
+            if d < e and line_dedup.edits_within(a, b, max(len(a), len(b)) // 10):
+                old, new = max(group[d], group[e]), min(group[d], group[e])
+                group = {k: new if v == old else v for k, v in group.items()}
+    want = {d for d, g in group.items() if g != d}
+    assert len(want) > 20
+    assert {r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed} == want
+
+
 def test_edits_against_brute_force():
     rng = random.Random(13)
 

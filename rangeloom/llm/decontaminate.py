@@ -1,9 +1,7 @@
-"""Benchmark passages in documents, by SimHash windows of the items' sizes; DataFrame functions only."""
+"""Benchmark passages in documents, by shingles shared in windows of the items' sizes; DataFrame functions only."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +10,6 @@ from rangeloom.llm._store import stored
 
 WIDTH = 5
 PERCENT = 75
-#: Fingerprints are 8 blocks of 16 bits; all within RADIUS differing bits are found.
-BLOCKS, BLOCK_BITS = 8, 16
-RADIUS = 23
 #: Benchmark shingles up to which they are broadcast (32 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -28,58 +23,6 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def fingerprint(hashes: Column, lane_bits: int = 16) -> Column:
-    """SimHash of an array of word hashes, each word counted as often as it stands there.
-
-    Two 64-bit hashes of a word vote on 128 bits.  Votes are added up in lanes
-    packed into longs; the result is 8 integers of 16 bits.
-    """
-    lanes = 64 // lane_bits
-    # lane j of accumulator i counts bit i + lane_bits * j of the word's first or second hash
-    ones = sum(1 << (lane_bits * j) for j in range(lanes))
-    zero = F.array_repeat(F.lit(0).cast("long"), 2 * lane_bits)
-    index = F.sequence(F.lit(0), F.lit(2 * lane_bits - 1))
-
-    def add(acc: Column, h: Column) -> Column:
-        def step(pair: Column) -> Column:
-            votes = lambda a, i: a + F.call_function("shiftrightunsigned", F.when(i < lane_bits, pair[0]).otherwise(pair[1]), i % lane_bits).bitwiseAND(F.lit(ones))
-            return F.zip_with(acc, index, votes)
-
-        return T.let(F.array(h, F.xxhash64(h)), step)
-
-    def blocks(acc: Column) -> Column:
-        total = F.size(hashes)
-
-        def bit(b: int) -> Column:
-            """Bit b of the 128."""
-            word, at = divmod(b, 64)
-            lane, i = divmod(at, lane_bits)
-            count = F.shiftrightunsigned(F.get(acc, F.lit(word * lane_bits + i)), lane * lane_bits).bitwiseAND(F.lit((1 << lane_bits) - 1))
-            return (2 * count > total).cast("int")
-
-        made = []
-        for block in range(BLOCKS):
-            value = F.lit(0)
-            for i in range(BLOCK_BITS):
-                value = value.bitwiseOR(F.shiftleft(bit(block * BLOCK_BITS + i), i))
-            made.append(value)
-        return F.array(*made)
-
-    return T.let(F.aggregate(hashes, zero, add), blocks)
-
-
-def _masks(flips: int) -> list[int]:
-    """All block masks with at most ``flips`` bits."""
-    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(BLOCK_BITS), n)]
-
-
-def hamming(a: Column, b: Column) -> Column:
-    total = F.lit(0)
-    for i in range(BLOCKS):
-        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-    return total
-
-
 def _shared_weight(a: Column, b: Column) -> Column:
     """Size of the intersection of two arrays as multisets."""
     plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
@@ -97,7 +40,6 @@ def contaminated_passages(
     item_text: str = "text",
     width: int = WIDTH,
     percent: int = PERCENT,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """Documents and the benchmark items that they hold.
 
@@ -113,19 +55,15 @@ def contaminated_passages(
     reported as such.  Items with equal texts are each reported.
 
     A window can only reach the threshold if that share of the item's shingle
-    count stands in it, so the windows that hold as many shingles of some item
-    of their size are fingerprinted and no others; that loses nothing.  Blocks
-    of the items' fingerprints, with up to ``radius // 8`` bits flipped, index
-    the items, so every item within ``radius`` bits of a window agrees with it
-    in some block.  Exact similarity decides.
+    count stands in it, so the windows that hold as many shingles of an item of
+    their size are compared with that item and no others; that loses nothing.
+    Exact similarity decides.
     """
-    flips = radius // BLOCKS
     known = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), T.words(T.ascii_lower(F.col(item_text).cast("string"))).alias("words"))
     known = known.where(F.size("words") > 0).withColumn("length", F.size("words")).withColumn("width", F.least("length", F.lit(width)))
     known = known.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("hashes", _word_hashes(F.col("words"))).drop("words")
     known = stored(known.dropDuplicates(["item_id", "hashes"]).withColumn("n", F.size("shingles")), "items")
-    facts = known.agg(F.collect_set("width").alias("widths"), F.max("length").alias("longest"), F.count("*").alias("items")).first()
-    lane_bits = 16 if (facts["longest"] or 0) < 1 << 15 else 32
+    widths = known.agg(F.collect_set("width")).first()[0]
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.where("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
@@ -136,7 +74,7 @@ def contaminated_passages(
         entries = F.broadcast(entries)
 
     hits = None
-    for k in sorted(facts["widths"]) or [width]:
+    for k in sorted(widths) or [width]:
         words = base.select(*key, T.words(T.ascii_lower(F.col("text"))).alias("words")).where(F.size("words") >= k)
         at = words.select(*key, (F.size("words") - k + 1).alias("n_doc"), F.posexplode(_shingles(F.col("words"), F.lit(k))).alias("pos", "h"))
         at = at.join(entries.where(F.col("width") == k), "h")
@@ -151,30 +89,16 @@ def contaminated_passages(
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     found = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("pos") - F.col("need")), starts)))
-    windows = hits.select(*key, "n", "width", F.explode(found).alias("start")).distinct()
-    windows = windows.groupBy(*key).agg(F.collect_list(F.struct("n", "width", "start")).alias("windows"))
+    windows = hits.select(*key, "item_id", "n", "width", F.explode(found).alias("start"))
+    windows = windows.groupBy(*key).agg(F.collect_list(F.struct("item_id", "n", "width", "start")).alias("windows"))
 
     joined = windows.alias("w").join(base.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_hash") == F.col("t.text_hash")))
     joined = joined.select("w.doc_id", "w.text_hash", "windows", T.words(T.ascii_lower(F.col("text"))).alias("words")).dropDuplicates(key)
-    joined = joined.select(*key, "words", _word_hashes(F.col("words")).alias("hashes"), F.explode("windows").alias("w"))
-    cut = lambda xs: F.slice(xs, F.col("w.start") + 1, F.col("w.n") + F.col("w.width") - 1)
-    joined = joined.select(*key, "w.n", "w.width", "w.start", cut(F.col("hashes")).alias("hashes"), cut(F.col("words")).alias("words"))
-    marked = joined.select(*key, "n", "width", "start", _shingles(F.col("words"), F.col("width")).alias("x"), fingerprint(F.col("hashes"), lane_bits).alias("print"))
-    marked = stored(marked, "windows")
-
-    items_ = stored(known.select("item_id", F.col("shingles").alias("y"), fingerprint(F.col("hashes"), lane_bits).alias("item_print"), "n", "width"), "item_prints")
-    masks = _masks(flips)
-    index = items_.select("item_id", "n", "width", F.posexplode("item_print").alias("block", "v"))
-    index = index.select("item_id", "n", "width", "block", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    # a plan can't see how many rows the flipped blocks make, so that the kind of join is said here
-    index = F.broadcast(index) if facts["items"] * BLOCKS * len(masks) <= BROADCAST_SHINGLES else index.hint("merge")
-    probes = marked.select(*key, "n", "width", "start", F.posexplode("print").alias("block", "v"))
-    near = probes.join(index, ["block", "v", "n", "width"]).select(*key, "n", "width", "start", "item_id").distinct()
-    same = F.col("m.doc_id").eqNullSafe(F.col("c.doc_id"))
-    for column in ("text_hash", "n", "width", "start"):
-        same = same & (F.col(f"m.{column}") == F.col(f"c.{column}"))
-    near = near.alias("c").join(marked.alias("m"), same).select("m.*", "c.item_id")
-    near = near.join(items_.drop("n", "width"), "item_id").where(hamming(F.col("print"), F.col("item_print")) <= radius)
+    joined = joined.select(*key, "words", F.explode("windows").alias("w"))
+    cut = F.slice("words", F.col("w.start") + 1, F.col("w.n") + F.col("w.width") - 1)
+    joined = joined.select(*key, "w.item_id", "w.n", "w.width", "w.start", cut.alias("words"))
+    marked = stored(joined.select(*key, "item_id", "n", "width", "start", _shingles(F.col("words"), F.col("width")).alias("x")), "windows")
+    near = marked.join(known.select("item_id", "n", "width", F.col("shingles").alias("y")), ["item_id", "n", "width"])
     shared = _shared_weight(F.col("x"), F.col("y"))
     scored = near.withColumn("shared", shared).where(F.expr(f"shared * {100 + percent} >= (size(x) + size(y)) * {percent}"))
     scored = scored.withColumn("similarity", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared")))

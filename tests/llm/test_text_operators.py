@@ -444,6 +444,21 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in got} == {k: (round(a, 9), b) for k, (a, b) in want.items()}
 
 
+def test_decontamination_truncated_passages(spark):
+    rng = random.Random(22)
+    items = [(i, prose(rng, rng.randrange(15, 60), 3000)) for i in range(40)]
+    docs = []
+    for i, text in items * 6:
+        words = text.split()
+        cut = round((len(words) - 4) * rng.uniform(0.08, 0.15))
+        words = words[cut:] if rng.random() < 0.5 else words[: len(words) - cut]
+        docs.append((len(docs), " ".join([prose(rng, 30, 3000), *words, prose(rng, 30, 3000)])))
+    want = plain_contamination(docs, items)
+    assert sum(0.75 <= a < 0.85 for a, _ in want.values()) > 50
+    got = decontaminate.contaminated_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in got} == {k: (round(a, 9), b) for k, (a, b) in want.items()}
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "some words stand here in a row"), (2, None)], "item_id long, text string")
     found = decontaminate.contaminated_passages(odd, items).collect()

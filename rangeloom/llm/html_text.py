@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is no text.
-SILENT = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select option datalist textarea button".split())
+SILENT = frozenset("script style noscript template iframe object embed svg math canvas audio video map title select option datalist textarea button".split())
 #: Elements that stand around an article.
 AROUND = frozenset("nav footer aside form menu dialog search".split())
 #: Elements that begin and end a block of text.
@@ -52,6 +52,12 @@ class Line:
     #: the open element that says this is no article text, and the innermost article or main element, as serial numbers
     around: bool
     root: int
+    #: serial numbers of the open wrappers whose words speak of surroundings, and whether an article without such words is open
+    named: tuple[int, ...] = ()
+    article: bool = False
+
+
+_NOTHING = ("", False, 0, (), False)
 
 
 class _Blocks(HTMLParser):
@@ -60,7 +66,10 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int]] = []
+        self._open: list[tuple[str, bool, int, tuple[int, ...], bool]] = []
+        #: of each wrapper whose words speak of surroundings: whether it stands in an article or main, and whether in an article
+        self._named: list[tuple[bool, bool]] = []
+        self._holds_main: set[int] = set()
         self._parts: list[str] = []
         self._tags = self._links = self._serial = 0
         self._silent: str | None = None
@@ -69,27 +78,32 @@ class _Blocks(HTMLParser):
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self._parts)).strip()
         if text:
-            tag, around, root = self._open[-1] if self._open else ("", False, 0)
-            self.lines.append(Line(text, self._tags, self._links, around, root))
+            _, around, root, named, article = self._open[-1] if self._open else _NOTHING
+            self.lines.append(Line(text, self._tags, self._links, around, root, named, article))
         self._parts.clear()
         self._tags = self._links = 0
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, around, root = self._open[-1] if self._open else ("", False, 0)
+        _, around, root, named, article = self._open[-1] if self._open else _NOTHING
         if tag in ("article", "main"):
-            inner = not around and not (tag == "article" and root and self._is_comment(attrs))
+            inner = not around and not (tag == "article" and (root or named) and self._is_comment(attrs))
             if inner and not root:
                 self._serial += 1
                 root = self._serial
+            if inner and tag == "main":
+                self._holds_main.update(named)
+            article = article or (inner and tag == "article")
             around = around or not inner
         values = {k: v for k, v in attrs if k in ("class", "id", "role", "aria-label", "hidden", "aria-hidden", "style")}
         if tag in AROUND or (tag == "header" and not root):
             around = True
         elif values and tag not in ("html", "body", "main", "article"):
-            named = any(_around_words(values.get(k)) for k in ("class", "id", "role", "aria-label"))
+            if any(_around_words(values.get(k)) for k in ("class", "id", "role", "aria-label")):
+                self._named.append((bool(root), article))
+                named = (*named, len(self._named) - 1)
             unseen = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower()
-            around = around or named or unseen
-        self._open.append((tag, around, root))
+            around = around or unseen
+        self._open.append((tag, around, root, named, article))
 
     @staticmethod
     def _is_comment(attrs: list[tuple[str, str | None]]) -> bool:
@@ -143,7 +157,7 @@ class _Blocks(HTMLParser):
                 self._depth -= 1
                 if not self._depth:
                     self._silent = None
-            elif tag == "head" or (self._silent == "head" and tag == "html"):
+            elif tag == "head":
                 self._silent = None
             return
         self._tags += 1
@@ -154,12 +168,8 @@ class _Blocks(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
-        if self._silent and self._silent != "head":
+        if self._silent:
             return
-        if self._silent == "head":
-            if not data.strip():
-                return
-            self._silent = None  # text ends an unclosed head
         self._parts.append(data)
         if any(x[0] == "a" for x in self._open[-4:]):
             self._links += len(data.strip())
@@ -167,8 +177,34 @@ class _Blocks(HTMLParser):
     def end(self) -> list[Line]:
         self.close()
         self._flush()
+        self._judge_named()
         return self.lines
 
+    def _judge_named(self) -> None:
+        """Make the lines of named wrappers surroundings, but for wrappers that hold the page's content.
+
+        Those hold a main element, or half or more of the text of all articles;
+        on a page without either, half or more of its text, and more text than
+        links.  Nothing that is named inside an article is its content.
+        """
+        seen = [x for x in self.lines if not x.around]
+        plain = lambda lines: sum(max(0, len(x.text) - x.link_chars) for x in lines)
+        all_text, all_articles, rooted = plain(seen), plain(x for x in seen if x.article), any(x.root for x in seen)
+        text, articles, links = ([0] * len(self._named) for _ in range(3))
+        for x in seen:
+            for i in x.named:
+                text[i] += plain([x])
+                articles[i] += plain([x]) if x.article else 0
+                links[i] += x.link_chars
+        kept = set()
+        for i, (in_root, in_article) in enumerate(self._named):
+            by_article = articles[i] > 0 and 2 * articles[i] >= all_articles
+            by_text = not rooted and 2 * text[i] >= all_text and text[i] > links[i]
+            if not in_article and (i in self._holds_main or by_article or (by_text and not in_root)):
+                kept.add(i)
+        for x in self.lines:
+            x.around = x.around or not kept.issuperset(x.named)
+
 
 def _smooth(x: np.ndarray) -> np.ndarray:
     reach = int(np.ceil(3 * _SIGMA))
@@ -203,7 +239,7 @@ def content_lines(lines: list[Line]) -> list[Line]:
     article or main element that they lie in; the winner's lines are the
     content.  Where no region lies in such an element, the content is the lines
     from the first to the last of the regions whose own ratio is above the
-    threshold.  Lines of surroundings never count.
+    threshold, short ones in between included.  Lines of surroundings never count.
     """
     own = [x for x in lines if not x.around]
     if not own:
@@ -221,7 +257,10 @@ def content_lines(lines: list[Line]) -> list[Line]:
         least = 0.25 * max(rooted.values())
         good_roots = {k for k, v in rooted.items() if v >= least}
         return [x for x in own if x.root in good_roots]
-    return [x for x, r, good in zip(own, ratio, inside, strict=True) if good or r > cut]
+    good = np.flatnonzero(inside & (ratio > cut))
+    if not len(good):
+        good = np.flatnonzero(inside | (ratio > cut))
+    return own[good[0] : good[-1] + 1] if len(good) else []
 
 
 def main_text(html: str | None) -> str:

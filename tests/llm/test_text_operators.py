@@ -204,6 +204,29 @@ def test_html_main_text():
         assert isinstance(html_text.main_text(broken), str)
 
 
+LONG = "A paragraph of the article that goes on for quite a few words, so that nobody takes it for a menu."
+
+
+def test_html_named_wrappers():
+    for inner in (f"<article><p>{LONG}</p></article>", f"<main><p>{LONG}</p></main>", f"<p>{LONG}</p>"):
+        for name in ("class='layout has-sidebar'", "id='content' class='no-comments'"):
+            assert html_text.main_text(f"<body><div class=menu><a href=x>Menu</a></div><div {name}>{inner}</div></body>") == LONG
+    comments = f"<ol class=comment-list><li><article class=comment-body><p>{LONG} No.</p></article></ol>"
+    related = "<div class=related><article><p>Another story</p></article></div>"
+    assert html_text.main_text(f"<body><main><article><p>{LONG}</p></article>{related}{comments}</main></body>") == LONG
+
+
+def test_html_short_lines_between_regions():
+    inner = ["Short head", "one", "two", "three", "four", "five", "six"]
+    page = f"<div><p>{LONG}</p><p>{LONG}</p><h2>{inner[0]}</h2><ul>" + "".join(f"<li><b><i>{x}</i></b></li>" for x in inner[1:]) + f"</ul><p>{LONG}</p></div>"
+    assert html_text.main_text(page).split("\n\n") == [LONG, LONG, *inner, LONG]
+
+
+def test_html_head():
+    page = f"<html><head><title>The title</title><style>p {{ color: red }}</style><script>var a</script><meta name=a></head><body><p>{LONG}</p></body></html>"
+    assert html_text.main_text(page) == html_text.main_text(page.replace("</head>", "")) == LONG
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "u", "<p>" + "long " * 50000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = html_text.extract_pages(df).collect()

@@ -19,11 +19,12 @@ a null identifier is empty and sorts first.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +33,49 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rangeloom.llm import _text as T
 from rangeloom.llm._store import scratch_path, stored
 
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 12, 8
 END_ID = 2
-#: Segments whose ids a worker process remembers, about 200 bytes each; then it starts anew.
+#: Segments whose ids a worker process remembers, about 200 bytes each.
 MEMO_SEGMENTS = 400_000
+#: Text bytes cut into segments at once.
+ENCODE_BYTES = 1 << 22
+#: Punctuation that a word's end is cut before.
+_MARKS = np.frombuffer(b".,;:!?", np.uint8)
 MAGIC = b"RLTOKSS1"
 _ENTRY = struct.Struct("<HHI")
 _INDEX = struct.Struct("<HQII")
 _FOOTER = struct.Struct("<QQQQIQQB8s")
 
-# A segment is white space followed by a word of letters that ends at white space
-# or plain punctuation, or by any other run without white space.  The byte-level
-# pre-tokenizer's pieces never cross from such a run into the space or punctuation
-# after it, so the segments' ids, one after another, are the text's.
-_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_SEGMENT = re.compile(rf"[ \n]*[{_LETTER}]+(?=[ \n.,;:!?]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
-#: White space other than space and newline, over which the cut might not hold.
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the segments of a chunk of UTF-8 texts, and how many segments each text has.
+
+    The byte-level pre-tokenizer's pieces never cross from a character that is no
+    white space into white space, nor from a letter or digit into plain
+    punctuation; texts are cut there and nowhere else, so the segments' ids, one
+    after another, are the text's.  A character counts as a letter here if it is
+    an ASCII one or one of U+00C0 to U+00FF; others are left uncut before
+    punctuation, which is always safe.
+    """
+    lower = data | 32
+    plain = ((lower >= 97) & (lower <= 122)) | ((data >= 48) & (data <= 57))
+    tail = data >= 128
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & tail[1:] & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    word = plain | latin
+    solid = word | ((data > 32) & (data < 127))
+    gap = (data == 32) | (data == 10)
+    mark = np.isin(data, _MARKS)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (gap[1:] & solid[:-1]) | (mark[1:] & word[:-1])
+    full = np.flatnonzero(np.diff(offsets))
+    cut[offsets[:-1][full]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.diff(np.searchsorted(starts, offsets))
 
 
 class Encoder:
@@ -63,26 +87,53 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
         self._limit = memo
-        self._end = np.array([end_id], "<u4").tobytes()
+        self._end = np.array([end_id], "<u4")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in made]
+        return [array("I", x.ids).tobytes() for x in made]
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids of one text and the end id, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return self._end
-        if _OTHER_SPACE.search(text):
-            return self._encode([text])[0] + self._end
-        segments = _SEGMENT.findall(text)
+    def _known(self, texts: list[str]) -> list[bytes]:
+        """Ids of distinct segments.  A full memory takes no more, until half of what is asked for is missing in it."""
         memo = self._memo
-        if fresh := [x for x in set(segments) if x not in memo]:
-            if len(memo) + len(fresh) > self._limit:
-                memo = self._memo = {}
-                fresh = list(set(segments))
-            memo.update(zip(fresh, self._encode(fresh), strict=True))
-        return b"".join([*map(memo.__getitem__, segments), self._end])
+        found = list(map(memo.get, texts))
+        fresh = [i for i, x in enumerate(found) if x is None]
+        if fresh:
+            made = self._encode([texts[i] for i in fresh])
+            if 2 * len(fresh) > len(texts) and len(memo) >= self._limit:
+                memo.clear()
+            room = self._limit - len(memo)
+            for n, (i, ids) in enumerate(zip(fresh, made, strict=True)):
+                found[i] = ids
+                if n < room:
+                    memo[texts[i]] = ids
+        return found
+
+    def batches(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text and the end id, as little-endian unsigned 32-bit integers; null texts are empty.
+
+        Segments of a bounded chunk of texts become a dictionary, only whose
+        entries are looked up; their ids are gathered by index.
+        """
+        for _, _, data, offsets in T.chunks(column, ENCODE_BYTES):
+            starts, counts = segments(data, offsets)
+            edges = pa.array(np.append(starts, len(data)), pa.int64())
+            cut = pa.LargeStringArray.from_buffers(len(starts), edges.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+            known = self._known(cut.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            values = np.frombuffer(b"".join(known), "<u4")
+            at = cut.indices.to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            long = sizes[at]
+            ends = np.cumsum(long)
+            ids = values[np.repeat(begins[at] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+            for low, high in pairwise(bounds.tolist()):
+                yield np.append(ids[low:high], self._end).tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        """Ids of one text and the end id."""
+        return next(self.batches(pa.array([text], pa.large_string())))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -262,9 +313,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                 name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                 sink = files.open_output_stream(f"{root}/{name}")
                 writer, low = Writer(sink), batch.column(0)[0].as_py()
-            for identifier, text in zip(batch.column(0), batch.column(1), strict=True):
-                high = identifier.as_py()
-                writer.add(key_of(high), encoder.ids(text.as_py()))
+            for high, ids in zip(batch.column(0).to_pylist(), encoder.batches(batch.column(1)), strict=True):
+                writer.add(key_of(high), ids)
         if writer is not None:
             documents, ids, size = writer.close()
             sink.close()

@@ -14,23 +14,25 @@ from rangeloom.llm import _text as T
 
 UNDETERMINED = "und"
 BUCKETS, DIMENSIONS = 1 << 14, 16
-#: Bound of the sample of labelled documents that the model is fitted on.
+#: Bound of the sample of labelled documents that the model is fitted on; each label has an equal part of it.
 TRAIN_ROWS = 3000
 #: Share of the sample kept out of the gradient steps, for calibration.
 CALIBRATION = 0.2
-#: Calibrated confidence that a rejection threshold must leave at least this share of calibration documents above.
+#: The rejection threshold leaves at least this share of calibration documents above it ...
 KEEP_SHARE = 0.9995
+#: ... and otherwise this share of their scrambled counterparts, which stand for unknown languages, below it.
+REJECT_SHARE = 0.99
 
 
-def _grams(data: np.ndarray) -> list[np.ndarray]:
-    """Buckets of the byte n-grams (1 to 4) that begin at each byte; the text's end cuts them off."""
+def _grams(data: np.ndarray, begins: int) -> list[np.ndarray]:
+    """Buckets of the byte n-grams (1 to 4) that begin at the first ``begins`` bytes; the data's end cuts them off."""
     value = np.zeros(len(data), np.uint32)
     out = []
     for n in range(1, 5):
         if len(data) < n:
             break
         value = value[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :].astype(np.uint32) + np.uint32(n)
-        mixed = value * np.uint32(0x9E3779B1)
+        mixed = value[:begins] * np.uint32(0x9E3779B1)
         out.append((mixed >> np.uint32(18)).astype(np.int64))
     return out
 
@@ -50,11 +52,11 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             last = min(first + 256, end)
             out = np.zeros((last - first, BUCKETS), np.float32)
             for i in range(first, last):
-                # very long texts are counted in pieces, and their counts added up
+                # very long texts are counted in pieces, which see the three bytes after them, and their counts added up
                 lo, hi = offsets[i - row], offsets[i - row + 1]
                 counts = np.zeros(BUCKETS, np.int64)
                 for at in range(lo, hi, T.CHUNK_BYTES):
-                    for grams in _grams(plain[at : min(hi, at + T.CHUNK_BYTES)]):
+                    for grams in _grams(plain[at : min(hi, at + T.CHUNK_BYTES + 3)], T.CHUNK_BYTES):
                         counts += np.bincount(grams, minlength=BUCKETS)
                 out[i - first] = counts / max(1, counts.sum())
             yield first, out
@@ -62,18 +64,25 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 @dataclass
 class Model:
-    """A fitted model; ``table`` is the product of embeddings and output weights, a row per bucket."""
+    """A fitted model; ``table`` is the product of embeddings and output weights, a row per bucket.
+
+    ``usual`` is the logarithm of each bucket's share in each label's training
+    texts; a text's mean of it says how usual its n-grams are for that label.
+    """
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
-    threshold: float
+    usual: np.ndarray
+    temperature: float = 1.0
+    threshold: float = 0.0
+    least_usual: float = -np.inf
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = (x @ self.table + self.bias) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's best label, its probability, and how usual the row is for it."""
+        p = _softmax((x @ self.table + self.bias) / self.temperature)
+        best = p.argmax(1)
+        return best, p.max(1), (x @ self.usual)[np.arange(len(x)), best]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -81,12 +90,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(x, labels: list[str], seed: int = 5, epochs: int = 12, batch: int = 64, rate: float = 40.0) -> Model:
-    """Fit embeddings and softmax on ``x`` (indexed by row numbers, it gives dense rows) by stochastic gradient descent, then calibrate.
+def fit(x: SparseRows, labels: list[str], seed: int = 5, epochs: int = 12, batch: int = 64, rate: float = 40.0) -> Model:
+    """Fit embeddings and softmax by stochastic gradient descent, then calibrate.
 
     A temperature, chosen by log loss on the documents held back for
-    calibration, makes the scores probabilities; the rejection threshold is the
-    confidence that all but a share 1 - KEEP_SHARE of them exceed.
+    calibration, makes the scores probabilities.  The rejection threshold is the
+    confidence that REJECT_SHARE of the held back documents stay below once
+    their n-grams are scrambled (buckets permuted, so that they look like no
+    language), at least a half, but never more than KEEP_SHARE of the documents
+    themselves exceed.  A softmax can be sure of a language that it never saw,
+    so a text must also be about as usual for its label as KEEP_SHARE of them
+    are, less one standard deviation.
     """
     names = sorted(set(labels))
     y = np.searchsorted(names, labels)
@@ -104,43 +118,52 @@ def fit(x, labels: list[str], seed: int = 5, epochs: int = 12, batch: int = 64,
         rng.shuffle(train)
         for at in range(0, len(train), batch):
             rows = train[at : at + batch]
-            hidden = x[rows] @ embed
+            own = x[rows]
+            hidden = own @ embed
             error = _softmax(hidden @ out + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
             error *= np.minimum(weight[y[rows]], 10)[:, None].astype(np.float32) / len(rows)
             back = error @ out.T
             out -= step * 0.05 * (hidden.T @ error)
             bias -= step * 0.005 * error.sum(0)
-            embed -= step * (x[rows].T @ back)
+            embed -= step * (own.T @ back)
     table = embed @ out
-    model = Model(names, table, bias, 1.0, 0.0)
+    shares = np.full((BUCKETS, len(names)), 1e-7)
+    for at in range(0, len(train), batch):
+        rows = train[at : at + batch]
+        np.add.at(shares.T, y[rows], x[rows])
+    model = Model(names, table, bias, np.log(shares / shares.sum(0)).astype(np.float32))
     test = held if n_cal else train
-    z = x[test] @ table + bias
-
-    def loss(t: float) -> float:
-        return float(-np.log(_softmax(z / t)[np.arange(len(test)), y[test]] + 1e-12).mean())
-
+    scores = lambda weights: np.concatenate([x[test[at : at + batch]] @ weights + bias for at in range(0, len(test), batch)])
     if len(test):
+        z = scores(table)
+        loss = lambda t: float(-np.log(_softmax(z / t)[np.arange(len(test)), y[test]] + 1e-12).mean())
         model.temperature = min((2.0**k for k in np.arange(-4, 4.25, 0.25)), key=loss)
-        confidence = model.probabilities(x[test]).max(1)
-        model.threshold = float(min(np.quantile(confidence, 1 - KEEP_SHARE), 0.5))
+        known = _softmax(z / model.temperature).max(1)
+        strange = _softmax(scores(table[rng.permutation(BUCKETS)]) / model.temperature).max(1)
+        usual = np.concatenate([model.judge(x[test[at : at + batch]])[2] for at in range(0, len(test), batch)])
+        model.least_usual = float(np.quantile(usual, 1 - KEEP_SHARE) - usual.std())
+        model.threshold = float(min(np.quantile(known, 1 - KEEP_SHARE), max(0.5, np.quantile(strange, REJECT_SHARE))))
     return model
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = 5) -> Model | None:
     """Fit on a bounded sample of the rows with a text and a label; None where there are none.
 
-    Rows are drawn by a hash of their text, so that the sample doesn't depend on
-    partitions; counts are made on the executors, and at most ``rows`` sparse
-    rows reach the driver.
+    Distinct pairs of text and label are drawn by a hash of the text, about
+    ``rows`` of them and as many of each label, so that rare labels are learned,
+    copies don't fill the sample, and it doesn't depend on partitions; counts
+    are made on the executors, and that many sparse rows reach the driver.  The
+    labels' list does too, as a model has a column for each.
     """
-    usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     usable = usable.where(F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64(F.lit(seed), "text"))
-    n = usable.count()
-    if n == 0:
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
+    if not sizes:
         return None
-    share = F.pmod(F.col("draw"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, rows / n))
-    sample = usable.where(share).limit(2 * rows)
+    part = rows / len(sizes)
+    shares = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int((1 << 30) * min(1.0, part / max(1, n))))))
+    sample = usable.where(F.pmod(F.col("draw"), F.lit(1 << 30)) <= F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "draw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +174,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
                 yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "draw", "places", "values"])
 
     found = sample.mapInArrow(run, "lang string, draw long, places array<int>, values array<float>").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
-    return fit(_Sparse(found), found.column("lang").to_pylist(), seed)
+    return fit(SparseRows(found), found.column("lang").to_pylist(), seed)
 
 
-class _Sparse:
+class SparseRows:
     """Rows of n-gram shares that become dense when a batch is taken."""
 
     def __init__(self, table: pa.Table):
@@ -173,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     Returns ``doc_id``, ``lang_pred`` (a learned label; ``und`` where the text is
     null or has no letter, or nothing was learned), ``score`` (calibrated, 0 to
-    1; 0 for ``und``) and ``accepted`` (not ``und`` and confident enough), one
+    1; 0 for ``und``) and ``accepted`` (not ``und``, confident and usual enough), one
     row for each input row.  Only the text is looked at.
     """
     spark = docs.sparkSession
@@ -189,11 +212,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 if model is None:
                     langs, score, good = [UNDETERMINED] * len(x), np.zeros(len(x)), np.zeros(len(x), bool)
                 else:
-                    p = model.probabilities(x)
-                    best = p.argmax(1)
+                    best, p, usual = model.judge(x)
                     langs = [model.labels[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-                    score = np.where(lettered, p.max(1), 0.0).astype(np.float64)
-                    good = lettered & (score >= model.threshold)
+                    score = np.where(lettered, p, 0.0).astype(np.float64)
+                    good = lettered & (score >= model.threshold) & (usual >= model.least_usual)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), pa.array(langs, pa.string()), pa.array(score), pa.array(good)], ["doc_id", "lang_pred", "score", "accepted"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")

@@ -323,6 +323,30 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_id_learns_rare_labels_and_rejects_others(spark):
+    rng = random.Random(8)
+    text = lambda lang: " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(20, 60)))
+    rows = [(i, text("en"), "en") for i in range(3000)] + [(i, "the and with that " * 9, "en") for i in range(3000, 6000)]
+    rows += [(i, text("fr"), "fr") for i in range(6000, 6020)]
+    strange = "käyttö yhtiö sydän hyvää päivää kirja vuosi".split()
+    rows += [(i, " ".join(rng.choice(strange) for _ in range(40)), None) for i in range(7000, 7050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, rows=400).collect()
+    rare = [r for r in got if 6000 <= r.doc_id < 6020]
+    assert sum(r.lang_pred == "fr" for r in rare) >= 19
+    assert sum(not r.accepted for r in got if r.doc_id >= 7000) >= 45
+    assert sum(r.accepted for r in got if r.doc_id < 6000) >= 5990
+
+
+def test_language_id_counts_across_pieces():
+    text = "abcd" * ((langid.T.CHUNK_BYTES + 40) // 4)
+    import pyarrow as pa
+
+    (_, x), = langid.features(pa.array([text]))
+    n = len(text)
+    assert abs(float(x.sum()) - 1) < 1e-3 and np.count_nonzero(x) == 16 and abs(x.max() * (4 * n - 6) - n / 4) < 2
+
+
 # op 8
 
 

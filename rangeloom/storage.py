@@ -11,11 +11,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder where it is unset and all runs in one process (tests)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = context.applicationId
     if key not in _fallback:
         _fallback[key] = "file://" + tempfile.mkdtemp(prefix="rangeloom-")
@@ -25,7 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's scratch tables.  Results that weren't written elsewhere can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return kept, (seen.get["n"], seen.get["h"])
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label every linked id with the smallest id it can reach.
 
     ``links`` has two id columns; their order, repeats and self links don't
@@ -28,13 +28,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     smaller ones, to the smallest id that it knows.  Each step is a grouped
     minimum (combined on the map side) and a join, so one id's neighbours are
     never gathered, and the number of rounds grows with the logarithm of the
-    longest path.
+    longest path.  Rounds go on until the links no longer change.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
     edges, before = _saved(edges.distinct())
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -22,6 +22,8 @@ CALIBRATION = 0.2
 KEEP_SHARE = 0.9995
 #: ... and otherwise this share of their scrambled counterparts, which stand for unknown languages, below it.
 REJECT_SHARE = 0.99
+#: Standard deviations below what calibration documents reach, as those are few.
+MARGIN = 2.0
 
 
 def _grams(data: np.ndarray, begins: int) -> list[np.ndarray]:
@@ -98,9 +100,9 @@ def fit(x: SparseRows, labels: list[str], seed: int = 5, epochs: int = 12, batch
     confidence that REJECT_SHARE of the held back documents stay below once
     their n-grams are scrambled (buckets permuted, so that they look like no
     language), at least a half, but never more than KEEP_SHARE of the documents
-    themselves exceed.  A softmax can be sure of a language that it never saw,
-    so a text must also be about as usual for its label as KEEP_SHARE of them
-    are, less one standard deviation.
+    themselves exceed, less MARGIN standard deviations.  A softmax can be sure
+    of a language that it never saw, so a text must also be as usual for its
+    label as KEEP_SHARE of them are, less the same margin.
     """
     names = sorted(set(labels))
     y = np.searchsorted(names, labels)
@@ -142,8 +144,8 @@ def fit(x: SparseRows, labels: list[str], seed: int = 5, epochs: int = 12, batch
         known = _softmax(z / model.temperature).max(1)
         strange = _softmax(scores(table[rng.permutation(BUCKETS)]) / model.temperature).max(1)
         usual = np.concatenate([model.judge(x[test[at : at + batch]])[2] for at in range(0, len(test), batch)])
-        model.least_usual = float(np.quantile(usual, 1 - KEEP_SHARE) - usual.std())
-        model.threshold = float(min(np.quantile(known, 1 - KEEP_SHARE), max(0.5, np.quantile(strange, REJECT_SHARE))))
+        model.least_usual = float(np.quantile(usual, 1 - KEEP_SHARE) - MARGIN * usual.std())
+        model.threshold = float(min(np.quantile(known, 1 - KEEP_SHARE) - MARGIN * known.std(), max(0.5, np.quantile(strange, REJECT_SHARE))))
     return model
 
 

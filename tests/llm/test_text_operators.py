@@ -175,6 +175,14 @@ def test_near_duplicates_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id IS NULL").count() == 2
 
 
+def test_components_of_a_long_path(spark):
+    order = list(range(5000))
+    random.Random(6).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = components.connected_components(links).collect()
+    assert len(got) == 5000 and {r.component for r in got} == {0}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 3), (7, 7)]
@@ -364,7 +372,7 @@ def test_line_dedup(spark):
     near[30] = near[30] + "x"
     rows = [(1, common + "\n" + prose(rng, 20)), (2, "head\n" + common.upper() + "!\n"), (3, " ".join(near)), (4, "short line\nshort line"), (5, None), (6, ""), (2, "head\n" + common.upper() + "!\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1))
-    got = line_dedup.repeated_lines(df).collect()
+    got = line_dedup.repeated_lines(df, min_words=5).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: (r.n_lines, r.removed) for r in got}
     assert by[1] == (2, []) and by[2] == (3, [1]) and by[4] == (2, []) and by[5] == (0, []) and by[6] == (1, [])
@@ -373,6 +381,27 @@ def test_line_dedup(spark):
     assert line_dedup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_odd_rows_and_long_texts(spark, odd, none):
+    rows = [(1, "short line\nshort  LINE.\n\n--\n--"), (2, "x\n" + "long " * 60000), (3, "long " * 60000 + "tail"), (None, "x"), (None, "short line")]
+    got = {(r.doc_id, r.n_lines): r.removed for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))).collect()}
+    # null ids come first, and keep theirs; lines without a word are no lines to repeat
+    assert got[(1, 5)] == [0, 1] and got[(2, 2)] == [0] and got[(3, 1)] == [0]
+    assert line_dedup.repeated_lines(odd).count() == len(ODD) and line_dedup.repeated_lines(none).count() == 0
+    kept = line_dedup.without_repeated_lines(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+
+
+def test_packed_order_is_the_full_order():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(0, 200))
+        line, level = np.sort(rng.integers(0, 9, n)), rng.integers(0, 40, n)
+        pair = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        pair[rng.random(n) < 0.3] = 7
+        a, b = line_dedup._by_line_and_level(line, level, pair), np.lexsort((pair, level, line))
+        assert (line[a] == line[b]).all() and (level[a] == level[b]).all() and (pair[a] == pair[b]).all()
+
+
 def test_line_exact_groups_against_brute_force(spark):
     rng = random.Random(9)
     pool = [prose(rng, 8, 1000) for _ in range(30)]

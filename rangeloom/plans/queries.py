@@ -633,18 +633,31 @@ def pwm_scores(spark, d):
 # segmentation, conversion, models
 
 
-@query(None)
+_Z = -1.2815515655446004  # of p = 0.1
+
+
+@query(
+    _with(
+        f"""pr AS (SELECT l.chrom, c.bin, sum(CASE WHEN l.value > s.value THEN 1.0 WHEN l.value = s.value THEN 0.5 ELSE 0 END) AS u,
+              count(DISTINCT l.bin) AS n, count(DISTINCT s.bin) AS m
+            FROM price c JOIN price l ON l.chrom = c.chrom AND l.bin BETWEEN c.bin - 20 AND c.bin + 20 JOIN price s ON s.chrom = c.chrom AND s.bin BETWEEN c.bin - 5 AND c.bin + 5
+            WHERE c.value IS NOT NULL AND l.value IS NOT NULL AND s.value IS NOT NULL GROUP BY ALL),
+        hit AS (SELECT chrom, greatest(bin - 5, 0) * 7 AS "start", (bin + 6) * 7 AS "end" FROM pr WHERE n >= 10 AND m >= 10 AND u < 0.5 * n * m AND (u - 0.5 * n * m) / sqrt(n * m * (n + m + 1) / 12.0) <= {_Z}),
+        {fx.canonic_sql('hit', 'r')}""",
+        'SELECT chrom, "start", "end" FROM r',
+    )
+)
 def sliding_wilcoxon(spark, d):
     from rangeloom.operators.segmentation import sliding_wilcoxon as run
 
-    return _rounded(run(fx.price_bins(spark, d), 7, 28, 280, 0.01), 9)
+    return run(fx.price_bins(spark, d), 7, 70, 280, 0.1).select("chrom", "start", "end")
 
 
 @query(None)
 def segment(spark, d):
     from rangeloom.operators.segmentation import segment as run
 
-    return run(fx.price_bins(spark, d), 7, 70, 0.001)
+    return run(fx.price_bins(spark, d), 7, 70, 0.01)
 
 
 def _chain(spark, d) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tracks, windows and folds on small tables with hand results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,9 +164,57 @@ def test_liftover(spark):
     assert lifted == {(0, 50): 2.0, (50, 100): 4.0, (100, 150): 6.0}
 
 
+def brute_z(large, small, way):
+    n, m = len(large), len(small)
+    if min(n, m) < 10:
+        return 1.0
+    u = sum((x > y) + 0.5 * (x == y) for x in large for y in small)
+    mean = n * m / 2
+    if (way > 0 and u >= mean) or (way < 0 and u <= mean):
+        return 0.0
+    return (min(u, n * m - u) - mean) / (n * m * (n + m + 1) / 12) ** 0.5
+
+
 def test_segments(spark):
-    rows = [("a", i, float(i % 5 + (50 if 40 <= i < 80 else 0))) for i in range(120)]
+    rows = [("a", i, float(i % 5 + (50 if 40 <= i < 80 or i >= 120 else 0))) for i in range(160)]
     bins = spark.createDataFrame(rows, "chrom string, bin long, value double")
     cuts = [(r.start, r.end) for r in sg.segment(bins, 10, 100, 0.001).orderBy("start").collect()]
-    assert cuts[0][0] == 0 and cuts[-1][1] == 1200 and any(abs(s - 400) <= 80 for s, _ in cuts) and any(abs(s - 800) <= 80 for s, _ in cuts)
-    assert sg.sliding_wilcoxon(bins, 10, 40, 600, 0.01).count() >= 1
+    assert cuts[0][0] == 0 and cuts[-1] == (800, 1600) and cuts[1] == (400, 800)
+    assert sg.sliding_wilcoxon(bins, 10, 100, 600, 0.05).count() >= 1
+    for run in (lambda: sg.sliding_wilcoxon(bins, 10, 40, 600), lambda: sg.segment(bins, 10, 90)):
+        with pytest.raises(ValueError):
+            run()
+
+
+def test_sliding_wilcoxon_against_brute_force(spark):
+    rng = random.Random(4)
+    values = {i: float(rng.randrange(6) + (4 if 60 <= i < 90 else 0)) for i in range(200) if rng.random() < 0.9}
+    bins = spark.createDataFrame([("a", i, v) for i, v in values.items()], "chrom string, bin long, value double")
+    for way in (1, -1, 0):
+        bound, spans = sg._z_bound(0.02, True), []
+        for i in sorted(values):
+            window = lambda h, c=i: [values[j] for j in range(c - h, c + h + 1) if j in values]
+            if brute_z(window(30), window(6), way) <= bound:
+                start, end = max(0, (i - 6) * 10), (i + 7) * 10
+                if spans and spans[-1][1] >= start:
+                    spans[-1][1] = end
+                else:
+                    spans.append([start, end])
+        for tile in (16, 4096):
+            got = sg.sliding_wilcoxon(bins, 10, 120, 600, 0.02, find=way, tile_bins=tile).orderBy("start").collect()
+            assert [[r.start, r.end] for r in got] == spans and all(0 <= r.pval <= 0.02 for r in got)
+
+
+def test_segment_ends_against_brute_force():
+    rng = random.Random(5)
+    for size in (10, 13):
+        values = [float(rng.randrange(5) + 5 * (i // 37 % 2)) for i in range(260)]
+        bound, ends, first = sg._z_bound(0.01, True), [], 0
+        while True:
+            z = {i: brute_z(values[first:i], values[i : i + size], 0) for i in range(first + size, len(values) - size + 1)}
+            hit = next((i for i in sorted(z) if z[i] <= bound), None)
+            if hit is None or hit + size - 1 not in z:
+                break
+            first = min(range(hit, hit + size), key=lambda i: (z[i], i))
+            ends.append(first)
+        assert len(ends) > 2 and sg._segments(values, size, bound) == ends

@@ -210,20 +210,27 @@ def correlation(ws: Workspace, pairs: list[tuple[str, str]], scope: DataFrame |
     return out
 
 
-def average_ranks(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
-    """``column`` and its average ``rank`` from 1, a row for each distinct value.
+def cumulative(df: DataFrame, column: str, weight: str | None = None, parts: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values of ``column`` with their count ``c`` (or sum of ``weight``) and ``before``, that of all smaller values, for each of ``keys``.
 
     Values are counted, cut into ranges at approximate quantiles, and summed
-    within ranges; what the ranges before hold is a sum over a row for each.
+    within (keys, range); what the ranges before hold is a sum over a row for
+    each.  So no task sorts all values, and a value costs one row.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("c"))
+    counts = stored(df.groupBy(*keys, column).agg((F.sum(weight) if weight else F.count("*")).alias("c")), "counts")
     cuts = counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)]).alias("cuts"))
     ranged = counts.join(F.broadcast(cuts), F.lit(True)).withColumn("_r", F.size(F.filter(F.array_distinct("cuts"), lambda b: b < F.col(column)))).drop("cuts")
-    own = ranged.groupBy("_r").agg(F.sum("c").alias("_n"))
-    base = own.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_r").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_before", F.coalesce(F.sum("c").over(within), F.lit(0))).join(F.broadcast(base), "_r")
-    return placed.select(column, (F.col("_base") + F.col("_before") + (F.col("c") + 1) / 2).alias("rank"))
+    own = ranged.groupBy(*keys, "_r").agg(F.sum("c").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.select(*keys, "_r", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys, "_r").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_before", F.coalesce(F.sum("c").over(within), F.lit(0))).join(base, [*keys, "_r"])
+    return placed.select(*keys, column, "c", (F.col("_base") + F.col("_before")).alias("before"))
+
+
+def average_ranks(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """``column`` and its average ``rank`` from 1, a row for each distinct value."""
+    return cumulative(df, column, parts=parts).select(column, (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def strands_autocorrelation(reads: DataFrame, bin_size: int, max_distance: int, cap: int = 10) -> DataFrame:

@@ -12,6 +12,10 @@ from rangeloom.operators import iterators as it
 from rangeloom.operators.intervals import canonic
 from rangeloom.operators.ranges import BIN, TILE, no_nan, overlap_join, running
 
+#: Columns that tell a window apart: the iterator row's own chromosome, start and end.
+KEY = ["_chrom", "_start", "_end"]
+#: Functions that give a single bin's value as it is.
+_SAME = frozenset(["avg", "sum", "min", "max", "first", "last", "nearest"])
 _NAME = re.compile(r"`([^`]+)`|\b([A-Za-z_][\w.]*)\b")
 
 
@@ -58,7 +62,10 @@ def _stable(values: Column) -> Column:
 def _aggregate(func: str, params) -> Column:
     """The aggregate of a window's records: ``value``, their place ``pos``, the window's start ``wstart``."""
     v, pos = F.col("value"), F.when(F.col("value").isNotNull(), F.col("pos"))
+    # a draw by place, so that a window's value and its place agree and reruns do too
+    drawn = F.when(v.isNotNull(), F.xxhash64(F.lit(int(params) if isinstance(params, int) else 1), "_chrom", "_start", "pos"))
     places = {
+        "sample": lambda: F.max_by("pos", drawn),
         "first": lambda: F.min(pos),
         "last": lambda: F.max(pos),
         "min": lambda: F.min_by("pos", F.when(v.isNotNull(), F.struct(v, "pos"))),
@@ -71,15 +78,15 @@ def _aggregate(func: str, params) -> Column:
         "max": lambda: F.max(v),
         "stddev": lambda: F.stddev_samp(v),
         "size": lambda: F.count(v),
-        "exists": lambda: F.max(v.isNotNull().cast("int")),
+        "exists": lambda: F.max((v.isin([float(x) for x in params]) if isinstance(params, (list, tuple)) else v.isNotNull()).cast("int")),
         "first": lambda: F.min_by(v, pos),
         "last": lambda: F.max_by(v, pos),
         "quantile": lambda: F.percentile(v, float(params)),
         "lse": lambda: _stable(F.collect_list(v)),
-        "sample": lambda: F.max_by(v, F.when(v.isNotNull(), F.rand(int(params or 1)))),
+        "sample": lambda: F.max_by(v, drawn),
         "nearest": lambda: F.avg(v),
     }
-    if m := re.fullmatch(r"(first|last|min|max)\.pos\.(abs|relative)", func):
+    if m := re.fullmatch(r"(first|last|min|max|sample)\.pos\.(abs|relative)", func):
         place = places[m[1]]()
         return place - F.first("wstart") if m[2] == "relative" else place
     if func not in plain:
@@ -95,8 +102,9 @@ class Workspace:
     values are null.
     """
 
-    def __init__(self, chroms: DataFrame, bin_width: int = BIN):
+    def __init__(self, chroms: DataFrame, bin_width: int = BIN, sequence: DataFrame | None = None, sequence_chunk: int = 1 << 20):
         self.chroms, self.bin_width = chroms, bin_width
+        self.sequence, self.sequence_chunk = sequence, sequence_chunk
         self.tracks: dict[str, Track] = {}
         self.virtual: dict[str, VirtualTrack] = {}
 
@@ -166,97 +174,182 @@ class Workspace:
     # evaluation
 
     def _windows(self, rows: DataFrame, v: VirtualTrack) -> DataFrame:
-        """Distinct windows (``key``, ``chrom``, ``start``, ``end``) of the rows; masked ones in parts."""
+        """The rows' windows (KEY, ``chrom``, ``start``, ``end``); masked ones in parts."""
         sized = rows.join(self.chroms.select("chrom", "size"), "chrom")
         start = F.greatest(F.col("start") + v.sshift, F.lit(0).cast("long"))
-        moved = sized.select("key", "chrom", start.alias("start"), F.least(F.col("end") + v.eshift, "size").alias("end")).where("start < end")
+        moved = sized.select(*KEY, "chrom", start.alias("start"), F.least(F.col("end") + v.eshift, "size").alias("end")).where("start < end")
         if v.mask is None:
             return moved
         masked = canonic(v.mask)
         hits = overlap_join(moved, masked, self.bin_width, how="left")
-        cuts = hits.groupBy("key", "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("start1").isNotNull(), F.struct("start1", "end1")))).alias("cuts"))
+        cuts = hits.groupBy(*KEY, "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("start1").isNotNull(), F.struct("start1", "end1")))).alias("cuts"))
         # free parts lie between one cut's end and the next cut's start
         edges = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.struct(
             F.when(i == 0, F.col("start")).otherwise(F.get(F.col("cuts"), i - 1)["end1"]).alias("s"),
             F.when(i == F.size("cuts"), F.col("end")).otherwise(F.get(F.col("cuts"), i)["start1"]).alias("e"),
         ))
-        parts = cuts.select("key", "chrom", F.explode(edges).alias("p")).select("key", "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
+        parts = cuts.select(*KEY, "chrom", F.explode(edges).alias("p")).select(*KEY, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
         return parts.where("start < end")
 
-    def _of_track(self, rows: DataFrame, track: Track, v: VirtualTrack) -> DataFrame:
+    def _of_track(self, rows: DataFrame, track: Track, wanted: dict[str, VirtualTrack]) -> DataFrame:
+        """A column for each of ``wanted``, whose source, shifts and mask are one: a join and an aggregation for all of them."""
+        v = next(iter(wanted.values()))
         windows = self._windows(rows, v)
         if track.bin_size:
             # a bin that a window touches counts in full: an equi-join on (chrom, bin)
             b = track.bin_size
             touched = windows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / b), F.ceil(F.col("end") / b) - 1)))
             found = touched.join(track.data.select("chrom", "bin", no_nan("value").alias("value")), ["chrom", "bin"])
-            found = found.select("key", "value", F.greatest(F.col("bin") * b, "start").alias("pos"), F.col("start").alias("wstart"))
+            found = found.select(*KEY, "start", "end", "value", F.greatest(F.col("bin") * b, "start").alias("pos"))
         else:
             found = overlap_join(windows, track.records(), self.bin_width)
-            found = found.select("key", "value", F.col("start1").alias("pos"), F.col("start").alias("wstart"))
-        if v.func.startswith("global.percentile"):
-            kind = v.func.removeprefix("global.percentile").removeprefix(".") or "avg"
-            inner = found.groupBy("key").agg(_aggregate(kind, None).alias("v"))
-            points = track.records().agg(F.percentile_approx("value", [i / 1000 for i in range(1001)], 100_000).alias("p"))
-            share = F.size(F.filter("p", lambda x: x <= F.col("v"))) / 1001
-            return inner.join(F.broadcast(points), F.lit(True)).select("key", F.when(F.col("v").isNotNull(), share).alias("v"))
-        made = found.groupBy("key").agg(_aggregate(v.func, v.params).alias("v"))
-        if v.func == "nearest" and not track.bin_size:
-            from rangeloom.operators.nearest import neighbors
-
-            empty = windows.join(made.select("key"), "key", "left_anti")
-            close = neighbors(empty, track.records(), 1, bin_width=self.bin_width).select("key", F.col("value1").alias("v"))
-            made = made.unionByName(close)
-        if v.func in ("exists", "size"):
-            made = windows.select("key").distinct().join(made, "key", "left").select("key", F.coalesce("v", F.lit(0)).alias("v"))
+            found = found.select(*KEY, "start", "end", "value", F.greatest("start1", "start").alias("pos"))
+        found = found.withColumn("wstart", F.col("_start") + v.sshift)
+        masked = {n: w for n, w in wanted.items() if v.mask is not None and w.func in ("avg", "stddev")}
+        plain = {n: w for n, w in wanted.items() if n not in masked}
+        made = None
+        if plain:
+            kind = lambda w: w.func.removeprefix("global.percentile").removeprefix(".") or "avg" if w.func.startswith("global.percentile") else w.func
+            made = found.groupBy(*KEY).agg(*(_aggregate(kind(w), w.params).alias(n) for n, w in plain.items()))
+        if masked:
+            # a window in parts: their means and variances weigh as much as they are long
+            parts = found.groupBy(*KEY, "start", "end").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+            n, m, s = (F.col("end") - F.col("start")).cast("double"), F.col("m"), F.col("s")
+            both = F.when(s.isNotNull(), n)
+            mean = F.sum(both * m) / F.sum(both)
+            spread = F.sum(both * (s * s + m * m)) / F.sum(both) - mean * mean
+            kinds = {"avg": F.sum(F.when(m.isNotNull(), n * m)) / F.sum(F.when(m.isNotNull(), n)), "stddev": F.sqrt(F.greatest(spread, F.lit(0.0)))}
+            part = parts.groupBy(*KEY).agg(*(kinds[w.func].alias(x) for x, w in masked.items()))
+            made = part if made is None else made.join(part, KEY, "full")
+        for n, w in wanted.items():
+            if w.func.startswith("global.percentile"):
+                made = self._percentiles(made, track, n)
+            if w.func == "nearest" and not track.bin_size:
+                from rangeloom.operators.nearest import neighbors
+
+                empty = windows.join(made.where(F.col(n).isNotNull()).select(*KEY), KEY, "left_anti")
+                close = neighbors(empty, track.records(), 1, bin_width=self.bin_width).select(*KEY, F.col("value1").alias("_near"))
+                made = made.join(close, KEY, "full").withColumn(n, F.coalesce(n, "_near")).drop("_near")
+        counts = [n for n, w in wanted.items() if w.func in ("exists", "size")]
+        if counts:
+            made = windows.select(*KEY).distinct().join(made, KEY, "left").fillna(0, counts)
         return made
 
+    @staticmethod
+    def _percentiles(made: DataFrame, track: Track, name: str) -> DataFrame:
+        """Each value's share of the track's values that are no larger: exact, from counts of distinct values and their ranks."""
+        from rangeloom.operators.aggregates import cumulative
+
+        known = cumulative(track.records().where("value IS NOT NULL"), "value")
+        asked = made.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct().withColumn("c", F.lit(0).cast("long"))
+        total = known.agg(F.sum("c").alias("_n"))
+        ranked = cumulative(known.select("value", "c").unionByName(asked), "value", "c")
+        share = ranked.join(F.broadcast(total), F.lit(True)).select(F.col("value").alias(name), ((F.col("before") + F.col("c")) / F.col("_n")).alias("_p"))
+        return made.join(share, name, "left").drop(name).withColumnRenamed("_p", name)
+
+    def _of_sequence(self, rows: DataFrame, v: VirtualTrack) -> DataFrame:
+        """``pwm*``, ``kmer.*`` and ``masked.*`` of the windows' sequences; a motif or k-mer may begin anywhere in its window."""
+        from rangeloom.functions import sequence as seq
+        from rangeloom.sources.formats import extract_sequence
+
+        if self.sequence is None:
+            raise ValueError(f"{v.func} needs the workspace's sequence table")
+        options = dict(v.params) if isinstance(v.params, dict) else {}
+        motif, kmer = (v.params if isinstance(v.params, seq.Motif) else options.pop("motif", None)), (v.params if isinstance(v.params, str) else options.pop("kmer", None))
+        wide = (len(motif.matrix) if motif else len(kmer) if kmer else 1) - 1 if options.pop("extend", True) else 0
+        strand = options.pop("strand", 1 if motif else 0)
+        windows = self._windows(rows, v)
+        longer = windows.join(self.chroms.select("chrom", "size"), "chrom").withColumn("end", F.least(F.col("end") + wide, "size")).drop("size")
+        cut = extract_sequence(self.sequence, longer, self.sequence_chunk)
+        s = F.col("seq")
+        kinds = {
+            "pwm": lambda: seq.pwm(s, motif, "lse", strand=strand, **options), "pwm.max": lambda: seq.pwm(s, motif, "max", strand=strand, **options), "pwm.max.pos": lambda: seq.pwm(s, motif, "pos", strand=strand, **options),
+            "pwm.count": lambda: seq.pwm(s, motif, "count", strand=strand, **options), "pwm.edit_distance": lambda: seq.pwm_edits(s, motif, **options),
+            "kmer.count": lambda: seq.kmer_count(s, kmer, strand, **options), "kmer.frac": lambda: seq.kmer_frac(s, kmer, strand, **options),
+            "masked.count": lambda: seq.masked_count(s), "masked.frac": lambda: seq.masked_frac(s),
+        }
+        if v.func not in kinds:
+            raise ValueError(f"unknown window function {v.func}")
+        return cut.select(*KEY, kinds[v.func]().alias("v"))
+
     def _of_intervals(self, rows: DataFrame, source: DataFrame, v: VirtualTrack) -> DataFrame:
         windows = self._windows(rows, v)
         if v.func == "coverage":
             hit = overlap_join(windows, canonic(source), self.bin_width)
-            part = hit.groupBy("key").agg(F.sum(F.least("end", "end1") - F.greatest("start", "start1")).alias("c"))
-            size = windows.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
-            return size.join(part, "key", "left").select("key", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("v"))
+            part = hit.groupBy(*KEY).agg(F.sum(F.least("end", "end1") - F.greatest("start", "start1")).alias("c"))
+            size = windows.groupBy(*KEY).agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+            return size.join(part, KEY, "left").select(*KEY, (F.coalesce("c", F.lit(0)) / F.col("n")).alias("v"))
         if v.func == "neighbor.count":
             wide = source.select("chrom", (F.col("start") - int(v.params or 0)).alias("start"), (F.col("end") + int(v.params or 0)).alias("end"))
-            hit = overlap_join(windows, wide, self.bin_width).groupBy("key").agg(F.count("*").alias("c"))
-            return windows.select("key").distinct().join(hit, "key", "left").select("key", F.coalesce("c", F.lit(0)).alias("v"))
+            hit = overlap_join(windows, wide, self.bin_width).groupBy(*KEY).agg(F.count("*").alias("c"))
+            return windows.select(*KEY).distinct().join(hit, KEY, "left").select(*KEY, F.coalesce("c", F.lit(0)).alias("v"))
         centre = F.floor((F.col("start") + F.col("end")) / 2)
-        points = windows.select("key", "chrom", centre.alias("start"), (centre + 1).alias("end"))
+        points = windows.select(*KEY, "chrom", centre.alias("start"), (centre + 1).alias("end"))
         if v.func == "distance.center":
             hit = overlap_join(points, source.select("chrom", "start", "end", *(["strand"] if "strand" in source.columns else [])), self.bin_width)
             d = F.col("start") - F.floor((F.col("start1") + F.col("end1")) / 2)
             d = d * F.when(F.col("strand") == -1, -1).otherwise(1) if "strand" in source.columns else d
-            return hit.withColumn("d", d).groupBy("key").agg(F.min_by("d", F.struct(F.abs("d"), F.col("d"))).alias("v"))
+            return hit.withColumn("d", d).groupBy(*KEY).agg(F.min_by("d", F.struct(F.abs("d"), F.col("d"))).alias("v"))
         if v.func in ("distance", "distance.edge"):
             from rangeloom.operators.nearest import neighbors
 
             near = neighbors(points if v.func == "distance" else windows, source, 1, bin_width=self.bin_width)
-            return near.select("key", F.col("dist").alias("v"))
+            return near.select(*KEY, F.col("dist").alias("v"))
         raise ValueError(f"unknown window function {v.func}")
 
     def values(self, rows: DataFrame, name: str) -> DataFrame:
-        """``key`` and ``v``: a named track's value for each keyed row."""
+        """``KEY`` and ``v``: a named track's value for each keyed row."""
         v = self.virtual.get(name) or VirtualTrack(name)
         source = self.tracks[v.source] if isinstance(v.source, str) else v.source
         if isinstance(source, Track):
-            return self._of_track(rows, source, v)
-        return self._of_intervals(rows, source, v)
+            return self._of_track(rows, source, {"v": v})
+        return self._of_sequence(rows, v) if source is None else self._of_intervals(rows, source, v)
 
     def evaluate(self, exprs: dict[str, str], scope: DataFrame | None = None, iterator=None) -> DataFrame:
         """Iterator rows with a column for each expression: ``chrom, start, end, intervalID, ...``.
 
-        Each name is evaluated once, however often it stands in the expressions,
-        on distinct windows, and joined back by the window's key.
+        Each name is evaluated once, however often it stands in the expressions.
+        Names with one source, shifts and mask share a join and an aggregation
+        over the distinct windows, which are joined back by their columns.  A
+        dense track's own value on bins that don't cross its own is an equi-join
+        without any grouping.
         """
+        names = self.names_in(*exprs.values())
         rows = self.iterator(self.scope(scope), iterator, list(exprs.values()))
-        keyed = rows.withColumn("key", F.xxhash64("chrom", "start", "end"))
-        windows = keyed.select("key", "chrom", "start", "end").distinct()
-        out, text = keyed, dict(exprs)
-        for i, name in enumerate(self.names_in(*exprs.values())):
-            out = out.join(self.values(windows, name).withColumnRenamed("v", f"_v{i}"), "key", "left")
-            text = {k: _NAME.sub(lambda m, n=name, j=i: f"`_v{j}`" if (m[1] or m[2]) == n else m[0], e) for k, e in text.items()}
+        width = iterator if isinstance(iterator, int) else self.tracks[iterator].bin_size if isinstance(iterator, str) else None
+        if iterator is None:
+            width = next(t.bin_size for n in names if (t := self._base(n)) is not None)
+        groups: dict[tuple, dict[str, VirtualTrack]] = {}
+        own: list[str] = []
+        for name in names:
+            v = self.virtual.get(name) or VirtualTrack(name)
+            source = self.tracks[v.source] if isinstance(v.source, str) else v.source
+            whole = isinstance(source, Track) and source.bin_size and width and source.bin_size % width == 0
+            if whole and v.func in _SAME and not v.sshift and not v.eshift and v.mask is None:
+                own.append(name)
+            else:
+                alone = None if isinstance(source, Track) else name
+                groups.setdefault((id(source), v.sshift, v.eshift, id(v.mask), alone), {})[name] = v
+        out, column = rows, {name: f"_v{i}" for i, name in enumerate(names)}
+        for size in sorted({self._base(n).bin_size for n in own}):
+            out = out.withColumn("_bin", F.floor(F.col("start") / size))
+            for name in own:
+                track = self._base(name)
+                if track.bin_size == size:
+                    out = out.join(track.data.select("chrom", F.col("bin").alias("_bin"), no_nan("value").alias(column[name])), ["chrom", "_bin"], "left")
+            out = out.drop("_bin")
+        if groups:
+            out = out.withColumns({"_start": F.col("start"), "_end": F.col("end")})
+            windows = rows.select("chrom", "start", "end", F.col("chrom").alias("_chrom"), F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+            for wanted in groups.values():
+                first, v = next(iter(wanted.items()))
+                source = self.tracks[v.source] if isinstance(v.source, str) else v.source
+                if isinstance(source, Track):
+                    made = self._of_track(windows, source, {column[n]: w for n, w in wanted.items()})
+                else:
+                    made = self.values(windows, first).withColumnRenamed("v", column[first])
+                out = out.join(made.withColumnRenamed("_chrom", "chrom"), ["chrom", "_start", "_end"], "left")
+        text = {k: _NAME.sub(lambda m: f"`{column[m[1] or m[2]]}`" if (m[1] or m[2]) in column else m[0], e) for k, e in exprs.items()}
         return out.select(*it.COLUMNS, *(F.expr(e).alias(k) for k, e in text.items()))
 
 

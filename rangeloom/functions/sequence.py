@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FROM, _TO = "ACGTUNacgtun", "TGCAANtgcaan"
@@ -73,6 +75,49 @@ def kmers(seq: Column, k: int) -> Column:
     return F.transform(F.array(F.split(F.upper(seq), "")), of)[0]
 
 
+def kmer_counts(df: DataFrame, column: str, k: int) -> DataFrame:
+    """``kmer`` and ``n``: how often each k-mer of A, C, G and T stands in a column's sequences, case ignored.
+
+    A batch's sequences are counted at once as numbers to the base of 4; a task
+    hands on one row for each k-mer that it met.  ``k`` is 12 at most.
+    """
+    if not 1 <= k <= 12:
+        raise ValueError("k-mers of 1 to 12 letters can be counted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**k, np.int64)
+        for batch in batches:
+            for codes in _codes(batch.column(0)):
+                total += np.bincount(_numbers(codes, k), minlength=4**k)
+        met = np.flatnonzero(total)
+        names = ["".join("ACGT"[i >> 2 * j & 3] for j in range(k - 1, -1, -1)) for i in met.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total[met])], ["kmer", "n"])
+
+    return df.select(F.col(column).cast("string")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def _codes(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each sequence's letters as 0 to 3, and 4 for any other byte."""
+    column = column.cast(pa.large_binary())
+    for at in range(len(column)):
+        value = column[at].as_buffer()
+        if value is not None and value.size:
+            yield _CODE[np.frombuffer(value, np.uint8)]
+
+
+def _numbers(codes: np.ndarray, k: int) -> np.ndarray:
+    """The k-mers of a sequence of codes as numbers to the base of 4; those with other letters are left out."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    number, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k):
+        part = codes[j : j + n]
+        number = number * 4 + part
+        good &= part < 4
+    return number[good]
+
+
 def masked_count(seq: Column) -> Column:
     """Lower-case (soft-masked) letters."""
     return (F.length(seq) - F.length(F.regexp_replace(seq, "[a-z]", ""))).cast("long")

@@ -93,10 +93,31 @@ def summary(ws: Workspace, expr: str, scope: DataFrame | None = None, iterator=N
 def quantiles(ws: Workspace, expr: str, percentiles: list[float], scope: DataFrame | None = None, iterator=None) -> DataFrame:
     """Rows (``percentile``, ``value``): exact, interpolated at (n - 1) * p."""
     rows = ws.evaluate({"_v": expr}, _merged(ws, scope), iterator)
-    made = rows.agg(F.percentile(no_nan("_v"), [float(p) for p in percentiles]).alias("q"))
+    made = exact_quantiles(rows.select(no_nan("_v").alias("_v")), "_v", percentiles)
     return made.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*map(F.lit, percentiles)), F.col("i")).alias("percentile"), "value")
 
 
+def exact_quantiles(rows: DataFrame, column: str, percentiles: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` and an array ``q`` of exact percentiles, interpolated at (n - 1) * p, of a column's non-null values.
+
+    They are picked by rank among counted distinct values, so that no task holds
+    all values of a key.
+    """
+    ranked = cumulative(rows.where(F.col(column).isNotNull()), column, keys=keys)
+    total = ranked.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    ranked = ranked.join(total, list(keys)) if keys else ranked.join(F.broadcast(total), F.lit(True))
+
+    def pick(p: float, end: Callable) -> Column:
+        at = end((F.col("_n") - 1) * float(p))
+        return F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("c")), F.col(column)))
+
+    picks = [x for i, p in enumerate(percentiles) for x in (pick(p, F.floor).alias(f"_l{i}"), pick(p, F.ceil).alias(f"_h{i}"))]
+    found = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
+    part = lambda p: (F.col("_n") - 1) * float(p) - F.floor((F.col("_n") - 1) * float(p))
+    values = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(p) for i, p in enumerate(percentiles)]
+    return found.select(*keys, F.array(*values).alias("q"))
+
+
 def interval_summary(ws: Workspace, expr: str, scope: DataFrame, iterator=None) -> DataFrame:
     """Summary for each scope row; rows without iterator rows have 0 bins."""
     numbered = it.numbered(scope)
@@ -108,7 +129,8 @@ def interval_summary(ws: Workspace, expr: str, scope: DataFrame, iterator=None)
 def interval_quantiles(ws: Workspace, expr: str, percentiles: list[float], scope: DataFrame, iterator=None) -> DataFrame:
     """A column ``q<p>`` for each percentile, for each scope row."""
     numbered = it.numbered(scope)
-    made = ws.evaluate({"_v": expr}, numbered, iterator).groupBy("intervalID").agg(F.percentile(no_nan("_v"), [float(p) for p in percentiles]).alias("q"))
+    rows = ws.evaluate({"_v": expr}, numbered, iterator).select("intervalID", no_nan("_v").alias("_v"))
+    made = exact_quantiles(rows, "_v", percentiles, ("intervalID",))
     out = numbered.select(*it.COLUMNS).join(made, "intervalID", "left")
     return out.select(*it.COLUMNS, *(F.get("q", F.lit(i)).alias(f"q{p:g}") for i, p in enumerate(percentiles)))
 
@@ -162,7 +184,7 @@ def distribution(ws: Workspace, exprs: list[tuple[str, list[float]]], scope: Dat
     """Histogram over the bins of one or more expressions, empty cells included: ``bin1.., range1.., n``."""
     keys = [f"bin{i + 1}" for i in range(len(exprs))]
     made = _binned(ws, exprs, None, scope, iterator, include_lowest).groupBy(*keys).agg(F.count("*").alias("n"))
-    out = _cells(ws, exprs).join(F.broadcast(made), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = _cells(ws, exprs).join(made, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return _labelled(out, exprs, include_lowest)
 
 
@@ -170,15 +192,15 @@ def bins_summary(ws: Workspace, exprs: list[tuple[str, list[float]]], value: str
     """Summary of one expression for each cell of other expressions' bins."""
     keys = [f"bin{i + 1}" for i in range(len(exprs))]
     made = _binned(ws, exprs, value, scope, iterator, include_lowest).groupBy(*keys).agg(*summary_columns(F.col("_v")))
-    out = _cells(ws, exprs).join(F.broadcast(made), keys, "left")
+    out = _cells(ws, exprs).join(made, keys, "left")
     return _labelled(out.withColumns({"n": F.coalesce("n", F.lit(0)), "n_missing": F.coalesce("n_missing", F.lit(0))}), exprs, include_lowest)
 
 
 def bins_quantiles(ws: Workspace, exprs: list[tuple[str, list[float]]], value: str, percentiles: list[float], scope: DataFrame | None = None, iterator=None, include_lowest: bool = False) -> DataFrame:
     keys = [f"bin{i + 1}" for i in range(len(exprs))]
     rows = _binned(ws, exprs, value, scope, iterator, include_lowest)
-    made = rows.groupBy(*keys).agg(F.percentile(no_nan("_v"), [float(p) for p in percentiles]).alias("q"))
-    out = _cells(ws, exprs).join(F.broadcast(made), keys, "left")
+    made = exact_quantiles(rows.select(*keys, no_nan("_v").alias("_v")), "_v", percentiles, tuple(keys))
+    out = _cells(ws, exprs).join(made, keys, "left")
     return _labelled(out.select(*keys, *(F.get("q", F.lit(i)).alias(f"q{p:g}") for i, p in enumerate(percentiles))), exprs, include_lowest)
 
 

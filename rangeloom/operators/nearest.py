@@ -47,10 +47,11 @@ def neighbors(
     Ties go to the smaller target start, then end, then strand.  Queries without
     a match are dropped, or kept with nulls.
 
-    Targets are dealt to the bins that they cover.  A query looks in its own
-    bins first and then, only if it still lacks targets that can't be beaten, in
-    rings of bins twice as wide at each step, so that dense places cost one join
-    and empty ones a few over fewer and fewer queries.
+    Targets are dealt to the bins that they cover.  A query looks as far as
+    2 * k targets lie at their mean density first, at most ``bin_width``, and
+    then, only if it still lacks targets that can't be beaten, 16 times as far
+    at each step, so that dense places cost one join and empty ones a few over
+    fewer and fewer queries.
     """
     columns = {c: f"{c}1" for c in targets.columns}
     right = targets.select(*(F.col(c).alias(n) for c, n in columns.items()))
@@ -63,11 +64,13 @@ def neighbors(
     reach_limit = max(abs(mindist), abs(maxdist))
     tie = [F.col(c) for c in ("start1", "end1", "strand1") if c in right.columns]
     dist = _signed(strand, use_query_strand)
-    span = targets.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
-    qspan = queries.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
+    right = stored(right, "targets")
+    span = right.agg(F.min("start1").alias("lo"), F.max("end1").alias("hi"), F.count("*").alias("n"), F.approx_count_distinct("chrom1").alias("chroms")).first()
+    qspan = left.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
     whole = 0 if span["lo"] is None or qspan["lo"] is None else max(span["hi"], qspan["hi"]) - min(span["lo"], qspan["lo"])
 
-    open_, found, reach = left, None, min(bin_width, reach_limit + 1)
+    spacing = whole * max(1, span["chroms"]) // max(1, span["n"])
+    open_, found, reach = left, None, max(16, min(bin_width, 2 * k * spacing, reach_limit + 1))
     while True:
         low, high = F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach)
         a = open_.withColumn("_bin", F.explode(F.sequence(low, high)))

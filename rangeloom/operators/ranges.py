@@ -33,7 +33,8 @@ def overlap_join(
     inner, left, left_semi or left_anti.
     """
     if how != "inner":
-        row = left.withColumn("_row", F.monotonically_increasing_id())
+        # both sides of the join below read these numbers, so they are stored
+        row = stored(left.withColumn("_row", F.monotonically_increasing_id()), "left_rows")
         found = overlap_join(row.select("_row", *keys, "start", "end"), right, bin_width, "inner", keys, suffix, touching)
         if how == "left":
             extra = found.drop(*keys, "start", "end")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.operators.intervals import canonic
 from rangeloom.operators.ranges import BIN, no_nan, overlap_join
+from rangeloom.storage import stored
 
 KEYS = ("chrom1", "chrom2")
 SIDES = ["chrom1", "start1", "end1", "chrom2", "start2", "end2"]
@@ -97,15 +98,14 @@ def band_area(start1: Column, end1: Column, start2: Column, end2: Column, d1: in
 
 def area_summary(cells: DataFrame, objects: DataFrame, value: str = "value", band: tuple[int, int] | None = None, bin_width: int = BIN) -> DataFrame:
     """Add to each cell of a 2D iterator ``avg`` (weighted by area), ``weighted_sum``, ``area``, ``min`` and ``max`` of the objects in it."""
-    keyed = cells.withColumn("_cell", F.xxhash64(*SIDES))
-    found = rectangle_join(keyed.select("_cell", *SIDES), objects.select(*SIDES, no_nan(value).alias("_v")), bin_width).where("r__v IS NOT NULL")
+    found = rectangle_join(cells.select(*SIDES).distinct(), objects.select(*SIDES, no_nan(value).alias("_v")), bin_width).where("r__v IS NOT NULL")
     edge = [F.greatest("start1", "r_start1"), F.least("end1", "r_end1"), F.greatest("start2", "r_start2"), F.least("end2", "r_end2")]
     found = found.withColumn("_a", band_area(*edge, *(band or ())).cast("double")).where("_a > 0")
     v, a = F.col("r__v"), F.col("_a")
-    made = found.groupBy("_cell").agg(
+    made = found.groupBy(*SIDES).agg(
         (F.sum(v * a) / F.sum(a)).alias("avg"), F.sum(v * a).alias("weighted_sum"), F.sum(a).alias("area"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    return keyed.join(made, "_cell", "left").drop("_cell")
+    return cells.join(made, SIDES, "left").select(*cells.columns, "avg", "weighted_sum", "area", "min", "max")
 
 
 def fixed_rectangles(scope: DataFrame, width: int, height: int) -> DataFrame:
@@ -189,7 +189,7 @@ def cis_decay(contacts: DataFrame, bin_of, src: DataFrame, domains: DataFrame, b
     """
     cis = contacts.where("chrom1 = chrom2")
     distance = F.abs(F.expr("(start1 + end1 - start2 - end2) div 2"))
-    cis = cis.withColumn("_id", F.monotonically_increasing_id()).withColumn("bin", bin_of(distance)).where("bin IS NOT NULL")
+    cis = stored(cis.withColumn("_id", F.monotonically_increasing_id()).withColumn("bin", bin_of(distance)).where("bin IS NOT NULL"), "contacts")
     one = cis.select(F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), "_id", "bin", F.col("start2").alias("s2"), F.col("end2").alias("e2"))
     held = overlap_join(one, canonic(src), bin_width, suffix="_src").where("start >= start_src AND end <= end_src")
     doms = canonic(domains, touching=False)

@@ -602,7 +602,7 @@ def reverse_complement(spark, d):
     )
 )
 def kmer_distribution(spark, d):
-    return fx.sequences(spark, d).select(F.explode(seq.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return seq.kmer_counts(fx.sequences(spark, d), "seq", 3)
 
 
 @query(

@@ -6,10 +6,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.sequence import kmers, reverse_complement
+from rangeloom.functions.binning import locate
+from rangeloom.functions.sequence import kmer_counts, kmers, reverse_complement
 
 MAX_ORDER = 8
 
@@ -27,7 +28,10 @@ def train(sequences: DataFrame, k: int, pseudocount: float = 1.0, both_strands:
     rows = sequences.select(*keys, F.upper("seq").alias("seq"))
     if both_strands:
         rows = rows.unionByName(rows.withColumn("seq", reverse_complement(F.col("seq"))))
-    words = rows.select(*keys, F.explode(kmers(F.col("seq"), k + 1)).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    if keys:
+        words = rows.select(*keys, F.explode(kmers(F.col("seq"), k + 1)).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    else:
+        words = kmer_counts(rows, "seq", k + 1).withColumnRenamed("kmer", "w")
     spark = sequences.sparkSession
     bases = F.array(*map(F.lit, "ACGT"))
     grid = spark.range(1).select(F.lit("").alias("w"))
@@ -159,3 +163,65 @@ def implant(sequence: DataFrame, donors: DataFrame) -> DataFrame:
 
     joined = sequence.join(per, ["chrom", "chunk_start"], "left")
     return joined.select("chrom", "chunk_start", F.when(F.col("d").isNull(), F.col("seq")).otherwise(F.aggregate("d", F.col("seq"), put)).alias("seq"))
+
+
+def transplant(intervals: DataFrame, source: DataFrame, target: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """The sequence table ``target`` with the places of ``intervals`` taken from ``source``; both have chunks of one size."""
+    from rangeloom.sources.formats import extract_sequence
+
+    return implant(target, extract_sequence(source, intervals.select("chrom", "start", "end"), chunk))
+
+
+def bin_map(breaks: list[float], merges: list[tuple]) -> dict[int, int]:
+    """Bins (from 1) to the bins that they merge into.
+
+    A merge is (from, to): a range of values, or one value for all above it, and
+    the range of a bin.  A bin is merged if it lies within the range; the rest
+    stay as they are.
+    """
+    out = {i: i for i in range(1, len(breaks))}
+    for source, to in merges:
+        low, high = source if isinstance(source, (tuple, list)) else (source, float("inf"))
+        goal = next((i for i in range(1, len(breaks)) if abs(breaks[i - 1] - to[0]) < 1e-9 and abs(breaks[i] - to[1]) < 1e-9), None)
+        if goal is None:
+            raise ValueError(f"{to} is no bin of the breaks")
+        out |= {i: goal for i in range(1, len(breaks)) if breaks[i - 1] >= low - 1e-9 and breaks[i] <= high + 1e-9}
+    return out
+
+
+def merge_bins(df: DataFrame, column: str, mapping: dict[int, int]) -> DataFrame:
+    """A column of bins (from 1) put through ``bin_map``; bins that it doesn't name stay."""
+    pairs = F.create_map(*(F.lit(x) for pair in sorted(mapping.items()) for x in pair))
+    return df.withColumn(column, F.coalesce(F.element_at(pairs, F.col(column).cast("int")), F.col(column)))
+
+
+def cell_merge(dims: list[list[float]], merges: list[tuple[list[float], list[float]]], maps: list[dict[int, int]] | None = None) -> list[dict[str, int]]:
+    """Cells of several binned dimensions that stand for others, from representative values (from, to).
+
+    Each entry has the bins of both cells (from 1, after ``maps``) and their
+    flat numbers (from 1, the first dimension running fastest).
+    """
+    out = []
+    for source, target in merges:
+        row, flats = {}, []
+        for kind, values in (("from", source), ("to", target)):
+            flat, step = 0, 1
+            for d, (breaks, value) in enumerate(zip(dims, values, strict=True)):
+                at = locate(value, breaks, include_lowest=True)
+                if at is None:
+                    raise ValueError(f"{value} is in no bin of dimension {d + 1}")
+                at = maps[d].get(at + 1, at + 1) if maps else at + 1
+                row[f"{kind}_{d + 1}"] = at
+                flat, step = flat + (at - 1) * step, step * (len(breaks) - 1)
+            flats.append(flat + 1)
+        out.append(row | {"source_flat": flats[0], "target_flat": flats[1]})
+    return out
+
+
+def save_model(model: DataFrame, path: str) -> None:
+    """A model's table as Parquet."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

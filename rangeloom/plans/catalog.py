@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.operators.tracks import Track, Workspace
+from rangeloom.functions.sequence import Motif
+from rangeloom.operators.tracks import Track, Workspace, create_dense, create_sparse
+from rangeloom.sources import formats
 
 META_SCHEMA = "kind string, name string, meta string"
 
@@ -179,12 +181,115 @@ class Database:
         columns = meta.pop("columns")
         self.save(kind, to, self.table(kind, name).select(columns), overwrite, **meta)
 
-    def rm(self, kind: str, name: str) -> None:
-        """Forget a name; its files stay for the store's own clean-up."""
+    def rm(self, kind: str, name: str, delete: bool = True) -> None:
+        """Forget a name and, unless told not to, delete its files."""
         if (kind, name) not in self.meta():
             raise KeyError(f"no {kind} {name} in {self.path}")
         del self._meta[kind, name]
         self._save()
+        if delete:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def unload(self) -> None:
+        """Forget what was read of this database and of those attached."""
+        self._meta, self.namespace = None, ""
+        self.others.clear()
+
+    def make_dir(self, namespace: str) -> None:
+        """A namespace of its own, though nothing is in it yet."""
+        self.meta()["dir", self._full(namespace)] = {}
+        self._save()
+
+    def dirs(self) -> list[str]:
+        """Namespaces that were made, or that names are under."""
+        names = {n if k == "dir" else n.rpartition(".")[0] for k, n in self.meta() if k != "db"}
+        return sorted({".".join(n.split(".")[: i + 1]) for n in names if n for i in range(n.count(".") + 1)})
+
+    def remove_dir(self, namespace: str, force: bool = False) -> None:
+        """Take a namespace away; one that holds names only if forced, and then with them."""
+        full = self._full(namespace)
+        held = [(k, n) for k, n in self.meta() if k in ("track", "intervals") and n.startswith(f"{full}.")]
+        if held and not force:
+            raise ValueError(f"{full} holds {len(held)} names")
+        for kind, name in held:
+            self.rm(kind, name)
+        for key in [(k, n) for k, n in self.meta() if k == "dir" and (n == full or n.startswith(f"{full}."))]:
+            del self._meta[key]
+        self._save()
+
+    def save_dataset(self, path: str, tracks: list[str] = (), intervals: list[str] = ()) -> Database:
+        """A new database of the same chromosomes with copies of chosen tracks and interval sets, to be attached elsewhere."""
+        out = Database.create(self.spark, path, self.chroms())
+        for kind, names in (("track", tracks), ("intervals", intervals)):
+            for name in names:
+                meta = dict(self._source(kind, name).meta()[kind, name])
+                meta.pop("columns")
+                out.save(kind, name, self.table(kind, name), **meta)
+        return out
+
+    def datasets(self) -> list[str]:
+        """Paths of this database and those attached, in the order in which names are looked up."""
+        return [db.path for db in self._sources()]
+
+    # making tracks
+
+    def create_track(self, name: str, expr: str, iterator=None, scope: DataFrame | None = None, workspace: Workspace | None = None, **options) -> None:
+        """Save an expression's values: a dense track over bins of a width, else a sparse one without its missing values."""
+        ws = workspace or self.workspace()
+        rows = ws.evaluate({"value": expr}, scope, iterator)
+        if isinstance(iterator, int):
+            bins = rows.groupBy("chrom", F.floor(F.col("start") / iterator).alias("bin")).agg(F.first("value", ignorenulls=True).alias("value"))
+            self.save_dense(name, bins.where("value IS NOT NULL"), iterator, **options)
+        else:
+            self.save_sparse(name, rows.where("value IS NOT NULL").select("chrom", "start", "end", "value").distinct(), **options)
+
+    def create_pwm_energy(self, name: str, motif: Motif, width: int, scope: DataFrame | None = None, prior: float = 0.01, **options) -> None:
+        """A dense track of a motif's log-sum-exp score over both strands of each bin."""
+        ws = Workspace(self.chroms(), sequence=self.sequence())
+        ws.vtrack("energy", None, "pwm", {"motif": motif, "prior": prior})
+        self.create_track(name, "energy", width, scope, ws, **options)
+
+    def import_track(self, name: str, path: str, kind: str = "bedgraph", bin_size: int = 0, default: float | None = None, **options) -> None:
+        """Read bedGraph, WIG or BED scores; with ``bin_size`` as overlap-weighted means of bins, else as sparse records."""
+        readers = {"bedgraph": formats.read_bedgraph, "wig": formats.read_wig, "bed": lambda s, p: formats.read_bed(s, p).withColumnRenamed("score", "value")}
+        rows = readers[kind](self.spark, path).select("chrom", "start", "end", "value")
+        if bin_size:
+            self.save_dense(name, create_dense(rows, self.chroms(), bin_size, default=default), bin_size, **options)
+        else:
+            self.save_sparse(name, create_sparse(rows), **options)
+
+    def import_set(self, paths: dict[str, str], kind: str = "bedgraph", bin_size: int = 0, **options) -> dict[str, str | None]:
+        """Import many files, each under its name; tells for each what went wrong, or None."""
+        out: dict[str, str | None] = {}
+        for name, path in paths.items():
+            try:
+                self.import_track(name, path, kind, bin_size, **options)
+                out[name] = None
+            except Exception as error:  # the others are still imported
+                out[name] = str(error).splitlines()[0]
+        return out
+
+    def save_array(self, name: str, records: DataFrame, columns: list[str], **options) -> None:
+        """An array track: ``chrom, start, end, value`` (array<double>), whose elements have names."""
+        self.save("track", name, records, type="array", array_columns=list(columns), **options)
+
+    def import_array(self, name: str, path: str, **options) -> None:
+        """A tab-separated table with a header: chrom, start, end, and a column for each element."""
+        table = self.spark.read.option("sep", "\t").option("header", True).csv(path)
+        columns = [c for c in table.columns if c not in ("chrom", "start", "end")]
+        values = F.array(*(F.col(f"`{c}`").try_cast("double") for c in columns))
+        self.save_array(name, table.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), values.alias("value")), columns, **options)
+
+    def array_columns(self, name: str) -> list[str]:
+        return list(self._source("track", name).meta()["track", name]["array_columns"])
+
+    def set_array_columns(self, name: str, columns: list[str]) -> None:
+        held = self.meta()["track", name]
+        if len(columns) != len(held["array_columns"]) or len(set(columns)) != len(columns):
+            raise ValueError("an array track needs as many distinct names as it has columns")
+        held["array_columns"] = list(columns)
+        self._save()
 
     def mv(self, kind: str, name: str, to: str) -> None:
         self.copy(kind, name, to)
@@ -194,7 +299,7 @@ class Database:
         """A workspace with the named tracks, or all one-dimensional ones."""
         ws = Workspace(self.chroms())
         for name in tracks or self.ls("track"):
-            if self._source("track", name).meta()["track", name].get("type") != "rectangles":
+            if self._source("track", name).meta()["track", name].get("type") not in ("rectangles", "array"):
                 ws.tracks[name] = self.track(name)
         return ws
 

@@ -165,3 +165,40 @@ def write_fasta(sequence: DataFrame, path: str, width: int = 80) -> None:
     lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
     text = F.when(F.col("chunk_start") == 0, F.concat(F.lit(">"), F.col("chrom"), F.lit("\n"), lines)).otherwise(lines)
     sequence.repartitionByRange("chrom", "chunk_start").sortWithinPartitions("chrom", "chunk_start").select(text.alias("value")).write.text(path)
+
+
+def read_genes(spark: SparkSession, path: str, annotations: str | None = None, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """A gene table (name, chrom, strand, txStart, txEnd, cdsStart, cdsEnd, exonCount, exonStarts, exonEnds): ``tss``, ``exons``, ``utr3`` and ``utr5``.
+
+    Overlapping rows of a set become one; its strand is 0 where theirs differ.
+    ``annotations`` is a table by gene name, whose further columns are named by
+    ``names``; distinct values of united rows are joined by semicolons.
+    """
+    from rangeloom.operators.intervals import mark_overlaps
+
+    f = F.split("value", "\t")
+    at = lambda i: F.get(f, F.lit(i))
+    numbers = lambda i: F.transform(F.filter(F.split(at(i), ","), lambda x: x != ""), lambda x: x.cast("long"))
+    genes = spark.read.text(path).where("value NOT LIKE '#%' AND trim(value) <> ''").select(
+        at(0).alias("gene"), at(1).alias("chrom"), _strand(at(2)).alias("strand"), at(3).cast("long").alias("tx0"), at(4).cast("long").alias("tx1"),
+        at(5).cast("long").alias("cds0"), at(6).cast("long").alias("cds1"), F.arrays_zip(numbers(8).alias("s"), numbers(9).alias("e")).alias("parts"),
+    )
+    extra = names or []
+    if annotations:
+        table = spark.read.text(annotations)
+        genes = genes.join(table.select(at(0).alias("gene"), *(at(i + 1).alias(n) for i, n in enumerate(extra))).dropDuplicates(["gene"]), "gene", "left")
+    first = F.when(F.col("strand") == -1, F.col("tx1") - 1).otherwise(F.col("tx0"))
+    tss = genes.select("chrom", first.alias("start"), (first + 1).alias("end"), "strand", *extra)
+    exons = genes.select("chrom", "strand", "cds0", "cds1", *extra, F.explode("parts").alias("p")).withColumns({"start": F.col("p.s"), "end": F.col("p.e")})
+    # parts of exons before and after the coding part; which is which depends on the strand
+    before = exons.where("cds0 < cds1 AND start < cds0").withColumns({"end": F.least("end", "cds0"), "five": F.col("strand") != -1})
+    after = exons.where("cds0 < cds1 AND end > cds1").withColumns({"start": F.greatest("start", "cds1"), "five": F.col("strand") == -1})
+    ends = before.unionByName(after)
+
+    def united(rows: DataFrame) -> DataFrame:
+        marked = mark_overlaps(rows.select("chrom", "start", "end", "strand", *extra), "_g", touching=False)
+        strand = F.when(F.min("strand") == F.max("strand"), F.min("strand")).otherwise(0)
+        texts = [F.array_join(F.array_sort(F.collect_set(n)), ";").alias(n) for n in extra]
+        return marked.groupBy("chrom", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), strand.alias("strand"), *texts).drop("_g")
+
+    return {"tss": united(tss), "exons": united(exons), "utr3": united(ends.where("NOT five")), "utr5": united(ends.where("five"))}

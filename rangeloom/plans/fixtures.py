@@ -28,7 +28,7 @@ def _day(column: str) -> Column:
 def chroms_of(df: DataFrame, size: int = SIZE) -> DataFrame:
     """A chromosome for each distinct name."""
     names = df.select("chrom").distinct()
-    return names.select(F.crc32("chrom").cast("int").alias("chrom_id"), "chrom", F.lit(size).cast("long").alias("size"))
+    return names.select((F.crc32("chrom") % 1_000_000_007).cast("int").alias("chrom_id"), "chrom", F.lit(size).cast("long").alias("size"))
 
 
 def price_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -27,7 +28,7 @@ _ENDS_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "the
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("ul ol dl table article section main div nav aside header footer form body html".split())
 
-#: Words of class, id, role and aria-label that tell of surroundings (fixed values).
+#: Words of class, id, role and aria-label that tell of surroundings.
 _AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies discussion disqus footer gdpr hidden masthead menu modal "
     "nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
@@ -67,6 +68,8 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self._open: list[tuple[str, bool, int, tuple[int, ...], bool]] = []
+        #: how many elements of each name are open
+        self._count: Counter[str] = Counter()
         #: of each wrapper whose words speak of surroundings: whether it stands in an article or main, and whether in an article
         self._named: list[tuple[bool, bool]] = []
         self._holds_main: set[int] = set()
@@ -104,6 +107,12 @@ class _Blocks(HTMLParser):
             unseen = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower()
             around = around or unseen
         self._open.append((tag, around, root, named, article))
+        self._count[tag] += 1
+
+    def _pop(self) -> str:
+        tag = self._open.pop()[0]
+        self._count[tag] -= 1
+        return tag
 
     @staticmethod
     def _is_comment(attrs: list[tuple[str, str | None]]) -> bool:
@@ -111,11 +120,14 @@ class _Blocks(HTMLParser):
 
     def _close(self, names: set[str], scope: frozenset[str]) -> None:
         """Close the innermost open element of ``names``, and what it holds, unless an element of ``scope`` is in between."""
+        if not any(self._count[x] for x in names):
+            return
         for i in range(len(self._open) - 1, -1, -1):
             tag = self._open[i][0]
             if tag in names:
                 self._flush()
-                del self._open[i:]
+                while len(self._open) > i:
+                    self._pop()
                 return
             if tag in scope:
                 return
@@ -124,8 +136,8 @@ class _Blocks(HTMLParser):
         if self._silent:
             self._depth += tag == self._silent
             return
-        if tag in ("body",) and self._open and self._open[-1][0] == "head":
-            self._open.pop()
+        if tag == "body" and self._open and self._open[-1][0] == "head":
+            self._pop()
         if tag in SILENT:
             if tag not in VOID:
                 self._silent, self._depth = tag, 1
@@ -140,7 +152,7 @@ class _Blocks(HTMLParser):
         self._tags += 1
         if tag == "br":
             self._parts.append(" ")
-        if tag == "body" and any(x[0] == "body" for x in self._open):
+        if tag == "body" and self._count["body"]:
             return
         if tag not in VOID:
             self._push(tag, attrs)
@@ -163,15 +175,15 @@ class _Blocks(HTMLParser):
         self._tags += 1
         if tag in BLOCK:
             self._flush()
-        if any(x[0] == tag for x in self._open):
-            while self._open.pop()[0] != tag:
+        if self._count[tag]:
+            while self._pop() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
         if self._silent:
             return
         self._parts.append(data)
-        if any(x[0] == "a" for x in self._open[-4:]):
+        if self._count["a"]:
             self._links += len(data.strip())
 
     def end(self) -> list[Line]:

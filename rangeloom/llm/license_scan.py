@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,8 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)(?:;([^>]*))?>>")
-#: Words that a replaceable region may stand for, where its markup doesn't say.
-VAR_WORDS = 20
+#: Words that a replaceable region may stand for, where its markup doesn't say; longer holders' names are refused.
+VAR_WORDS = 100
 _ANCHOR = 4
 
 
@@ -150,12 +152,14 @@ class Scanner:
     def scan(self, data: bytes) -> dict:
         words = tokens(data)
         line = b" " + b" ".join(words) + b" "
+        # where each word's leading space stands in the line, to tell words by places
+        spaces = list(accumulate((len(w) + 1 for w in words), initial=0))
         places: list[int] = []
         base: set[str] = set()
         for phrase, label in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                places.append(bisect_left(spaces, at))
                 base.add(label)
                 at = line.find(phrase, at + 1)
         spans = []
@@ -163,7 +167,7 @@ class Scanner:
             at = line.find(anchor)
             done = -1
             while at >= 0:
-                middle = line.count(b" ", 0, at)
+                middle = bisect_left(spaces, at)
                 if middle >= done:
                     # the words before the anchor are optional or replaceable, so a match may begin at any of them
                     for start in range(middle, max(done, middle - automaton.lead, 0) - 1, -1):

@@ -1,11 +1,12 @@
 """License and notice texts in template markup (fixed values).
 
-Keys are labels; what follows a ``#`` tells templates of one label apart.
+Keys are labels; what follows a ``#`` tells templates of one label apart.  A
+``notice`` is the customary sentence that names a license, not its text.
 """
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
-    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
     "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
 _BSD = (
@@ -15,10 +16,16 @@ _BSD = (
     "in the documentation and/or other materials provided with the distribution. "
 )
 _NO_ENDORSEMENT = (
-    "<<beginOptional>>3.<<endOptional>> Neither the name of <<var;max=12>> nor the names of <<var;max=4>> contributors may be used to endorse or promote products "
+    "<<beginOptional>>3.<<endOptional>> Neither the name of <<var>> nor the names of <<var>> contributors may be used to endorse or promote products "
     "derived from this software without specific prior written permission. "
 )
-_BSD_END = "THIS SOFTWARE IS PROVIDED BY <<var;max=12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY <<var>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN "
+    "IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 
 TEMPLATES: dict[str, str] = {
     "mit#full": (
@@ -27,33 +34,44 @@ TEMPLATES: dict[str, str] = {
         "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
         "permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. " + _WARRANTY
     ),
-    "mit#notice": "<<beginOptional>>This <<var;max=3>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the MIT License",
     "apache-2#notice": "Licensed under the Apache License, Version 2.0",
     "apache-2#terms": "Apache License Version 2.0<<beginOptional>>, January 2004<<endOptional>> <<beginOptional>>http://www.apache.org/licenses/<<endOptional>> TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     "bsd-2-clause": _BSD + _BSD_END,
     "bsd-3-clause": _BSD + _NO_ENDORSEMENT + _BSD_END,
     "isc": (
         "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies."
+        'that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var>> DISCLAIMS ALL WARRANTIES WITH REGARD '
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     "zlib": (
-        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
-        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"
+        "This software is provided 'as-is', without any express or implied warranty. In no event will <<var>> be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "<<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "<<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, "
+        "the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        "future rights to this software under copyright law. " + _WARRANTY + " <<beginOptional>>For more information, please refer to http://unlicense.org/<<endOptional>>"
     ),
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     "mpl-2#notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "gpl-3#long": (
-        "<<var;max=6>> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "<<var;max=12>> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
         "Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "gpl-2#long": (
-        "<<var;max=6>> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "<<var;max=12>> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
         "Foundation; either version 2 of the License, or (at your option) any later version."
     ),
     "gpl-3#notice": "licensed under the GNU General Public License, version 3",
     "gpl-2#notice": "licensed under the GNU General Public License, version 2",
     "cc-by": "licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc#notice": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "cc-by-nc#short": "<<beginOptional>>licensed<<endOptional>> <<beginOptional>>under<<endOptional>> CC BY-NC <<beginOptional>>4.0<<endOptional>>",
     "cc-by-sa": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }

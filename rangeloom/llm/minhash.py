@@ -199,8 +199,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
 
-    Rows that repeat a kept id are dropped too, down to one; a row without an id stays.
+    Rows that repeat a kept id are dropped too, down to the one whose text has the smallest hash; a row without an id stays.
     """
     verdict = near_duplicates(docs, id_col, text_col, **options).where(F.col("kept") & F.col(id_col).isNotNull())
-    kept = docs.join(verdict.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    kept = docs.join(verdict.select(id_col).distinct(), id_col, "left_semi")
+    one = kept.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.col(text_col).cast("string"))).alias("_row"))
+    return one.select("_row.*").unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

@@ -40,14 +40,18 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, per
 def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
     """Allot each group's ``seats`` to its parties by the highest quotients votes / (2k + 1).
 
-    Every party surely gets the seats up to two below its exact quota, so only
-    the quotients around the quota compete; ties go to the smaller key.
+    A party's seats are its votes by the common divisor, rounded.  Rounding moves
+    each of n parties by a half at most, so votes by divisor add up to the seats
+    give or take n / 2; only the quotients within those bounds compete, two or
+    so for each party in all.  Ties go to the smaller key.
     """
     whole = Window.partitionBy(*group)
-    quota = F.when(F.sum(votes).over(whole) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(whole)).otherwise(F.lit(0.0))
-    sure = parties.withColumn("_sure", F.greatest(F.floor(quota) - 2, F.lit(0)).cast("long"))
+    share = F.when(F.sum(votes).over(whole) > 0, F.col(votes) / F.sum(votes).over(whole)).otherwise(F.lit(0.0))
+    half = F.count(F.when(F.col(votes) > 0, 1)).over(whole) / 2
+    low, high = share * (F.col(seats) - half) - 0.5, share * (F.col(seats) + half) + 0.5
+    sure = parties.withColumns({"_sure": F.greatest(F.floor(low) - 1, F.lit(0)).cast("long"), "_most": (F.ceil(high) + 1).cast("long")})
     sure = sure.withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
-    rivals = sure.where(F.col(votes) > 0).select("*", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 5)).alias("_k"))
+    rivals = sure.where(F.col(votes) > 0).select("*", F.explode(F.sequence(F.col("_sure"), F.col("_most"))).alias("_k"))
     rivals = rivals.withColumn("_place", F.row_number().over(whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), key)))
     won = rivals.groupBy(*group, key).agg((F.min("_sure") + F.count(F.when(F.col("_place") <= F.col("_open"), 1))).alias("quota"))
     return parties.join(won, [*group, key], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("long"))

@@ -119,6 +119,27 @@ def test_license_phrases_and_templates(spark):
     assert got[5].labels == "apache-2" and got[6].base_labels == "cc-by-nc"
 
 
+def test_templates_are_whole_and_matching_is_linear():
+    import time
+
+    from rangeloom.llm.license_templates import TEMPLATES
+
+    scanner = license_scan.Scanner()
+    full = {k: re.sub(r"<<beginOptional>>(.*?)<<endOptional>>", r"\1", v) for k, v in TEMPLATES.items()}
+    holder = "the authors or copyright holders and or their suppliers of " + "Some Long Name " * 12
+    for key, text in full.items():
+        text, label = re.sub(r"<<var[^>]*>>", holder if "max" not in text else "this program", text), key.partition("#")[0]
+        assert label in scanner.scan(text.encode())["labels"], key
+        if "#" not in key:
+            words = text.split()
+            assert label not in scanner.scan(" ".join(words[: len(words) // 2] + ["provided", "nobody", "objects"]).encode())["labels"], key
+    changed = full["zlib"].replace("<<var>>", "the authors").replace("plainly marked", "quietly marked").encode()
+    assert "zlib" not in scanner.scan(changed)["labels"]
+    began = time.perf_counter()
+    found = scanner.scan(b"under the MIT license, " * 100_000)
+    assert len(found["places"]) == 100_000 and found["places"][-1] == 4 * 99_999 and time.perf_counter() - began < 5
+
+
 def test_template_regions():
     a = license_scan.compile_template("t", "one two three four <<beginOptional>>five <<beginOptional>>six<<endOptional>><<endOptional>> <<var;max=2>> end here now please")
     accepts = lambda s: a.match(license_scan.tokens(s), 0) is not None
@@ -235,6 +256,14 @@ def test_html_head():
     assert html_text.main_text(page) == html_text.main_text(page.replace("</head>", "")) == LONG
 
 
+def test_html_deep_nesting_is_linear():
+    import time
+
+    began = time.perf_counter()
+    text = html_text.main_text("<article>" + "<div>" * 30_000 + "words of the article" + "</div>" * 30_000 + "<p>more words</p></article>")
+    assert text == "words of the article\n\nmore words" and time.perf_counter() - began < 10
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "u", "<p>" + "long " * 50000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = html_text.extract_pages(df).collect()
@@ -299,6 +328,17 @@ def test_sainte_lague(spark):
     assert got == seats
 
 
+def test_sainte_lague_of_many_small_parties(spark):
+    for small in (0.4, 0.6):
+        votes = {"big": 60.0} | {f"p{i:03d}": small + i / 1e6 for i in range(100)}
+        df = spark.createDataFrame([(1, k, v, 100) for k, v in votes.items()], "g int, k string, votes double, seats long")
+        got = {r.k: r.quota for r in mixing.sainte_lague(df, ["g"], "k", "votes", "seats").collect()}
+        seats = dict.fromkeys(votes, 0)
+        for _ in range(100):
+            seats[max(votes, key=lambda k: votes[k] / (2 * seats[k] + 1))] += 1
+        assert got == seats and sum(got.values()) == 100
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.mix(odd).count() == len(ODD)
     assert mixing.mix(none).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators.intervals import canonic, difference
-from rangeloom.operators.ranges import BIN, no_nan, overlap_join, running
+from rangeloom.operators.ranges import BIN, no_nan, number_rows, overlap_join, running
 
 SOURCE = ["chromsrc", "startsrc", "endsrc"]
 TARGET = ["chrom", "start", "end"]
@@ -100,7 +100,7 @@ def liftover(rows: DataFrame, chain: DataFrame, metadata: bool = False, merge: b
     ``metadata`` also ``score`` and the block's source part; ``merge`` joins
     touching pieces of one row and chain.
     """
-    numbered = rows.withColumn("intervalID", F.row_number().over(Window.orderBy("chrom", "start", "end")).cast("long")) if "intervalID" not in rows.columns else rows
+    numbered = rows if "intervalID" in rows.columns else number_rows(rows, "intervalID", ["chrom", "start", "end"])
     source = chain.select(
         F.col("chromsrc").alias("chrom"), F.col("startsrc").alias("start"), F.col("endsrc").alias("end"), F.col("chrom").alias("t_chrom"), F.col("start").alias("t_start"), F.col("end").alias("t_end"),
         "strand", "strandsrc", "chain_id", "score",
@@ -141,7 +141,8 @@ def lift_track(track: DataFrame, chain: DataFrame, aggregate: str = "mean", na_r
     Converted records are cut at each other's edges, so that every piece is
     covered by whole records; touching pieces stay apart.
     """
-    rows = track.select("chrom", "start", "end", no_nan("value").alias("value"), (F.col("end") - F.col("start")).alias("source_length"))
+    # records need no numbers here
+    rows = track.select("chrom", "start", "end", no_nan("value").alias("value"), (F.col("end") - F.col("start")).alias("source_length"), F.lit(0).cast("long").alias("intervalID"))
     lifted = liftover(rows, chain, bin_width=bin_width).select("chrom", "start", "end", "value", "source_length", "chain_id")
     edges = lifted.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
     from rangeloom.operators.intervals import next_start

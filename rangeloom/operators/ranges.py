@@ -83,6 +83,21 @@ def running(df: DataFrame, kind: str, value: Column, name: str, order: list[Colu
     return out.withColumn(name, both).drop("_tile", "_value", "_local", "_carry")
 
 
+def number_rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Add each row's number from 1 in an order, without sorting all rows in one task.
+
+    Rows are dealt to ranges of the order and stored; a row's number is its place
+    in its range and what the ranges before hold, a sum over a row for each.
+    """
+    place = F.monotonically_increasing_id()  # the partition above 33 bits, the row in it below
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "numbered")
+    part = F.shiftright("_place", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranged.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, name)
+
+
 def order_keys(order: list[Column]) -> list[Column]:
     """Columns of an ascending order, for use as a sort key in an aggregate."""
     return [c if isinstance(c, Column) else F.col(c) for c in order]

@@ -123,7 +123,7 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
     head = F.split(F.trim(F.get(lines, F.lit(0))), r"\s+")
     names = ["score", "chromsrc", "sizesrc", "strandsrc", "s0", "e0", "chrom", "size", "strand", "t0", "t1", "chain_id"]
-    rows = chains.select(*(F.get(head, F.lit(i)).alias(n) for i, n in enumerate(names)), F.slice(lines, 2, 10_000_000).alias("body"))
+    rows = chains.select(*(F.get(head, F.lit(i)).alias(n) for i, n in enumerate(names)), F.slice(lines, F.lit(2), F.size(lines)).alias("body"))
     blocks = F.transform("body", lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda y: y.cast("long")))
     step = lambda acc, b: F.struct(
         (acc["s"] + b[0] + F.coalesce(F.get(b, F.lit(1)), F.lit(0))).alias("s"),

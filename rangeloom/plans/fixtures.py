@@ -112,16 +112,14 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def event_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The sparse track ``ev``; positions are seconds."""
+    """The sparse track ``ev``; positions are seconds, up to the hour that holds the last event."""
     ev = event_records(spark, sf_dir)
-    ws = Workspace(chroms_of(ev, EVENT_SECONDS))
+    last = ev.agg(F.max("end")).first()[0] or 0
+    ws = Workspace(chroms_of(ev, -(-last // 3600) * 3600))
     ws.sparse("ev", ev)
     return ws
 
 
-EVENT_SECONDS = 86400 * 400
-
-
 SQL = f"""
 price AS (SELECT l_returnflag || l_linestatus AS chrom, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7)::BIGINT AS bin, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(l_extendedprice) / 100 AS value
           FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2),

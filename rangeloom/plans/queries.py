@@ -197,7 +197,7 @@ def vtrack_lse(spark, d):
 
 @query(
     _with(
-        """w AS (SELECT chrom, s AS "start", s + 3600 AS "end" FROM (SELECT chrom, unnest(range(0, 86400 * 400, 3600)) AS s FROM (SELECT DISTINCT chrom FROM ev))),
+        """w AS (SELECT chrom, s AS "start", s + 3600 AS "end" FROM (SELECT chrom, unnest(range(0, (SELECT (max("end") + 3599) // 3600 * 3600 FROM ev), 3600)) AS s FROM (SELECT DISTINCT chrom FROM ev))),
         g AS (SELECT w.chrom, w."start", count(value) AS n, avg(value) AS m, max(value) AS hi FROM w JOIN ev ON w.chrom = ev.chrom AND ev."start" < w."end" AND w."start" < ev."end" GROUP BY ALL)""",
         'SELECT chrom, "start", "end", coalesce(n, 0) AS n, round(m, 6) AS m, round(hi, 6) AS hi FROM w LEFT JOIN g USING (chrom, "start")',
     )
@@ -549,7 +549,7 @@ def band_intersect(spark, d):
 
 @query(
     _with(
-        """cell AS (SELECT chrom1, i * 100 AS start1, i * 100 + 100 AS end1, chrom2, j * 50 AS start2, j * 50 + 50 AS end2 FROM (SELECT DISTINCT chrom1, chrom2 FROM rect), range(0, 6) r(i), range(0, 4000) s(j)),
+        """cell AS (SELECT chrom1, i * 100 AS start1, i * 100 + 100 AS end1, chrom2, j * 50 AS start2, j * 50 + 50 AS end2 FROM (SELECT DISTINCT chrom1, chrom2 FROM rect), range(0, (SELECT max(end1) // 100 + 1 FROM rect)) r(i), range(0, (SELECT max(end2) // 50 + 1 FROM rect)) s(j)),
         o AS (SELECT c.*, r.value, (least(c.end1, r.end1) - greatest(c.start1, r.start1)) * (least(c.end2, r.end2) - greatest(c.start2, r.start2)) AS area
               FROM cell c JOIN rect r ON c.chrom1 = r.chrom1 AND c.chrom2 = r.chrom2 AND c.start1 < r.end1 AND r.start1 < c.end1 AND c.start2 < r.end2 AND r.start2 < c.end2)""",
         """SELECT chrom1, start1, end1, chrom2, start2, end2, round(sum(value * area) / sum(area), 6) AS avg, round(sum(value * area), 2) AS weighted_sum, sum(area)::DOUBLE AS area, min(value) AS min, max(value) AS max
@@ -558,7 +558,8 @@ def band_intersect(spark, d):
 )
 def area_average(spark, d):
     rows = fx.part_rectangles(spark, d)
-    scope = rows.select("chrom1", F.lit(0).cast("long").alias("start1"), F.lit(600).cast("long").alias("end1"), "chrom2", F.lit(0).cast("long").alias("start2"), F.lit(200000).cast("long").alias("end2")).distinct()
+    far = rows.agg(((F.floor(F.max("end1") / 100) + 1) * 100).alias("end1"), ((F.floor(F.max("end2") / 50) + 1) * 50).alias("end2"))
+    scope = rows.select("chrom1", F.lit(0).cast("long").alias("start1"), "chrom2", F.lit(0).cast("long").alias("start2")).distinct().join(F.broadcast(far), F.lit(True))
     cells = td.fixed_rectangles(scope, 100, 50).drop("intervalID")
     made = td.area_summary(cells, rows, bin_width=64).where("area IS NOT NULL")
     digits = {"weighted_sum": 2}
@@ -582,8 +583,9 @@ def import_contacts(spark, d):
 )
 def cis_decay(spark, d):
     points = td.import_contacts(fx.trade_points(spark, d))
-    whole = points.select(F.col("chrom1").alias("chrom"), F.lit(0).cast("long").alias("start"), F.lit(10**6).cast("long").alias("end")).distinct()
-    domains = whole.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long")))).select("chrom", (F.col("k") * 1000).alias("start"), (F.col("k") * 1000 + 1000).alias("end"))
+    top = F.floor(F.max(F.greatest("start1", "start2")) / 1000)
+    whole = points.groupBy(F.col("chrom1").alias("chrom")).agg(F.lit(0).cast("long").alias("start"), ((top + 1) * 1000).alias("end"))
+    domains = whole.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 1000) - 1))).select("chrom", (F.col("k") * 1000).alias("start"), (F.col("k") * 1000 + 1000).alias("end"))
     return td.cis_decay(points, lambda x: bin_index(x, [0, 100, 500, 2000, 1e9]), whole, domains)
 
 
@@ -700,8 +702,10 @@ def markov_counts(spark, d):
     return _rounded(made.where("n > 0").select("context", "base", "n", "p"), 9)
 
 
-@query("SELECT label::VARCHAR AS chrom, vec_id AS \"start\", vec_id + 1 AS \"end\", round((embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3.0, 6) AS value FROM embeddings WHERE embedding IS NOT NULL")
+@query("SELECT label::VARCHAR AS chrom, vec_id AS \"start\", vec_id + 1 AS \"end\", round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)) + 1.3e-8, 6) AS value FROM embeddings WHERE embedding IS NOT NULL")
 def array_slice(spark, d):
     rows = fx.table(spark, d, "embeddings").where("embedding IS NOT NULL")
     track = rows.select(F.col("label").cast("string").alias("chrom"), F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("end"), F.col("embedding").alias("value"))
-    return _rounded(tr.array_slice(track, [f"v{i}" for i in range(3)]))
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    made = tr.array_slice(track, [f"v{i}" for i in range(width or 0)])
+    return _rounded(made.withColumn("value", F.col("value") + 1.3e-8))

@@ -28,3 +28,15 @@ def test_stages(spark, tmp_path):
     assert seen[2] == seen[1] - {203}
     assert seen[3] <= seen[2] and seen[4] == seen[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_stages_on_odd_and_no_rows(spark, tmp_path):
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, " \n\t ", "en", None), (3, "the and with that", "en", "a"), (3, "the and with that", "en", "a"), (None, "the and with this", "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "the and with that house")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema), spark.createDataFrame([], schema)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            count = now.count()
+            assert count <= 3 * len(rows) and (name == "token_output" or now.columns == table.columns)

@@ -339,6 +339,13 @@ def test_sainte_lague_of_many_small_parties(spark):
         assert got == seats and sum(got.values()) == 100
 
 
+def test_mixed_documents_odd_rows(odd, none):
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert 0 < words(mixed) <= 2 * words(odd) and mixing.mixed_documents(none).count() == 0
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.mix(odd).count() == len(ODD)
     assert mixing.mix(none).count() == 0
@@ -613,6 +620,19 @@ def test_tokens_equal_the_library(spark, odd):
     assert sstable.token_shards(spark, df.limit(0), path).count() == 0
 
 
+def test_tokens_odd_rows(spark, odd, none):
+    wide = odd.withColumns({x: F.lit(1) for x in ("file", "low", "high", "ids", "bytes", "before", "documents")})
+    got = sstable.token_shards(spark, wide, tokenizer_path()).collect()
+    assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 2 and min(r.n_tokens for r in got) == 1
+    assert sstable.token_shards(spark, none, tokenizer_path()).count() == 0
+
+
+def test_language_rows_odd(odd, none):
+    kept = langid.accepted_rows(odd)
+    assert kept.columns == odd.columns and kept.where("text IS NULL").count() <= 1
+    assert langid.identify(odd).count() == len(ODD) and langid.accepted_rows(none).count() == 0
+
+
 def test_shard_blocks_and_bloom():
     sink = io.BytesIO()
     writer = sstable.Writer(sink)

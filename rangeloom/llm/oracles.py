@@ -71,3 +71,55 @@ t AS (SELECT doc_id, item_id, s, n + least(n, n_doc) AS total, sum(k) AS shared
 j AS (SELECT *, shared / (total - shared) AS j FROM t WHERE shared * 175 >= total * 75)
 SELECT doc_id, item_id, round(max(j), 6) AS similarity, arg_max(s, struct_pack(j := j, b := -s))::BIGINT AS start_word FROM j GROUP BY doc_id, item_id
 """
+
+
+def _assigned(name: str, codebook: str) -> str:
+    """Each part's nearest entry, ties to the lower index."""
+    return f"""
+{name} AS (SELECT r, p, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT x.r, x.p, c.e, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {codebook} c ON x.p = c.p AND x.i = c.i GROUP BY x.r, x.p, c.e) GROUP BY r, p)"""
+
+
+def _moved(name: str, given: str, codebook: str) -> str:
+    """Means of the parts given to each entry, rounded down; others stay."""
+    return f"""
+{name}_m AS (SELECT x.p, a.best.e AS e, x.i, sum(x.v) AS s, count(*) AS n FROM x JOIN {given} a ON x.r = a.r AND x.p = a.p GROUP BY ALL),
+{name} AS (SELECT c.p, c.e, c.i, CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS v
+    FROM {codebook} c LEFT JOIN {name}_m m ON m.p = c.p AND m.e = c.e AND m.i = c.i)"""
+
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x0 AS (SELECT r, w, unnest(range(16 * w)) AS j, unnest(embedding) AS v FROM k),
+x AS (SELECT r, j // w AS p, j % w AS i, floor(256 * v)::BIGINT AS v FROM x0),
+c0 AS (SELECT p, r AS e, i, v FROM x WHERE r < 64),{_assigned("a0", "c0")},{_moved("c1", "a0", "c0")},{_assigned("a1", "c1")},{_moved("c2", "a1", "c1")},{_assigned("a2", "c2")},
+f AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS s FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h.s AS codebooks_sha256 FROM f JOIN k USING (r), h
+"""
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, {_words("coalesce(text, '')")} AS ws FROM documents),
+m AS (SELECT min(doc_id) AS least, text FROM d GROUP BY text),
+f AS (SELECT d.doc_id, part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+             100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) AS c, regexp_matches(d.text, '[#$%&*|]') AS s, coalesce(doc_id > least, false) AS e
+      FROM d JOIN m ON m.text = d.text),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+q AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN s THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails
+      FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM q GROUP BY part, fails),
+t AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(v.x, w.x, y.x, z.x, u.x) AS filter_order FROM t v, t w, t y, t z, t u
+      WHERE w.x <> v.x AND y.x NOT IN (v.x, w.x) AND z.x NOT IN (v.x, w.x, y.x) AND u.x NOT IN (v.x, w.x, y.x, z.x)),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (SELECT part, filter_order, step, filter_order[step] AS own, n, good, toxic, fails,
+             contains(fails, filter_order[step]) AS hit, step > 1 AND regexp_matches(fails, '[' || filter_order[1:step - 1] || '_]') AS gone FROM n, s),
+g AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (WHERE hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import decontaminate, html_text, langid, license_scan, line_dedup, minhash, mixing, oracles, quality, sstable, warc
+from rangeloom.llm import bpe, decontaminate, filter_audit, html_text, langid, license_scan, line_dedup, minhash, mixing, oracles, quality, sstable, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,20 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(vector_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_id_output": op10_token_id_output,
+    "op11_bpe": op11_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +98,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": oracles.WARC,
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }

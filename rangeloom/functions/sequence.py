@@ -147,50 +147,117 @@ for _i, _pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
         _CODE[ord(_c)] = _i
 
 
-def anchor_scores(seq: str, logs: np.ndarray) -> np.ndarray:
+#: How letters without a base (N and *) score: the column's mean, log(1/4), or log(1/4) on the forward strand and the mean on the reverse.
+NEUTRAL = ("average", "log_quarter", "forward_quarter", "na")
+
+
+def strand_logs(logs: np.ndarray, neutral: str = "average") -> tuple[np.ndarray, np.ndarray]:
+    """Log matrices of both strands; the fifth column, of other letters, follows ``neutral``."""
+    if neutral not in NEUTRAL:
+        raise ValueError(f"neutral is one of {NEUTRAL}")
+    forward, backward = logs.copy(), logs[::-1][:, [3, 2, 1, 0, 4]].copy()
+    if neutral in ("log_quarter", "forward_quarter"):
+        forward[:, 4] = np.log(0.25)
+    if neutral == "log_quarter":
+        backward[:, 4] = np.log(0.25)
+    if neutral == "na":
+        forward[:, 4] = backward[:, 4] = np.nan
+    return forward, backward
+
+
+def _letters(seq: str) -> np.ndarray:
+    return _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+
+
+def anchor_scores(seq: str | np.ndarray, logs: np.ndarray) -> np.ndarray:
     """Log score of the motif at each place of a sequence."""
     width = len(logs)
-    codes = _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    codes = _letters(seq) if isinstance(seq, str) else seq
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0)
     return sum(logs[j][codes[j : j + n]] for j in range(width))
 
 
-def _both(seq: str, logs: np.ndarray, bidirect: bool, strand: int) -> tuple[np.ndarray | None, np.ndarray | None]:
-    flipped = logs[::-1][:, [3, 2, 1, 0, 4]]
-    forward = anchor_scores(seq, logs) if bidirect or strand >= 0 else None
-    backward = anchor_scores(seq, flipped) if bidirect or strand < 0 else None
-    return forward, backward
-
+@dataclass(frozen=True)
+class Scan:
+    """Where, and with what weight, a motif is looked for.
+
+    Places lie within ``start_pos`` to ``end_pos`` (1-based, inclusive; all by
+    default), which ``extend`` widens by that many letters on both sides, or by
+    the motif's width less one if true.  ``spat_factor`` weighs a place by the
+    bin of ``spat_bin`` letters that it lies in, counted from the region's start;
+    the last factor serves all places beyond.  Letters in ``gaps`` are skipped: a
+    motif is matched to the letters around them, and its place is that of its
+    first letter in the sequence with gaps.
+    """
 
-def pwm(seq: Column, motif: Motif, mode: str = "lse", bidirect: bool = True, strand: int = 1, prior: float = 0.01, threshold: float | None = None) -> Column:
-    """Score of a motif over all its places in a sequence.
+    start_pos: int | None = None
+    end_pos: int | None = None
+    extend: bool | int = False
+    spat_factor: tuple[float, ...] = ()
+    spat_bin: int = 1
+    gaps: str = ""
+
+    def places(self, seq: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the letters left, the places (0-based, in them) that are looked at, and the letters' places in ``seq``."""
+        pad = width - 1 if self.extend is True else int(self.extend)
+        first = (self.start_pos or 1) - 1
+        last = len(seq) - 1 if self.end_pos is None else self.end_pos - 1
+        low, high = max(0, first - pad), min(len(seq), last + 1 + pad)
+        at = np.arange(low, max(low, high))
+        codes = _letters(seq[low:high])
+        if self.gaps:
+            solid = ~np.isin(np.frombuffer(seq[low:high].encode("latin-1", "replace"), np.uint8), np.frombuffer(self.gaps.encode("latin-1"), np.uint8))
+            codes, at = codes[solid], at[solid]
+        return codes, np.arange(max(0, len(codes) - width + 1)), at
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        """Log weights of places in the sequence."""
+        if not self.spat_factor:
+            return np.zeros(len(at))
+        offset = at - ((self.start_pos or 1) - 1)
+        return np.log(np.asarray(self.spat_factor))[np.clip(offset // max(1, self.spat_bin), 0, len(self.spat_factor) - 1)]
+
+
+def pwm(
+    seq: Column, motif: Motif, mode: str = "lse", bidirect: bool = True, strand: int = 1, prior: float = 0.01, threshold: float | None = None,
+    neutral: str = "average", per_strand: bool = False, scan: Scan = Scan(),
+) -> Column:
+    """Score of a motif over its places in a sequence, as ``scan`` says.
 
     ``mode``: lse (log-sum-exp over places and strands), max, pos (1-based place
-    of the best, negative on the reverse strand) or count (places whose strands'
-    log-sum-exp is ``threshold`` or more).  Null where the sequence is shorter
-    than the motif.
+    of the best, negative on the reverse strand; the first of equals, forward
+    before reverse) or count: places whose strands' log-sum-exp is ``threshold``
+    or more, or with ``per_strand`` strands that reach it.  Null where no place
+    fits the motif, 0 for a count.  ``neutral`` says how letters without a base
+    score; with ``na`` a sequence in which one is scored is null.
     """
-    logs = motif.log_matrix(prior)
+    forward_logs, backward_logs = strand_logs(motif.log_matrix(prior), neutral)
+    ways = ([forward_logs] if bidirect or strand >= 0 else []) + ([backward_logs] if bidirect or strand < 0 else [])
 
     def one(s: str | None) -> float | None:
         if s is None:
             return None
-        forward, backward = _both(s, logs, bidirect, strand)
-        ways = [x for x in (forward, backward) if x is not None]
-        if not len(ways[0]):
+        codes, starts, at = scan.places(s, len(motif.matrix))
+        if not len(starts):
+            return 0.0 if mode == "count" else None
+        scores = np.vstack([anchor_scores(codes, w) for w in ways])
+        if neutral == "na" and np.isnan(scores).any():
             return None
+        scores = scores + scan.weights(at[starts])
         if mode == "lse":
-            return float(np.logaddexp.reduce(np.concatenate(ways)))
+            return float(np.logaddexp.reduce(scores, axis=None))
         if mode == "max":
-            return float(max(x.max() for x in ways))
+            return float(scores.max())
         if mode == "count":
-            return float((np.logaddexp.reduce(np.vstack(ways), axis=0) >= threshold).sum())
-        best = np.max(np.vstack(ways), axis=0)
-        at = int(best.argmax())
-        reverse_ = backward is not None and (forward is None or backward[at] > forward[at])
-        return float(-(at + 1) if reverse_ else at + 1)
+            return float(((scores if per_strand else np.logaddexp.reduce(scores, axis=0)) >= threshold).sum())
+        if mode != "pos":
+            raise ValueError(f"unknown mode {mode}")
+        best = scores.max(0)
+        k = int(best.argmax())
+        reverse_ = not bidirect and strand < 0 or len(scores) == 2 and scores[1, k] > scores[0, k]
+        return float(-(at[k] + 1) if reverse_ else at[k] + 1)
 
     @F.pandas_udf("double")
     def scores(batch: pd.Series) -> pd.Series:

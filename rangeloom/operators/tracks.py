@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rangeloom.operators import iterators as it
 from rangeloom.operators.intervals import canonic
 from rangeloom.operators.ranges import BIN, TILE, no_nan, overlap_join, running
+from rangeloom.storage import stored
 
 #: Columns that tell a window apart: the iterator row's own chromosome, start and end.
 KEY = ["_chrom", "_start", "_end"]
@@ -59,6 +60,10 @@ def _stable(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.transform(F.array(F.array_max(values)), total)[0])
 
 
+def _log_sum(value: Column) -> Column:
+    return _stable(F.collect_list(value))
+
+
 def _aggregate(func: str, params) -> Column:
     """The aggregate of a window's records: ``value``, their place ``pos``, the window's start ``wstart``."""
     v, pos = F.col("value"), F.when(F.col("value").isNotNull(), F.col("pos"))
@@ -107,6 +112,7 @@ class Workspace:
         self.sequence, self.sequence_chunk = sequence, sequence_chunk
         self.tracks: dict[str, Track] = {}
         self.virtual: dict[str, VirtualTrack] = {}
+        self._masks: dict[int, tuple[DataFrame, DataFrame]] = {}
 
     # names
 
@@ -173,6 +179,12 @@ class Workspace:
 
     # evaluation
 
+    def _mask(self, mask: DataFrame) -> DataFrame:
+        """A mask's merged intervals, made once for all names that have it."""
+        if id(mask) not in self._masks:
+            self._masks[id(mask)] = (mask, stored(canonic(mask), "mask"))
+        return self._masks[id(mask)][1]
+
     def _windows(self, rows: DataFrame, v: VirtualTrack) -> DataFrame:
         """The rows' windows (KEY, ``chrom``, ``start``, ``end``); masked ones in parts."""
         sized = rows.join(self.chroms.select("chrom", "size"), "chrom")
@@ -180,7 +192,7 @@ class Workspace:
         moved = sized.select(*KEY, "chrom", start.alias("start"), F.least(F.col("end") + v.eshift, "size").alias("end")).where("start < end")
         if v.mask is None:
             return moved
-        masked = canonic(v.mask)
+        masked = self._mask(v.mask)
         hits = overlap_join(moved, masked, self.bin_width, how="left")
         cuts = hits.groupBy(*KEY, "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("start1").isNotNull(), F.struct("start1", "end1")))).alias("cuts"))
         # free parts lie between one cut's end and the next cut's start
@@ -247,32 +259,83 @@ class Workspace:
         share = ranked.join(F.broadcast(total), F.lit(True)).select(F.col("value").alias(name), ((F.col("before") + F.col("c")) / F.col("_n")).alias("_p"))
         return made.join(share, name, "left").drop(name).withColumnRenamed("_p", name)
 
-    def _of_sequence(self, rows: DataFrame, v: VirtualTrack) -> DataFrame:
-        """``pwm*``, ``kmer.*`` and ``masked.*`` of the windows' sequences; a motif or k-mer may begin anywhere in its window."""
+    @staticmethod
+    def _wide(v: VirtualTrack) -> int:
+        """Letters that a sequence function looks at beyond its window."""
         from rangeloom.functions import sequence as seq
+
+        options = v.params if isinstance(v.params, dict) else {}
+        motif, kmer = v.params if isinstance(v.params, seq.Motif) else options.get("motif"), v.params if isinstance(v.params, str) else options.get("kmer")
+        return (len(motif.matrix) if motif else len(kmer) if kmer else 1) - 1 if options.get("extend", True) else 0
+
+    def _of_sequence(self, rows: DataFrame, wanted: dict[str, VirtualTrack]) -> DataFrame:
+        """``pwm*``, ``kmer.*`` and ``masked.*`` of the windows' sequences; a motif or k-mer may begin anywhere in its window.
+
+        A column for each of ``wanted``, whose shifts, mask and reach are one, so
+        that sequences are cut out once.  With a mask, motifs and k-mers begin in
+        what it leaves and, unless the option ``extend`` is false, may reach into
+        it.  The parts of a window are joined by function: counts add up,
+        fractions weigh as much as their part is long, the best score and the
+        fewest edits win, a place is the best part's, counted from the window's
+        start.  Log-sum-exp scores add up (the option ``parts`` as ``lse`` joins
+        them as one scan would).  A window that is masked as a whole is null.
+        """
         from rangeloom.sources.formats import extract_sequence
 
         if self.sequence is None:
-            raise ValueError(f"{v.func} needs the workspace's sequence table")
+            raise ValueError("sequence functions need the workspace's sequence table")
+        v = next(iter(wanted.values()))
+        windows = self._windows(rows, v).withColumn("_n", F.col("end") - F.col("start")).withColumn("_part", F.col("start"))
+        longer = windows.join(self.chroms.select("chrom", "size"), "chrom").withColumn("end", F.least(F.col("end") + self._wide(v), "size")).drop("size")
+        cut = extract_sequence(self.sequence, longer, self.sequence_chunk)
+        kinds = {name: self._sequence_function(w) for name, w in wanted.items()}
+        if v.mask is None:
+            return cut.select(*KEY, *(made[0].alias(name) for name, made in kinds.items()))
+        parts = cut.select(*KEY, "_part", "_n", *(c.alias(f"{name}{i}") for name, made in kinds.items() for i, c in enumerate(made)))
+        return parts.groupBy(*KEY).agg(*(self._joined(w, name).alias(name) for name, w in wanted.items()))
+
+    @staticmethod
+    def _sequence_function(v: VirtualTrack) -> list[Column]:
+        """The value of a part's sequence, and for places the score that they have."""
+        from rangeloom.functions import sequence as seq
+
         options = dict(v.params) if isinstance(v.params, dict) else {}
         motif, kmer = (v.params if isinstance(v.params, seq.Motif) else options.pop("motif", None)), (v.params if isinstance(v.params, str) else options.pop("kmer", None))
-        wide = (len(motif.matrix) if motif else len(kmer) if kmer else 1) - 1 if options.pop("extend", True) else 0
         strand = options.pop("strand", 1 if motif else 0)
-        windows = self._windows(rows, v)
-        longer = windows.join(self.chroms.select("chrom", "size"), "chrom").withColumn("end", F.least(F.col("end") + wide, "size")).drop("size")
-        cut = extract_sequence(self.sequence, longer, self.sequence_chunk)
+        options = {k: x for k, x in options.items() if k not in ("extend", "parts")}
         s = F.col("seq")
+        scored = lambda mode, **more: seq.pwm(s, motif, mode, strand=strand, **more, **options)
         kinds = {
-            "pwm": lambda: seq.pwm(s, motif, "lse", strand=strand, **options), "pwm.max": lambda: seq.pwm(s, motif, "max", strand=strand, **options), "pwm.max.pos": lambda: seq.pwm(s, motif, "pos", strand=strand, **options),
-            "pwm.count": lambda: seq.pwm(s, motif, "count", strand=strand, **options), "pwm.edit_distance": lambda: seq.pwm_edits(s, motif, **options),
-            "kmer.count": lambda: seq.kmer_count(s, kmer, strand, **options), "kmer.frac": lambda: seq.kmer_frac(s, kmer, strand, **options),
-            "masked.count": lambda: seq.masked_count(s), "masked.frac": lambda: seq.masked_frac(s),
+            "pwm": lambda: [scored("lse", **{} if "neutral" in options else {"neutral": "forward_quarter"})], "pwm.max": lambda: [scored("max")], "pwm.max.pos": lambda: [scored("pos"), scored("max")],
+            "pwm.count": lambda: [scored("count")], "pwm.edit_distance": lambda: [seq.pwm_edits(s, motif, **options)],
+            "kmer.count": lambda: [seq.kmer_count(s, kmer, strand, **options)], "kmer.frac": lambda: [seq.kmer_frac(s, kmer, strand, **options)],
+            "masked.count": lambda: [seq.masked_count(s)], "masked.frac": lambda: [seq.masked_frac(s)],
         }
         if v.func not in kinds:
             raise ValueError(f"unknown window function {v.func}")
-        return cut.select(*KEY, kinds[v.func]().alias("v"))
+        return kinds[v.func]()
+
+    @staticmethod
+    def _joined(v: VirtualTrack, name: str) -> Column:
+        """The aggregate of a masked window's parts, ``_part`` and ``_n`` their starts and lengths."""
+        value = F.col(f"{name}0")
+        n = F.when(value.isNotNull(), F.col("_n"))
+        parts = v.params.get("parts", "sum") if isinstance(v.params, dict) else "sum"
+        if parts not in ("sum", "lse"):
+            raise ValueError("parts of a masked window are joined by sum or lse")
+        if v.func == "pwm":
+            return F.sum(value) if parts == "sum" else _log_sum(value)
+        if v.func == "pwm.max.pos":
+            place = value + F.signum(value) * (F.col("_part") - F.greatest(F.col("_start") + v.sshift, F.lit(0)))
+            return F.max_by(place, F.when(value.isNotNull(), F.struct(F.col(f"{name}1"), -F.col("_part"))))
+        if v.func in ("kmer.frac", "masked.frac"):
+            return F.sum(value * n) / F.sum(n)
+        return {"pwm.max": F.max, "pwm.edit_distance": F.min}.get(v.func, F.sum)(value)
 
     def _of_intervals(self, rows: DataFrame, source: DataFrame, v: VirtualTrack) -> DataFrame:
+        """``coverage`` and ``neighbor.count`` of what a mask leaves of the windows; distances, which no mask changes."""
+        if v.func.startswith("distance"):
+            return self._distances(self._windows(rows, replace(v, mask=None)), source, v)
         windows = self._windows(rows, v)
         if v.func == "coverage":
             hit = overlap_join(windows, canonic(source), self.bin_width)
@@ -281,21 +344,51 @@ class Workspace:
             return size.join(part, KEY, "left").select(*KEY, (F.coalesce("c", F.lit(0)) / F.col("n")).alias("v"))
         if v.func == "neighbor.count":
             wide = source.select("chrom", (F.col("start") - int(v.params or 0)).alias("start"), (F.col("end") + int(v.params or 0)).alias("end"))
-            hit = overlap_join(windows, wide, self.bin_width).groupBy(*KEY).agg(F.count("*").alias("c"))
+            if v.mask is None:
+                hit = overlap_join(windows, wide, self.bin_width).groupBy(*KEY).agg(F.count("*").alias("c"))
+            else:
+                # an interval that several parts of a window meet counts once
+                met = overlap_join(windows, stored(wide.withColumn("_i", F.monotonically_increasing_id()), "wide"), self.bin_width)
+                hit = met.select(*KEY, "_i").distinct().groupBy(*KEY).agg(F.count("*").alias("c"))
             return windows.select(*KEY).distinct().join(hit, KEY, "left").select(*KEY, F.coalesce("c", F.lit(0)).alias("v"))
+        raise ValueError(f"unknown window function {v.func}")
+
+    def _distances(self, windows: DataFrame, source: DataFrame, v: VirtualTrack) -> DataFrame:
+        """``distance`` and ``distance.center`` of the windows' centres, ``distance.edge`` of the windows.
+
+        ``distance`` is measured from the centre to the nearer edge of the
+        nearest interval.  Half of its parameter is a margin: inside an interval
+        the place between its edges scales from minus to plus the margin, and
+        outside it is what lies beyond.  Signs follow the interval's strand; without one, distances are absolute.
+        """
+        from rangeloom.operators.nearest import neighbors
+
+        source = source.select("chrom", "start", "end", (F.coalesce("strand", F.lit(0)) if "strand" in source.columns else F.lit(0)).cast("int").alias("strand"))
+        if v.func == "distance.edge":
+            return neighbors(windows, source, 1, bin_width=self.bin_width).select(*KEY, F.col("dist").cast("double").alias("v"))
         centre = F.floor((F.col("start") + F.col("end")) / 2)
         points = windows.select(*KEY, "chrom", centre.alias("start"), (centre + 1).alias("end"))
+        at, way = F.col("start"), F.col("strand1")
         if v.func == "distance.center":
-            hit = overlap_join(points, source.select("chrom", "start", "end", *(["strand"] if "strand" in source.columns else [])), self.bin_width)
-            d = F.col("start") - F.floor((F.col("start1") + F.col("end1")) / 2)
-            d = d * F.when(F.col("strand") == -1, -1).otherwise(1) if "strand" in source.columns else d
-            return hit.withColumn("d", d).groupBy(*KEY).agg(F.min_by("d", F.struct(F.abs("d"), F.col("d"))).alias("v"))
-        if v.func in ("distance", "distance.edge"):
-            from rangeloom.operators.nearest import neighbors
-
-            near = neighbors(points if v.func == "distance" else windows, source, 1, bin_width=self.bin_width)
-            return near.select(*KEY, F.col("dist").alias("v"))
-        raise ValueError(f"unknown window function {v.func}")
+            hit = overlap_join(points, source.withColumnRenamed("strand", "strand1"), self.bin_width)
+            d = at - F.floor((F.col("start1") + F.col("end1")) / 2)
+            d = F.when(way == 1, d).when(way == -1, -d).otherwise(F.abs(d))
+            return hit.withColumn("d", d).groupBy(*KEY).agg(F.min_by("d", F.struct(F.abs("d"), F.col("d"))).cast("double").alias("v"))
+        if v.func != "distance":
+            raise ValueError(f"unknown window function {v.func}")
+        margin = float(v.params or 0) / 2
+        if margin < 0:
+            raise ValueError("the parameter of distance must not be negative")
+        if margin and source.count() != canonic(source, touching=False).count():
+            raise ValueError("intervals of a distance with a margin must not overlap")
+        near = neighbors(points, source, 1, bin_width=self.bin_width)
+        sign = F.when(way == 1, -1).otherwise(1)
+        left, right = (F.col("start1") - at) * sign, (F.col("end1") - at) * sign
+        offset = sign * margin
+        inside = (at >= F.col("start1")) & (at < F.col("end1"))
+        outer = F.when(F.abs(left) <= F.abs(right), left + offset).otherwise(right - offset)
+        d = F.when(inside, margin * (left + right) / (F.col("end1") - F.col("start1")) if margin else F.lit(0.0)).otherwise(outer)
+        return near.select(*KEY, F.when(way != 0, d).otherwise(F.abs(d)).cast("double").alias("v"))
 
     def values(self, rows: DataFrame, name: str) -> DataFrame:
         """``KEY`` and ``v``: a named track's value for each keyed row."""
@@ -303,7 +396,7 @@ class Workspace:
         source = self.tracks[v.source] if isinstance(v.source, str) else v.source
         if isinstance(source, Track):
             return self._of_track(rows, source, {"v": v})
-        return self._of_sequence(rows, v) if source is None else self._of_intervals(rows, source, v)
+        return self._of_sequence(rows, {"v": v}) if source is None else self._of_intervals(rows, source, v)
 
     def evaluate(self, exprs: dict[str, str], scope: DataFrame | None = None, iterator=None) -> DataFrame:
         """Iterator rows with a column for each expression: ``chrom, start, end, intervalID, ...``.
@@ -328,7 +421,7 @@ class Workspace:
             if whole and v.func in _SAME and not v.sshift and not v.eshift and v.mask is None:
                 own.append(name)
             else:
-                alone = None if isinstance(source, Track) else name
+                alone = None if isinstance(source, Track) else self._wide(v) if source is None else name
                 groups.setdefault((id(source), v.sshift, v.eshift, id(v.mask), alone), {})[name] = v
         out, column = rows, {name: f"_v{i}" for i, name in enumerate(names)}
         for size in sorted({self._base(n).bin_size for n in own}):
@@ -346,6 +439,8 @@ class Workspace:
                 source = self.tracks[v.source] if isinstance(v.source, str) else v.source
                 if isinstance(source, Track):
                     made = self._of_track(windows, source, {column[n]: w for n, w in wanted.items()})
+                elif source is None:
+                    made = self._of_sequence(windows, {column[n]: w for n, w in wanted.items()})
                 else:
                     made = self.values(windows, first).withColumnRenamed("v", column[first])
                 out = out.join(made.withColumnRenamed("_chrom", "chrom"), ["chrom", "_start", "_end"], "left")

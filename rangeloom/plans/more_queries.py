@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+import numpy as np
 from pyspark.sql import functions as F
 
 from rangeloom.functions import sequence as seq
@@ -89,7 +90,7 @@ _NEAR = """near AS (SELECT q.chrom, q."start", q."end", b."start" AS s1, b."end"
 def _distance_query(func: str, a: str, b: str):
     ctes = fx.canonic_sql("a", "ca") + f', q AS (SELECT chrom, "start", "end", {a} AS a, {b} AS b FROM ca), ' + _NEAR.format(q="q")
 
-    @query(_with(ctes, 'SELECT q.chrom, q."start", q."end", dist::BIGINT AS d FROM q LEFT JOIN k ON k.chrom = q.chrom AND k."start" = q."start" AND k."end" = q."end" AND k = 1'), name=f"vtrack_{func.replace('.', '_')}")
+    @query(_with(ctes, 'SELECT q.chrom, q."start", q."end", dist::DOUBLE AS d FROM q LEFT JOIN k ON k.chrom = q.chrom AND k."start" = q."start" AND k."end" = q."end" AND k = 1'), name=f"vtrack_{func.replace('.', '_')}")
     def run(spark, d):
         rows = fx.order_spans(spark, d)
         ws = tr.Workspace(fx.chroms_of(rows))
@@ -97,7 +98,43 @@ def _distance_query(func: str, a: str, b: str):
         return ws.evaluate({"d": "x"}, iterator=iv.canonic(rows)).drop("intervalID")
 
 
-_distance_query("distance", '("start" + "end") // 2', '("start" + "end") // 2 + 1')
+# from the centre to the nearer edge of the nearest interval: strand 1 counts from the edge on, -1 towards it
+_CENTRES = """q AS (SELECT chrom, "start", "end", ("start" + "end") // 2 AS c FROM ca),
+ near AS (SELECT q.*, s."start" AS s1, s."end" AS e1, s.strand, greatest(s."start" - q.c, q.c + 1 - s."end", 0) AS away FROM q JOIN {source} s ON q.chrom = s.chrom AND s."start" < q.c + 60000 AND q.c < s."end" + 60000),
+ k AS (SELECT *, CASE WHEN strand = 1 THEN c - s1 ELSE s1 - c END AS l, CASE WHEN strand = 1 THEN c - e1 ELSE e1 - c END AS r, row_number() OVER (PARTITION BY chrom, "start", "end" ORDER BY away, s1, e1, strand) AS k FROM near)"""
+
+
+@query(
+    _with(
+        fx.canonic_sql("a", "ca") + ", " + _CENTRES.format(source="b"),
+        """SELECT q.chrom, q."start", q."end", CASE WHEN c >= s1 AND c < e1 THEN 0.0 WHEN abs(l) <= abs(r) THEN l ELSE r END::DOUBLE AS d
+        FROM ca q LEFT JOIN k ON k.chrom = q.chrom AND k."start" = q."start" AND k."end" = q."end" AND k = 1""",
+    )
+)
+def vtrack_distance(spark, d):
+    rows = fx.order_spans(spark, d)
+    ws = tr.Workspace(fx.chroms_of(rows))
+    ws.vtrack("x", fx.customer_spans(spark, d), "distance")
+    return ws.evaluate({"d": "x"}, iterator=iv.canonic(rows)).drop("intervalID")
+
+
+@query(
+    _with(
+        fx.canonic_sql("a", "ca") + ", " + fx.canonic_sql("b", "cb") + ', sb AS (SELECT chrom, "start", "end", ("start" % 3 - 1) AS strand FROM cb), ' + _CENTRES.format(source="sb"),
+        """SELECT q.chrom, q."start", q."end", round(CASE WHEN strand = 0 THEN abs(d) ELSE d END, 6) AS d FROM ca q LEFT JOIN (
+          SELECT *, CASE WHEN c >= s1 AND c < e1 THEN 50.0 * (l + r) / (e1 - s1) WHEN abs(l) <= abs(r) THEN l - CASE WHEN strand = 1 THEN 50 ELSE -50 END ELSE r + CASE WHEN strand = 1 THEN 50 ELSE -50 END END::DOUBLE AS d FROM k WHERE k = 1
+        ) k ON k.chrom = q.chrom AND k."start" = q."start" AND k."end" = q."end" """,
+    )
+)
+def vtrack_distance_margin(spark, d):
+    """A margin of 50 on each side; intervals of all three strands."""
+    rows = fx.order_spans(spark, d)
+    source = iv.canonic(fx.customer_spans(spark, d))
+    ws = tr.Workspace(fx.chroms_of(rows))
+    ws.vtrack("x", source.withColumn("strand", (F.col("start") % 3 - 1).cast("int")), "distance", 100)
+    return ws.evaluate({"d": "x"}, iterator=iv.canonic(rows)).select("chrom", "start", "end", F.round("d", 6).alias("d"))
+
+
 _distance_query("distance.edge", '"start"', '"end"')
 
 
@@ -106,7 +143,7 @@ _distance_query("distance.edge", '"start"', '"end"')
         fx.canonic_sql("a", "ca")
         + """, h AS (SELECT ca.chrom, ca."start", ca."end", ((ca."start" + ca."end") // 2 - (b."start" + b."end") // 2) * b.strand AS d FROM ca JOIN b ON ca.chrom = b.chrom AND (ca."start" + ca."end") // 2 >= b."start" AND (ca."start" + ca."end") // 2 < b."end"),
         k AS (SELECT *, row_number() OVER (PARTITION BY chrom, "start", "end" ORDER BY abs(d), d) AS k FROM h)""",
-        'SELECT ca.chrom, ca."start", ca."end", d::BIGINT AS d FROM ca LEFT JOIN k ON k.chrom = ca.chrom AND k."start" = ca."start" AND k."end" = ca."end" AND k = 1',
+        'SELECT ca.chrom, ca."start", ca."end", d::DOUBLE AS d FROM ca LEFT JOIN k ON k.chrom = ca.chrom AND k."start" = ca."start" AND k."end" = ca."end" AND k = 1',
     )
 )
 def vtrack_distance_center(spark, d):
@@ -306,6 +343,89 @@ def vtrack_sequence(spark, d):
     return ws.evaluate({"kf": "k", "masked": "m"}, iterator=500).drop("intervalID")
 
 
+def _sequence_workspace(spark, d):
+    """Texts as chromosomes of their own, in chunks."""
+    rows = fx.sequences(spark, d).where("length(seq) > 0").select(F.col("doc_id").cast("string").alias("chrom"), "seq")
+    chroms = rows.select((F.crc32("chrom") % 1_000_000_007).cast("int").alias("chrom_id"), "chrom", F.length("seq").cast("long").alias("size"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(1 << 16).cast("long")))
+    chunks = rows.withColumn("chunk_start", at).select("chrom", "chunk_start", F.substring("seq", (F.col("chunk_start") + 1).cast("int"), F.lit(1 << 16)).alias("seq"))
+    return tr.Workspace(chroms, sequence=chunks, sequence_chunk=1 << 16)
+
+
+def _score_sql(back: bool, neutral: str | None = None, letter: str = "c") -> str:
+    """Sum of a place's log scores by letter; ``neutral`` is what N counts, else the column's mean."""
+    parts = []
+    for j, row in enumerate(_LOGS):
+        a, c, g, t = row if not back else row[::-1]
+        place = len(_LOGS) - 1 - j if back else j
+        parts.append(f"CASE {letter}{place} WHEN 'A' THEN '{a}'::DOUBLE WHEN 'C' THEN '{c}'::DOUBLE WHEN 'G' THEN '{g}'::DOUBLE WHEN 'T' THEN '{t}'::DOUBLE ELSE {neutral or repr(str(float(np.mean(row))))}::DOUBLE END")
+    return " + ".join(parts if not back else parts[::-1])
+
+
+@query(
+    _with(
+        f"""l AS (SELECT doc_id::VARCHAR AS chrom, length(seq) AS size, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM seqs WHERE seq <> ''),
+        m AS (SELECT *, upper(c) AS c0, upper(lead(c) OVER w) AS c1, upper(lead(c, 2) OVER w) AS c2, upper(lead(c, 3) OVER w) AS c3, i // 500 * 500 AS s, CASE WHEN i % 500 < 200 THEN 0 WHEN i % 500 >= 260 THEN 1 END AS part FROM l WINDOW w AS (PARTITION BY chrom ORDER BY i)),
+        f AS (SELECT chrom, s, part, max(size) AS size, count(*) AS n, sum((c0 = 'A' AND c1 = 'C' AND c2 = 'G')::INT) AS k, count(c2) AS places, sum((c IN ('a', 'c', 'g', 't'))::INT) AS low,
+              ln(sum(CASE WHEN c3 IS NOT NULL THEN exp({_score_sql(False, 'ln(0.25)')}) + exp({_score_sql(True)}) END)) AS lse, max(CASE WHEN c3 IS NOT NULL THEN greatest({_score_sql(False)}, {_score_sql(True)}) END) AS best
+              FROM m WHERE part IS NOT NULL GROUP BY ALL)""",
+        """SELECT chrom, s AS "start", least(s + 500, max(size)) AS "end", coalesce(sum(k), 0)::BIGINT AS kc, round(sum(CASE WHEN places > 0 THEN coalesce(k, 0) / places * n END) / sum(CASE WHEN places > 0 THEN n END), 6) AS kf,
+        sum(low)::BIGINT AS mc, round(sum(low)::DOUBLE / sum(n), 6) AS mf, round(sum(lse), 5) AS lse, round(ln(sum(exp(lse))), 5) AS whole, round(max(best), 6) AS best FROM f GROUP BY chrom, s""",
+    )
+)
+def vtrack_masked_sequence(spark, d):
+    """K-mers, masked letters and motifs in windows of 500 letters that a mask cuts in two."""
+    ws = _sequence_workspace(spark, d)
+    at = F.explode(F.sequence(F.lit(200).cast("long"), F.col("size") + 500, F.lit(500).cast("long")))
+    mask = ws.chroms.withColumn("start", at).select("chrom", "start", (F.col("start") + 60).alias("end"))
+    kinds = {
+        "kc": ("kmer.count", {"kmer": "ACG", "strand": 1}), "kf": ("kmer.frac", {"kmer": "ACG", "strand": 1}), "mc": ("masked.count", None), "mf": ("masked.frac", None),
+        "lse": ("pwm", {"motif": MOTIF}), "whole": ("pwm", {"motif": MOTIF, "parts": "lse"}), "best": ("pwm.max", {"motif": MOTIF}),
+    }
+    for name, (func, params) in kinds.items():
+        ws.vtrack(name, None, func, params, mask=mask)
+    places = {"kf": 6, "mf": 6, "lse": 5, "whole": 5, "best": 6}
+    made = ws.evaluate({k: k for k in kinds}, iterator=500)
+    return made.where("mc IS NOT NULL").select("chrom", "start", "end", *(F.round(k, places[k]).alias(k) if k in places else k for k in kinds))
+
+
+_REGION = """p AS (SELECT doc_id, i, CASE WHEN i < 60 THEN 0.0 ELSE ln(0.25) END AS w, {f} AS f, {r} AS r FROM m WHERE c3 IS NOT NULL{where}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY greatest(f, r) + w DESC, i) AS k FROM p)"""
+
+
+def _region_query(name: str, ctes: str, where: str, text: str, scan: seq.Scan):
+    region = _REGION.format(f=_score_sql(False), r=_score_sql(True), where=where)
+
+    @query(
+        _with(
+            f"{ctes}, {region}",
+            """SELECT s.doc_id, round(ln(sum(exp(f + w) + exp(r + w))), 6) AS lse, round(max(greatest(f, r) + w), 6) AS best,
+            max(CASE WHEN k = 1 THEN CASE WHEN r > f THEN -(i + 1) ELSE i + 1 END END)::DOUBLE AS pos, coalesce(sum((f + w >= -4.0)::INT + (r + w >= -4.0)::INT), 0)::DOUBLE AS hits FROM seqs s LEFT JOIN k USING (doc_id) GROUP BY s.doc_id""",
+        ),
+        name=name,
+    )
+    def run(spark, d):
+        s = F.col("seq")
+        kinds = {"lse": {}, "max": {}, "pos": {}, "count": {"threshold": -4.0, "per_strand": True}}
+        names = {"lse": "lse", "max": "best", "pos": "pos", "count": "hits"}
+        made = fx.sequences(spark, d).select("doc_id", *(seq.pwm(s, MOTIF, mode, scan=scan, **more).alias(names[mode]) for mode, more in kinds.items()))
+        return made.select("doc_id", F.round("lse", 6).alias("lse"), F.round("best", 6).alias("best"), "pos", "hits")
+
+    run.__doc__ = text
+
+
+_PLACES = """l AS (SELECT doc_id, unnest(string_split(upper(seq), '')) AS c0, unnest(range(length(seq))) AS i FROM seqs WHERE seq <> ''),
+ m AS (SELECT doc_id, i, c0, lead(c0) OVER w AS c1, lead(c0, 2) OVER w AS c2, lead(c0, 3) OVER w AS c3 FROM l{where} WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+_region_query("pwm_spatial", _PLACES.format(where=""), " AND i >= 10 AND i + 3 < 200", "Places 11 to 200 of each text; those from place 61 on weigh a quarter.", seq.Scan(11, 200, spat_factor=(1.0, 0.25), spat_bin=50))
+_region_query(
+    "pwm_gaps",
+    _PLACES.format(where=" WHERE c0 <> 'N'"),
+    "",
+    "Letters without a base are gaps that a motif reaches over; places beyond the 60th weigh a quarter.",
+    seq.Scan(gaps="Nn", spat_factor=(1.0, 0.25), spat_bin=60),
+)
+
+
 @query("SELECT doc_id, replace(seq, 'ACG', 'CAG') AS seq FROM seqs")
 def replace_kmer(spark, d):
     """No target arises anew around this replacement, so that SQL's one pass does too."""

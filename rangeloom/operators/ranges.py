@@ -10,8 +10,8 @@ from rangeloom.storage import stored
 
 #: Positions in a tile.  Running aggregates sort within tiles and carry over a row per tile.
 TILE = 1 << 16
-#: Positions in a bin of an overlap join.
-BIN = 1 << 12
+#: Positions in a bin of an overlap join at the lowest level; bins that a row covers at its own level, about; levels.
+BIN, SPREAD, LEVELS = 1 << 12, 16, 8
 
 
 def no_nan(value: Column | str) -> Column:
@@ -20,17 +20,30 @@ def no_nan(value: Column | str) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
+def level_of(length: Column, bin_width: int = BIN, spread: int = SPREAD) -> Column:
+    """The level whose bins a length covers ``spread`` of at most (and one more, by its place): 0 is ``bin_width``, each next ``spread`` times as wide."""
+    level = F.when(length <= bin_width * spread, 0)
+    for k in range(1, LEVELS - 1):
+        level = level.when(length <= bin_width * spread ** (k + 1), k)
+    return level.otherwise(LEVELS - 1)
+
+
+def level_width(level: Column, bin_width: int = BIN, spread: int = SPREAD) -> Column:
+    return F.element_at(F.array(*(F.lit(bin_width * spread**k).cast("long") for k in range(LEVELS))), level + 1)
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, bin_width: int = BIN, how: str = "inner", keys: tuple[str, ...] = ("chrom",), suffix: str = "1", touching: bool = False
 ) -> DataFrame:
     """Pairs of rows whose half-open ``[start, end)`` overlap, once each.
 
-    Columns of ``right`` get ``suffix`` where ``left`` has the name.  Both sides
-    are dealt to bins of ``bin_width`` positions and joined on (keys, bin), so
-    the join is an equi-join whose work follows the pairs, not the product of a
-    key's rows, and a long chromosome spreads over its bins.  A pair that meets
-    in several bins is kept in the one that holds its later start.  ``how`` is
-    inner, left, left_semi or left_anti.
+    Columns of ``right`` get ``suffix`` where ``left`` has the name.  Each row
+    has the level of bins that suits its own length; a pair meets at the wider
+    of its two levels, so a row is dealt to SPREAD + 1 bins at most for each
+    level that the other side has, however long it is, and the join is an
+    equi-join on (keys, levels, bin) whose work follows the pairs.  Most tables
+    have one level.  A pair that meets in several bins is kept in the one that
+    holds its later start.  ``how`` is inner, left, left_semi or left_anti.
     """
     if how != "inner":
         # both sides of the join below read these numbers, so they are stored
@@ -41,14 +54,26 @@ def overlap_join(
             return row.join(extra, "_row", "left").drop("_row")
         return row.join(found.select("_row").distinct(), "_row", how).drop("_row")
     pad = 1 if touching else 0
-    bins = lambda s, e: F.explode(F.sequence(F.floor((F.col(s) - pad) / bin_width), F.floor((F.greatest(F.col(e) + pad, F.col(s) + 1) - 1) / bin_width)))
     names = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns}
-    a = left.withColumn("_bin", bins("start", "end"))
-    b = right.select(*(F.col(c).alias(f"_r_{c}") for c in right.columns)).withColumn("_bin2", bins("_r_start", "_r_end"))
-    on = (F.col("_bin") == F.col("_bin2")) & (F.col("start") < F.col("_r_end") + pad) & (F.col("_r_start") < F.col("end") + pad)
+    a = left.withColumn("_level", level_of(F.col("end") - F.col("start"), bin_width))
+    b = right.select(*(F.col(c).alias(f"_r_{c}") for c in right.columns)).withColumn("_r_level", level_of(F.col("_r_end") - F.col("_r_start"), bin_width))
+    levels = lambda df, c: df.select(F.collect_set(c)).scalar()
+
+    def bins(df: DataFrame, other: Column, level: str, met: str, start: str, end: str, out: str) -> DataFrame:
+        """Rows by the levels of the other side, and their bins at the wider of both."""
+        df = df.withColumn(met, F.explode(other))
+        width = level_width(F.greatest(level, met), bin_width)
+        first, last = F.floor((F.col(start) - pad) / width), F.floor((F.greatest(F.col(end) + pad, F.col(start) + 1) - 1) / width)
+        return df.withColumn(out, F.explode(F.sequence(first, last)))
+
+    la, lb = levels(a, "_level"), levels(b, "_r_level")
+    a = bins(a, lb, "_level", "_met", "start", "end", "_bin")
+    b = bins(b, la, "_r_level", "_r_met", "_r_start", "_r_end", "_r_bin")
+    on = (F.col("_bin") == F.col("_r_bin")) & (F.col("_level") == F.col("_r_met")) & (F.col("_met") == F.col("_r_level"))
+    on = on & (F.col("start") < F.col("_r_end") + pad) & (F.col("_r_start") < F.col("end") + pad)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
-    first = F.greatest(F.floor((F.col("start") - pad) / bin_width), F.floor((F.col("_r_start") - pad) / bin_width))
+    first = F.floor((F.greatest("start", "_r_start") - pad) / level_width(F.greatest("_level", "_met"), bin_width))
     joined = a.join(b, on).where(F.col("_bin") == first)
     return joined.select(*left.columns, *(F.col(f"_r_{c}").alias(n) for c, n in names.items() if c not in keys))
 

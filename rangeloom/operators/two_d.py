@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators.intervals import canonic
-from rangeloom.operators.ranges import BIN, no_nan, overlap_join
+from rangeloom.operators.ranges import BIN, level_of, level_width, no_nan, overlap_join
 from rangeloom.storage import stored
 
 KEYS = ("chrom1", "chrom2")
@@ -23,21 +23,36 @@ def all_pairs(chroms: DataFrame) -> DataFrame:
 def rectangle_join(left: DataFrame, right: DataFrame, bin_width: int = BIN) -> DataFrame:
     """Pairs of overlapping rectangles, once each; columns of ``right`` get the prefix ``r_``.
 
-    Both sides are dealt to the cells of a grid over both axes and joined on the
-    cell; a pair counts in the cell of its later starts.
+    On each axis a rectangle has the level of cells that suits its own extent
+    there, as in ``overlap_join``; a pair meets, axis by axis, at the wider of
+    its two levels.  A rectangle is dealt to (SPREAD + 1) squared cells at most
+    for each pair of levels that the other side has, be it as large as two
+    chromosomes, and a pair counts in the cell of its later starts.
     """
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda k: F.sequence(F.floor(F.col(f"{p}start{k}") / bin_width), F.floor((F.col(f"{p}end{k}") - 1) / bin_width))
-        return df.withColumn(f"_{p}x", F.explode(span(1))).withColumn(f"_{p}y", F.explode(span(2)))
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumns({f"_{p}l{k}": level_of(F.col(f"{p}end{k}") - F.col(f"{p}start{k}"), bin_width) for k in (1, 2)})
 
-    b = cells(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_")
-    a = cells(left, "")
-    on = (F.col("chrom1") == F.col("r_chrom1")) & (F.col("chrom2") == F.col("r_chrom2")) & (F.col("_x") == F.col("_r_x")) & (F.col("_y") == F.col("_r_y"))
+    def levels(df: DataFrame, p: str) -> Column:
+        return df.select(F.collect_set(F.struct(F.col(f"_{p}l1").alias("l1"), F.col(f"_{p}l2").alias("l2")))).scalar()
+
+    def cells(df: DataFrame, p: str, other: Column) -> DataFrame:
+        df = df.withColumn(f"_{p}met", F.explode(other))
+        for k in (1, 2):
+            width = level_width(F.greatest(F.col(f"_{p}l{k}"), F.col(f"_{p}met.l{k}")), bin_width)
+            df = df.withColumn(f"_{p}c{k}", F.explode(F.sequence(F.floor(F.col(f"{p}start{k}") / width), F.floor((F.col(f"{p}end{k}") - 1) / width))))
+        return df
+
+    a, b = levelled(left, ""), levelled(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_")
+    la, lb = levels(a, ""), levels(b, "r_")
+    a, b = cells(a, "", lb), cells(b, "r_", la)
+    on = (F.col("chrom1") == F.col("r_chrom1")) & (F.col("chrom2") == F.col("r_chrom2"))
     for k in (1, 2):
+        on = on & (F.col(f"_c{k}") == F.col(f"_r_c{k}")) & (F.col(f"_l{k}") == F.col(f"_r_met.l{k}")) & (F.col(f"_met.l{k}") == F.col(f"_r_l{k}"))
         on = on & (F.col(f"start{k}") < F.col(f"r_end{k}")) & (F.col(f"r_start{k}") < F.col(f"end{k}"))
-    first = lambda k: F.floor(F.greatest(f"start{k}", f"r_start{k}") / bin_width)
-    return a.join(b, on).where((F.col("_x") == first(1)) & (F.col("_y") == first(2))).drop("_x", "_y", "_r_x", "_r_y")
+    first = lambda k: F.floor(F.greatest(f"start{k}", f"r_start{k}") / level_width(F.greatest(F.col(f"_l{k}"), F.col(f"_met.l{k}")), bin_width))
+    met = a.join(b, on).where((F.col("_c1") == first(1)) & (F.col("_c2") == first(2)))
+    return met.select(*left.columns, *(f"r_{c}" for c in right.columns))
 
 
 def intersect_2d(a: DataFrame, b: DataFrame, bin_width: int = BIN) -> DataFrame:

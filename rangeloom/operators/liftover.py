@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.operators.components import connected_components
 from rangeloom.operators.intervals import canonic, difference
 from rangeloom.operators.ranges import BIN, no_nan, number_rows, overlap_join, running
+from rangeloom.storage import stored
 
 SOURCE = ["chromsrc", "startsrc", "endsrc"]
 TARGET = ["chrom", "start", "end"]
 
 
+#: Target policies that keep all blocks, and what weighs the groups of blocks that a converted row falls into.
+CLUSTERS = {"best_source_cluster": "union", "best_cluster_union": "union", "best_cluster_sum": "sum", "best_cluster_max": "max"}
+
+
 def _side(chain: DataFrame, columns: list[str]) -> DataFrame:
     return chain.select(F.col(columns[0]).alias("chrom"), F.col(columns[1]).alias("start"), F.col(columns[2]).alias("end"))
 
@@ -44,10 +50,12 @@ def target_policy(chain: DataFrame, policy: str = "auto") -> DataFrame:
     error; keep; discard; auto or auto_score (the contested part goes to the
     block with the higher score, then the longer one, then the smaller chain
     id); auto_longer (length first); auto_first (smaller chain id first);
-    agg (blocks are cut at each other's edges, and all parts stay).
+    agg (blocks are cut at each other's edges, and all parts stay).  The
+    policies of CLUSTERS keep all blocks here; ``liftover`` with the same policy
+    then keeps one group of blocks for each row.
     """
     policy = "auto_score" if policy == "auto" else policy
-    if policy == "keep":
+    if policy == "keep" or policy in CLUSTERS:
         return chain
     shared = _shared(_side(chain, TARGET))
     if policy == "error":
@@ -93,13 +101,16 @@ def as_chain(blocks: DataFrame, source: str = "error", target: str = "auto", min
     return target_policy(source_policy(kept, source), target)
 
 
-def liftover(rows: DataFrame, chain: DataFrame, metadata: bool = False, merge: bool = False, bin_width: int = BIN) -> DataFrame:
+def liftover(rows: DataFrame, chain: DataFrame, metadata: bool = False, merge: bool = False, bin_width: int = BIN, policy: str = "keep") -> DataFrame:
     """Rows converted to the target assembly, a row for each block that they meet.
 
     Adds ``intervalID`` (1-based, in order of place) and ``chain_id``, with
     ``metadata`` also ``score`` and the block's source part; ``merge`` joins
-    touching pieces of one row and chain.
+    touching pieces of one row and chain.  With a ``policy`` of CLUSTERS only the
+    heaviest group of a row's pieces stays; see ``best_cluster``.
     """
+    if policy not in CLUSTERS and policy not in ("keep", "error", "discard", "auto", "auto_score", "auto_longer", "auto_first", "agg"):
+        raise ValueError(f"unknown target policy {policy}")
     numbered = rows if "intervalID" in rows.columns else number_rows(rows, "intervalID", ["chrom", "start", "end"])
     source = chain.select(
         F.col("chromsrc").alias("chrom"), F.col("startsrc").alias("start"), F.col("endsrc").alias("end"), F.col("chrom").alias("t_chrom"), F.col("start").alias("t_start"), F.col("end").alias("t_end"),
@@ -111,8 +122,11 @@ def liftover(rows: DataFrame, chain: DataFrame, metadata: bool = False, merge: b
     backward = F.col(strand) * F.col("strandsrc") < 0
     start = F.when(backward, F.col("t_end") - (high - F.col("start1"))).otherwise(F.col("t_start") + low - F.col("start1"))
     extra = [c for c in numbered.columns if c not in ("chrom", "start", "end", "strand", "intervalID")]
-    meta = [F.col("score"), low.alias("startsrc"), high.alias("endsrc")] if metadata else []
-    made = hit.select(F.col("t_chrom").alias("chrom"), start.alias("start"), (start + high - low).alias("end"), "intervalID", "chain_id", *extra, *meta)
+    made = hit.select(F.col("t_chrom").alias("chrom"), start.alias("start"), (start + high - low).alias("end"), "intervalID", "chain_id", *extra, "score", low.alias("startsrc"), high.alias("endsrc"))
+    if policy in CLUSTERS:
+        made = best_cluster(made, CLUSTERS[policy])
+    if not metadata:
+        made = made.drop("score", "startsrc", "endsrc")
     if not merge:
         return made
     keys = ["chrom", "intervalID", "chain_id", *extra]
@@ -122,6 +136,47 @@ def liftover(rows: DataFrame, chain: DataFrame, metadata: bool = False, merge: b
     return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*made.columns[:3], "intervalID", "chain_id", *extra)
 
 
+def clusters(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``_piece``, ``_island`` and the ``_group`` that they belong to within their ``intervalID``.
+
+    Pieces belong together if they have one ``chain_id`` or their source parts
+    (``startsrc`` to ``endsrc``) overlap, directly or by others.  Overlapping pieces first make islands, by a sweep in tiles; islands and
+    chains are then the two kinds of nodes of a link table, whose components
+    are the groups, so no row's pieces are gathered, however many it has.
+    """
+    rows = stored(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    spans = rows.select("intervalID", "_piece", "chain_id", F.col("startsrc").alias("start"), F.col("endsrc").alias("end"))
+    order = [F.col("start"), F.col("end"), F.col("_piece")]
+    reach = running(spans, "max", F.col("end"), "_reach", order, keys=("intervalID",))
+    new = (F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).cast("long")
+    islands = stored(running(reach.withColumn("_new", new), "sum", F.col("_new"), "_island", order, keys=("intervalID",), before=False), "islands")
+    node = lambda kind, name: F.struct("intervalID", F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"))
+    links = islands.select(node(0, "_island").alias("a"), node(1, "chain_id").alias("b")).distinct()
+    groups = connected_components(links).where("id.kind = 0").select(F.col("id.intervalID").alias("intervalID"), F.col("id.name").cast("long").alias("_island"), F.col("component").alias("_group"))
+    labels = islands.join(groups, ["intervalID", "_island"]).select("_piece", "_island", "_group")
+    return stored(rows.join(labels, "_piece"), "clusters")
+
+
+def best_cluster(pieces: DataFrame, weight: str = "union") -> DataFrame:
+    """The heaviest group of each ``intervalID``'s pieces (those of ``clusters``, or pieces that it is called on).
+
+    A group weighs as many source positions as it covers (union), as its pieces
+    cover one by one (sum) or as its longest piece does (max); of equals the one
+    that begins first stays, then that of the smaller chain id.
+    """
+    if weight not in ("union", "sum", "max"):
+        raise ValueError(f"unknown weight {weight}")
+    labelled = pieces if "_group" in pieces.columns else clusters(pieces)
+    size = F.col("endsrc") - F.col("startsrc")
+    held = labelled.groupBy("intervalID", "_group", "_island").agg(
+        (F.max("endsrc") - F.min("startsrc")).alias("u"), F.sum(size).alias("s"), F.max(size).alias("m"), F.min("startsrc").alias("first"), F.min("chain_id").alias("chain")
+    )
+    mass = {"union": F.sum("u"), "sum": F.sum("s"), "max": F.max("m")}[weight]
+    weighed = held.groupBy("intervalID", "_group").agg(mass.alias("mass"), F.min("first").alias("first"), F.min("chain").alias("chain"))
+    best = weighed.groupBy("intervalID").agg(F.min_by("_group", F.struct(-F.col("mass"), "first", "chain")).alias("_group"))
+    return labelled.join(best, ["intervalID", "_group"], "left_semi").drop("_piece", "_island", "_group")
+
+
 def _aggregate(kind: str, na_rm: bool, nth: int) -> Column:
     v, n, share = F.col("value"), F.col("end") - F.col("start"), (F.col("end") - F.col("start")) / F.col("source_length")
     plain = {
@@ -135,15 +190,20 @@ def _aggregate(kind: str, na_rm: bool, nth: int) -> Column:
     return plain[kind] if na_rm else F.when(F.count(F.when(v.isNull(), 1)) == 0, plain[kind])
 
 
-def lift_track(track: DataFrame, chain: DataFrame, aggregate: str = "mean", na_rm: bool = True, nth: int = 1, min_count: int | None = None, bin_width: int = BIN) -> DataFrame:
+def lift_track(
+    track: DataFrame, chain: DataFrame, aggregate: str = "mean", na_rm: bool = True, nth: int = 1, min_count: int | None = None, bin_width: int = BIN, policy: str = "keep"
+) -> DataFrame:
     """A sparse track converted; where several records land on one place their values are aggregated.
 
     Converted records are cut at each other's edges, so that every piece is
-    covered by whole records; touching pieces stay apart.
+    covered by whole records; touching pieces stay apart.  With a ``policy`` of
+    CLUSTERS a record first keeps its heaviest group of pieces only.
     """
-    # records need no numbers here
-    rows = track.select("chrom", "start", "end", no_nan("value").alias("value"), (F.col("end") - F.col("start")).alias("source_length"), F.lit(0).cast("long").alias("intervalID"))
-    lifted = liftover(rows, chain, bin_width=bin_width).select("chrom", "start", "end", "value", "source_length", "chain_id")
+    rows = track.select("chrom", "start", "end", no_nan("value").alias("value"), (F.col("end") - F.col("start")).alias("source_length"))
+    if policy not in CLUSTERS:
+        # records need no numbers but for their groups
+        rows = rows.withColumn("intervalID", F.lit(0).cast("long"))
+    lifted = liftover(rows, chain, bin_width=bin_width, policy=policy).select("chrom", "start", "end", "value", "source_length", "chain_id")
     edges = lifted.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
     from rangeloom.operators.intervals import next_start
 

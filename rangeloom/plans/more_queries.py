@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.functions import sequence as seq
@@ -454,3 +454,70 @@ def create_track(spark, d):
     db.save_dense("price", price, 7)
     db.create_track("twice", "price * 2", 7)
     return _rounded(db.table("track", "twice"))
+
+
+# groups of blocks in conversions, and neighbours in two dimensions
+
+CLUSTER_WIDTH = 8 * fx.DAY
+
+
+def customer_chain(spark, d):
+    """Blocks whose source is an order's span and whose chain is a hundred customers' orders; sources overlap, targets don't."""
+    orders = fx.table(spark, d, "orders").where("o_orderdate IS NOT NULL")
+    start = fx._day("o_orderdate") * fx.DAY + (F.col("o_orderkey") * 7919) % fx.DAY
+    size = 1 + F.col("o_orderkey") % 300
+    at = F.col("o_orderkey") * 1000
+    return orders.select(
+        F.concat(F.lit("t"), "o_orderpriority").alias("chrom"), at.alias("start"), (at + size).alias("end"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("strand"),
+        F.col("o_orderpriority").alias("chromsrc"), start.alias("startsrc"), (start + size).alias("endsrc"), F.lit(1).alias("strandsrc"), F.expr("o_custkey div 100").alias("chain_id"), F.lit(1.0).alias("score"),
+    )
+
+
+@query(
+    _with(
+        f"""c AS (SELECT o_orderpriority AS chrom, (d * {fx.DAY} + (o_orderkey * 7919) % {fx.DAY})::BIGINT AS s, (d * {fx.DAY} + (o_orderkey * 7919) % {fx.DAY} + 1 + o_orderkey % 300)::BIGINT AS e,
+               o_orderkey * 1000 AS t, o_orderkey % 2 = 1 AS back, o_custkey // 100 AS chain_id FROM (SELECT *, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL)),
+        r AS (SELECT chrom, w * {CLUSTER_WIDTH} AS a, (w + 1) * {CLUSTER_WIDTH} AS b FROM (SELECT chrom, unnest(range((max(e) // {CLUSTER_WIDTH} + 1)::BIGINT)) AS w FROM c GROUP BY chrom)),
+        p AS (SELECT row_number() OVER () AS i, r.chrom, r.a, greatest(s, r.a) AS lo, least(e, r.b) AS hi, s, e, t, back, chain_id FROM c JOIN r ON c.chrom = r.chrom AND s < r.b AND r.a < e),
+        l AS (SELECT x.i AS x, y.i AS y FROM p x JOIN p y ON x.chrom = y.chrom AND x.a = y.a AND (x.chain_id = y.chain_id OR x.lo < y.hi AND y.lo < x.hi)),
+        g AS (WITH RECURSIVE z AS (SELECT x, y FROM l UNION SELECT z.x, l.y FROM z JOIN l ON z.y = l.x) SELECT x AS i, min(y) AS g FROM z GROUP BY x),
+        n AS (SELECT p.*, g, max(hi) OVER (PARTITION BY p.chrom, p.a, g ORDER BY lo, hi, p.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p JOIN g USING (i)),
+        m AS (SELECT chrom, a, g, sum(greatest(hi - greatest(lo, coalesce(reach, lo)), 0)) AS u, sum(hi - lo) AS s, max(hi - lo) AS m, min(lo) AS f, min(chain_id) AS k FROM n GROUP BY ALL),
+        w AS (SELECT chrom, a, g, row_number() OVER (PARTITION BY chrom, a ORDER BY u DESC, f, k) AS ru, row_number() OVER (PARTITION BY chrom, a ORDER BY s DESC, f, k) AS rs, row_number() OVER (PARTITION BY chrom, a ORDER BY m DESC, f, k) AS rm FROM m),
+        o AS (SELECT 't' || p.chrom AS chrom, CASE WHEN back THEN t + e - s - (hi - s) ELSE t + lo - s END AS "start", hi - lo AS n, p.chain_id, ru, rs, rm FROM n p JOIN w ON w.chrom = p.chrom AND w.a = p.a AND w.g = p.g)""",
+        " UNION ALL ".join(f"""SELECT '{name}' AS policy, chrom, "start"::BIGINT AS "start", ("start" + n)::BIGINT AS "end", chain_id FROM o WHERE {rank} = 1""" for name, rank in (("best_cluster_union", "ru"), ("best_cluster_sum", "rs"), ("best_cluster_max", "rm"))),
+    )
+)
+def liftover_clusters(spark, d):
+    """Windows of eight days converted, each by its heaviest group of blocks."""
+    from rangeloom.operators.liftover import CLUSTERS, as_chain, best_cluster, clusters
+    from rangeloom.operators.liftover import liftover as run
+
+    blocks = customer_chain(spark, d)
+    rows = blocks.groupBy(F.col("chromsrc").alias("chrom")).agg(F.floor(F.max("endsrc") / CLUSTER_WIDTH).alias("last"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    rows = rows.select("chrom", at.alias("w")).select("chrom", (F.col("w") * CLUSTER_WIDTH).alias("start"), ((F.col("w") + 1) * CLUSTER_WIDTH).alias("end"))
+    grouped = clusters(run(rows, as_chain(blocks, "keep", "keep"), metadata=True))
+    made = None
+    for policy in ("best_cluster_union", "best_cluster_sum", "best_cluster_max"):
+        one = best_cluster(grouped, CLUSTERS[policy]).select(F.lit(policy).alias("policy"), "chrom", "start", "end", "chain_id")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query(
+    _with(
+        """t AS (SELECT DISTINCT p_brand AS chrom, (l_quantity * 10)::BIGINT AS x, (l_partkey // 10)::BIGINT AS y FROM lineitem JOIN part ON l_partkey = p_partkey),
+        q AS (SELECT row_number() OVER () AS i, * FROM rect),
+        k AS (SELECT q.*, t.x, t.y, greatest(t.x - end1, start1 - t.x - 1, 0) AS d1, greatest(t.y - end2, start2 - t.y - 1, 0) AS d2, (start1 >= t.x + 1 OR end1 <= t.x)::INT + (start2 >= t.y + 1 OR end2 <= t.y)::INT AS apart FROM q JOIN t ON t.chrom = chrom1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d1 + d2 + apart, x, y) AS k FROM k)""",
+        "SELECT chrom1, start1, end1, start2, end2, value, x AS r_start1, y AS r_start2, d1 AS dist1, d2 AS dist2 FROM r WHERE k <= 3",
+    )
+)
+def nearest_rectangles(spark, d):
+    """The three sold (quantity, part) points nearest to each part's rectangle on its brand."""
+    items, part = fx.table(spark, d, "lineitem"), fx.table(spark, d, "part")
+    sold = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", (F.col("l_quantity") * 10).cast("long").alias("x"), F.expr("l_partkey div 10").alias("y")).distinct()
+    points = sold.select(F.col("p_brand").alias("chrom1"), F.col("x").alias("start1"), (F.col("x") + 1).alias("end1"), F.col("p_brand").alias("chrom2"), F.col("y").alias("start2"), (F.col("y") + 1).alias("end2"))
+    found = e2.nearest_2d(fx.part_rectangles(spark, d), points, 3)
+    return found.select("chrom1", "start1", "end1", "start2", "end2", "value", "r_start1", "r_start2", "dist1", "dist2")

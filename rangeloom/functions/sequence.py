@@ -267,34 +267,7 @@ def pwm(
 
 
 def pwm_edits(seq: Column, motif: Motif, threshold: float, max_edits: int | None = None, bidirect: bool = True, prior: float = 0.01) -> Column:
-    """Fewest substitutions that bring some place of the motif to ``threshold`` or above; null where none can.
+    """Fewest substitutions that bring some place of the motif to ``threshold`` or above; null where none can."""
+    from rangeloom.functions.motif_edits import Edits, measure
 
-    At a place the edits that gain most come first, so their sorted gains'
-    running sums tell how many are needed.
-    """
-    logs = motif.log_matrix(prior)
-
-    def one(s: str | None) -> float | None:
-        best = None
-        if s is None:
-            return None
-        for way in (logs, logs[::-1][:, [3, 2, 1, 0, 4]]) if bidirect else (logs,):
-            width = len(way)
-            codes = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
-            n = len(codes) - width + 1
-            if n <= 0:
-                continue
-            own = np.column_stack([way[j][codes[j : j + n]] for j in range(width)])
-            gains = -np.sort(-(way[:, :4].max(1) - own), axis=1)
-            reached = own.sum(1, keepdims=True) + np.column_stack((np.zeros(n), np.cumsum(gains, axis=1)))
-            enough = reached >= threshold - 1e-9
-            if enough.any():
-                fewest = int(np.where(enough.any(1), enough.argmax(1), width + 1).min())
-                best = fewest if best is None else min(best, fewest)
-        return None if best is None or (max_edits is not None and best > max_edits) else float(best)
-
-    @F.pandas_udf("double")
-    def edits(batch: pd.Series) -> pd.Series:
-        return pd.Series([one(s) for s in batch], dtype="float64")
-
-    return edits(seq)
+    return measure(seq, "edit_distance", Edits(motif, threshold, max_edits=max_edits, bidirect=bidirect, prior=prior))

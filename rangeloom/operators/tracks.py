@@ -296,7 +296,8 @@ class Workspace:
 
     @staticmethod
     def _sequence_function(v: VirtualTrack) -> list[Column]:
-        """The value of a part's sequence, and for places the score that they have."""
+        """The value of a part's sequence, and what tells the best of several parts."""
+        from rangeloom.functions import motif_edits as edits
         from rangeloom.functions import sequence as seq
 
         options = dict(v.params) if isinstance(v.params, dict) else {}
@@ -307,10 +308,13 @@ class Workspace:
         scored = lambda mode, **more: seq.pwm(s, motif, mode, strand=strand, **more, **options)
         kinds = {
             "pwm": lambda: [scored("lse", **{} if "neutral" in options else {"neutral": "forward_quarter"})], "pwm.max": lambda: [scored("max")], "pwm.max.pos": lambda: [scored("pos"), scored("max")],
-            "pwm.count": lambda: [scored("count")], "pwm.edit_distance": lambda: [seq.pwm_edits(s, motif, **options)],
+            "pwm.count": lambda: [scored("count")],
             "kmer.count": lambda: [seq.kmer_count(s, kmer, strand, **options)], "kmer.frac": lambda: [seq.kmer_frac(s, kmer, strand, **options)],
             "masked.count": lambda: [seq.masked_count(s)], "masked.frac": lambda: [seq.masked_frac(s)],
         }
+        if v.func.removeprefix("pwm.") in edits.KINDS:
+            kind, target = v.func.removeprefix("pwm."), edits.Edits(motif, strand=strand, **options)
+            return [edits.measure(s, kind, target, i) for i in range(2 if kind.endswith(".pos") or kind == "max.edit_distance" else 1)]
         if v.func not in kinds:
             raise ValueError(f"unknown window function {v.func}")
         return kinds[v.func]()
@@ -325,12 +329,16 @@ class Workspace:
             raise ValueError("parts of a masked window are joined by sum or lse")
         if v.func == "pwm":
             return F.sum(value) if parts == "sum" else _log_sum(value)
-        if v.func == "pwm.max.pos":
+        if v.func.endswith(".pos"):
             place = value + F.signum(value) * (F.col("_part") - F.greatest(F.col("_start") + v.sshift, F.lit(0)))
-            return F.max_by(place, F.when(value.isNotNull(), F.struct(F.col(f"{name}1"), -F.col("_part"))))
+            # of the best score, or of the fewest edits, the first part's
+            best = F.col(f"{name}1") if v.func == "pwm.max.pos" else -F.col(f"{name}1")
+            return F.max_by(place, F.when(value.isNotNull(), F.struct(best, -F.col("_part"))))
+        if v.func == "pwm.max.edit_distance":
+            return F.max_by(value, F.when(F.col(f"{name}1").isNotNull(), F.struct(F.col(f"{name}1"), -F.col("_part"))))
         if v.func in ("kmer.frac", "masked.frac"):
             return F.sum(value * n) / F.sum(n)
-        return {"pwm.max": F.max, "pwm.edit_distance": F.min}.get(v.func, F.sum)(value)
+        return {"pwm.max": F.max, "pwm.n_mutations": F.max, "pwm.edit_distance": F.min, "pwm.edit_distance.lse": F.min}.get(v.func, F.sum)(value)
 
     def _of_intervals(self, rows: DataFrame, source: DataFrame, v: VirtualTrack) -> DataFrame:
         """``coverage`` and ``neighbor.count`` of what a mask leaves of the windows; distances, which no mask changes."""

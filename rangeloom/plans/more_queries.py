@@ -521,3 +521,66 @@ def nearest_rectangles(spark, d):
     points = sold.select(F.col("p_brand").alias("chrom1"), F.col("x").alias("start1"), (F.col("x") + 1).alias("end1"), F.col("p_brand").alias("chrom2"), F.col("y").alias("start2"), (F.col("y") + 1).alias("end2"))
     found = e2.nearest_2d(fx.part_rectangles(spark, d), points, 3)
     return found.select("chrom1", "start1", "end1", "start2", "end2", "value", "r_start1", "r_start2", "dist1", "dist2")
+
+
+# edits of motif places
+
+EDIT_WIDTH, EDIT_TARGET, LSE_TARGET = 100, -2.0, -0.2
+
+
+def _edit_terms(back: bool) -> dict[str, str]:
+    """SQL of a place's parts on a strand: score now, score that counts, letters that must go, gains, and what each letter would score."""
+    now, own, must, gain, new = [], [], [], [], []
+    for j, row in enumerate(_LOGS):
+        letter = f"c{len(_LOGS) - 1 - j if back else j}"
+        codes = dict(zip("TGCA" if back else "ACGT", row, strict=True))
+        case = lambda other, codes=codes, letter=letter: f"CASE {letter} " + " ".join(f"WHEN '{x}' THEN '{v}'::DOUBLE" for x, v in codes.items()) + f" ELSE '{other}'::DOUBLE END"
+        now.append(case(float(np.mean(row))))
+        own.append(case(max(row)))
+        must.append(f"({letter} NOT IN ('A', 'C', 'G', 'T'))::INT")
+        gain.append(f"'{max(row)}'::DOUBLE - ({case(max(row))})")
+        new += [(int(letter[1]), j, x, v) for x, v in codes.items()]
+    return {"now": " + ".join(now), "own": " + ".join(own), "must": " + ".join(must), "gain": "[" + ", ".join(gain) + "]", "parts": now, "new": new}
+
+
+def _edit_sql() -> str:
+    sides = {"f": _edit_terms(False), "r": _edit_terms(True)}
+    strands = " UNION ALL ".join(
+        f"""SELECT chrom, s, i, '{k}' AS strand, {t["now"]} AS now, {t["own"]} AS own, {t["must"]} AS must, list_reverse_sort({t["gain"]}) AS g, c0, c1, c2, c3,
+        [{", ".join(f"({p})" for p in t["parts"])}] AS parts FROM m WHERE c3 IS NOT NULL"""
+        for k, t in sides.items()
+    )
+    #: for each column and letter: place in the window, and what the letter scores there
+    news = "[" + ", ".join(f"struct_pack(strand := '{k}', at := {at}, j := {j}, x := '{x}', v := '{v}'::DOUBLE)" for k, t in sides.items() for at, j, x, v in t["new"]) + "]"
+    met = lambda x: f"{x} >= {EDIT_TARGET} - 1e-12"
+    fewest = f"must + CASE WHEN {met('own')} THEN 0 " + " ".join(f"WHEN {met(f'own + list_sum(g[1:{k}])')} THEN {k}" for k in (1, 2, 3, 4)) + " END"
+    return _with(
+        f"""l AS (SELECT doc_id::VARCHAR AS chrom, length(seq) AS size, unnest(string_split(upper(seq), '')) AS c0, unnest(range(length(seq))) AS i FROM seqs WHERE seq <> ''),
+        m AS (SELECT *, i // {EDIT_WIDTH} * {EDIT_WIDTH} AS s, lead(c0) OVER w AS c1, lead(c0, 2) OVER w AS c2, lead(c0, 3) OVER w AS c3 FROM l WINDOW w AS (PARTITION BY chrom, i // {EDIT_WIDTH} ORDER BY i)),
+        p AS ({strands}),
+        e AS (SELECT *, {fewest} AS edits FROM p),
+        z AS (SELECT chrom, s, strand, sum(exp(now)) AS z FROM p GROUP BY ALL),
+        u AS (SELECT *, unnest({news}) AS n FROM p),
+        v AS (SELECT chrom, s, strand, i + n.at AS q, n.x AS x, sum(exp(now - parts[n.j + 1] + n.v) - exp(now)) AS d FROM u WHERE n.strand = strand GROUP BY ALL),
+        y AS (SELECT chrom, s, strand, max(d) AS d FROM v GROUP BY ALL),
+        k AS (SELECT chrom, s, min(CASE WHEN ln(z) >= {LSE_TARGET} THEN 0 WHEN ln(z + d) >= {LSE_TARGET} THEN 1 END) AS lse FROM z JOIN y USING (chrom, s, strand) GROUP BY ALL),
+        o AS (SELECT chrom, s, strand, i, CASE WHEN {met("own")} THEN 0 ELSE nullif(list_sum(list_transform(list_filter({news}, lambda n: n.strand = strand AND [c0, c1, c2, c3][n.at + 1] IN ('A', 'C', 'G', 'T') AND [c0, c1, c2, c3][n.at + 1] <> n.x),
+              lambda n: ({met("own - parts[n.j + 1] + n.v")})::INT)), 0) END AS n FROM p),
+        fewest_of AS (SELECT chrom, s, edits, i - s + 1 AS place, strand, row_number() OVER (PARTITION BY chrom, s ORDER BY edits NULLS LAST, i, strand) AS k FROM e),
+        h AS (SELECT chrom, s, edits, row_number() OVER (PARTITION BY chrom, s ORDER BY now DESC, i, strand) AS k FROM e)""",
+        f"""SELECT w.chrom, w.s AS "start", least(w.s + {EDIT_WIDTH}, w.size) AS "end", b.edits::DOUBLE AS fewest, CASE WHEN b.edits IS NOT NULL THEN CASE WHEN b.strand = 'r' THEN -b.place ELSE b.place END END::DOUBLE AS place, h.edits::DOUBLE AS at_best, o.n::DOUBLE AS single, k.lse::DOUBLE AS lse
+        FROM (SELECT DISTINCT chrom, s, size FROM m) w LEFT JOIN fewest_of b ON b.chrom = w.chrom AND b.s = w.s AND b.k = 1 LEFT JOIN h ON h.chrom = w.chrom AND h.s = w.s AND h.k = 1
+        LEFT JOIN (SELECT chrom, s, max(n) AS n FROM o GROUP BY ALL) o ON o.chrom = w.chrom AND o.s = w.s LEFT JOIN k ON k.chrom = w.chrom AND k.s = w.s""",
+    )
+
+
+@query(_edit_sql())
+def vtrack_motif_edits(spark, d):
+    """Fewest substitutions that make a motif's place, or the log-sum-exp of a window of 100 letters (one at most), reach a score."""
+    ws = _sequence_workspace(spark, d)
+    options = {"motif": MOTIF, "threshold": EDIT_TARGET, "extend": False}
+    kinds = {"fewest": "pwm.edit_distance", "place": "pwm.edit_distance.pos", "at_best": "pwm.max.edit_distance", "single": "pwm.n_mutations"}
+    for name, func in kinds.items():
+        ws.vtrack(name, None, func, options)
+    ws.vtrack("lse", None, "pwm.edit_distance.lse", options | {"threshold": LSE_TARGET, "max_edits": 1})
+    return ws.evaluate({k: k for k in (*kinds, "lse")}, iterator=EDIT_WIDTH).drop("intervalID")

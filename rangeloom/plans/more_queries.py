@@ -584,3 +584,38 @@ def vtrack_motif_edits(spark, d):
         ws.vtrack(name, None, func, options)
     ws.vtrack("lse", None, "pwm.edit_distance.lse", options | {"threshold": LSE_TARGET, "max_edits": 1})
     return ws.evaluate({k: k for k in (*kinds, "lse")}, iterator=EDIT_WIDTH).drop("intervalID")
+
+
+@query(
+    _with(
+        """x AS (SELECT p_brand AS chrom, p_size AS bin, sum(round(p_retailprice * 100)::BIGINT)::DOUBLE / count(*) / 100 AS value FROM part GROUP BY ALL),
+        y AS (SELECT p_brand AS chrom, (l_partkey // 10)::BIGINT AS s, sum(l_quantity::BIGINT)::DOUBLE / count(*) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+        cell AS (SELECT DISTINCT chrom1, start1, end1, start2, end2 FROM rect),
+        r AS (SELECT c.*, max(r.value) AS r FROM cell c JOIN rect r ON r.chrom1 = c.chrom1 AND r.start1 < c.end1 AND c.start1 < r.end1 AND r.start2 < c.end2 AND c.start2 < r.end2 GROUP BY ALL),
+        q AS (SELECT c.*, avg(y.value) AS y, count(y.value) AS n FROM cell c LEFT JOIN y ON y.chrom = c.chrom1 AND y.s >= greatest(c.start2 - 20, 0) AND y.s < c.end2 + 20 GROUP BY ALL)""",
+        """SELECT r.chrom1, r.start1, r.end1, r.start2, r.end2, round(r.r - x.value, 6) AS above, round(q.y, 6) AS sold, q.n FROM rect JOIN r USING (chrom1, start1, end1, start2, end2)
+        JOIN q USING (chrom1, start1, end1, start2, end2) LEFT JOIN x ON x.chrom = r.chrom1 AND x.bin = r.start1 // 10""",
+    )
+)
+def expression_of_axes(spark, d):
+    """Rectangles of parts against the mean price of their size (axis 1) and the quantities sold around their keys (axis 2)."""
+    part, items = fx.table(spark, d, "part"), fx.table(spark, d, "lineitem")
+    price = part.groupBy(F.col("p_brand").alias("chrom"), F.col("p_size").cast("long").alias("bin")).agg((F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).cast("double") / F.count("*") / 100).alias("value"))
+    key = F.expr("l_partkey div 10")
+    sold = items.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("chrom"), key.alias("start")).agg((F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count("*")).alias("value"))
+    rect = fx.part_rectangles(spark, d)
+    size = rect.agg(F.greatest(F.max("end1"), F.max("end2"))).first()[0] or 0
+    chroms = fx.chroms_of(rect.withColumnRenamed("chrom1", "chrom"), size + 100)
+    line = tr.Workspace(chroms)
+    line.dense("price", price, 10)
+    line.sparse("sold", sold.withColumn("end", F.col("start") + 1).select("chrom", "start", "end", "value"))
+    for name, func in {"around": "avg", "near": "size"}.items():
+        line.vtrack(name, "sold", func, sshift=-20, eshift=20)
+    ws = e2.Workspace2D(chroms, line=line)
+    ws.track("rect", rect)
+    ws.vtrack("r", "rect", "max")
+    ws.axis("x", "price", 1)
+    ws.axis("y", "around", 2)
+    ws.axis("n", "near", 2)
+    made = ws.evaluate({"above": "r - x", "sold": "y", "n": "n"}, iterator="rect")
+    return made.select("chrom1", "start1", "end1", "start2", "end2", F.round("above", 6).alias("above"), F.round("sold", 6).alias("sold"), "n")

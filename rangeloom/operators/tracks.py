@@ -538,6 +538,50 @@ def mapped_reads(reads: DataFrame, chroms: DataFrame, pileup: int = 0, bin_size:
     return total.withColumn("value", F.col("value") / bin_size)
 
 
+def merge_arrays(sources: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
+    """One array track of several (``chrom, start, end, value`` arrays, with the names of their elements), and its names.
+
+    It has all columns, in the order of their first source; columns of one name
+    are one column.  Records of one place are one record; columns that none of
+    its sources has are missing there, and records that miss all are left out.
+    Two sources that give one place and column different values are an error
+    (``ValueError``), a missing one against a value included, and so are records
+    that overlap without being equal, or that repeat within a source.
+
+    All sources are stacked and grouped by place once, however many there are.
+    """
+    names = list(dict.fromkeys(n for _, columns in sources for n in columns))
+    stacked = None
+    for i, (data, columns) in enumerate(sources):
+        if len(set(columns)) != len(columns):
+            raise ValueError("columns of an array track have names of their own")
+        values = [no_nan(F.get("value", F.lit(columns.index(n)))) if n in columns else F.lit(None).cast("double") for n in names]
+        has = [F.lit(n in columns).cast("int") for n in names]
+        one = data.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(i).alias("_source"), F.array(*values).alias("_v"), F.array(*has).alias("_has"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    if stacked is None:
+        raise ValueError("an array track needs a source")
+    parts = []
+    for k in range(len(names)):
+        v, has = F.get("_v", F.lit(k)), F.get("_has", F.lit(k))
+        given, known = F.sum(has), F.count(v)
+        clash = (given > 1) & (((known > 0) & (known < given)) | (F.min(v) != F.max(v)))
+        parts += [F.max(v).alias(f"_c{k}"), clash.alias(f"_x{k}")]
+    placed = stacked.groupBy("chrom", "start", "end").agg((F.count("*") != F.count_distinct("_source")).alias("_twice"), *parts)
+    placed = stored(placed, "arrays")
+    bad = placed.where(F.col("_twice") | F.array_max(F.array(F.lit(False), *(F.coalesce(f"_x{k}", F.lit(False)) for k in range(len(names)))))).take(1)
+    if bad:
+        wrong = [n for k, n in enumerate(names) if bad[0][f"_x{k}"]]
+        place = f"{bad[0].chrom}:{bad[0].start}-{bad[0].end}"
+        raise ValueError(f"sources differ in {', '.join(wrong)} at {place}" if wrong else f"a source repeats {place}")
+    reach = running(placed.select("chrom", "start", "end"), "max", F.col("end"), "_reach", [F.col("start"), F.col("end")])
+    crossed = reach.where("start < _reach").take(1)
+    if crossed:
+        raise ValueError(f"records overlap at {crossed[0].chrom}:{crossed[0].start}-{crossed[0].end}")
+    kept = placed.where(F.coalesce(*(F.col(f"_c{k}") for k in range(len(names)))).isNotNull()) if names else placed.limit(0)
+    return kept.select("chrom", "start", "end", F.array(*(F.col(f"_c{k}") for k in range(len(names)))).alias("value")), names
+
+
 def array_slice(track: DataFrame, names: list[str], columns: list[str] | None = None, func: str = "avg", param: float | None = None) -> DataFrame:
     """One value from chosen columns of an array track: avg, min, max, stddev, sum or quantile."""
     at = [names.index(c) for c in columns] if columns else list(range(len(names)))

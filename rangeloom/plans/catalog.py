@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.functions.sequence import Motif
-from rangeloom.operators.tracks import Track, Workspace, create_dense, create_sparse
+from rangeloom.operators.tracks import Track, Workspace, create_dense, create_sparse, merge_arrays
 from rangeloom.sources import formats
 
 META_SCHEMA = "kind string, name string, meta string"
@@ -274,12 +274,10 @@ class Database:
         """An array track: ``chrom, start, end, value`` (array<double>), whose elements have names."""
         self.save("track", name, records, type="array", array_columns=list(columns), **options)
 
-    def import_array(self, name: str, path: str, **options) -> None:
-        """A tab-separated table with a header: chrom, start, end, and a column for each element."""
-        table = self.spark.read.option("sep", "\t").option("header", True).csv(path)
-        columns = [c for c in table.columns if c not in ("chrom", "start", "end")]
-        values = F.array(*(F.col(f"`{c}`").try_cast("double") for c in columns))
-        self.save_array(name, table.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), values.alias("value")), columns, **options)
+    def import_array(self, name: str, *sources: str, **options) -> None:
+        """An array track of array tracks, by name, and of files (tab-separated, with a header); see ``merge_arrays``."""
+        parts = [(self.table("track", x), self.array_columns(x)) if self.exists("track", x) else formats.read_array(self.spark, x) for x in sources]
+        self.save_array(name, *merge_arrays(parts), **options)
 
     def array_columns(self, name: str) -> list[str]:
         return list(self._source("track", name).meta()["track", name]["array_columns"])

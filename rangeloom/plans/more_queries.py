@@ -18,6 +18,7 @@ from rangeloom.operators import tracks as tr
 from rangeloom.operators import two_d as td
 from rangeloom.plans import fixtures as fx
 from rangeloom.plans.queries import MOTIF, _rounded, _with, query
+from rangeloom.sources.formats import read_array
 from rangeloom.storage import scratch_path
 
 # windows of tracks and interval sets
@@ -619,3 +620,31 @@ def expression_of_axes(spark, d):
     ws.axis("n", "near", 2)
     made = ws.evaluate({"above": "r - x", "sold": "y", "n": "n"}, iterator="rect")
     return made.select("chrom1", "start1", "end1", "start2", "end2", F.round("above", 6).alias("above"), F.round("sold", 6).alias("sold"), "n")
+
+
+@query(
+    _with(
+        """one AS (SELECT p_brand AS chrom, p_partkey * 10 AS s, p_retailprice AS price, p_size::DOUBLE AS size FROM part),
+        two AS (SELECT p_brand AS chrom, p_partkey * 10 AS s, p_retailprice AS price, sum(l_quantity::BIGINT)::DOUBLE AS sold FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+        three AS (SELECT n_name AS chrom, s_suppkey * 10 AS s, s_acctbal AS sold FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
+        """SELECT coalesce(one.chrom, two.chrom) AS chrom, coalesce(one.s, two.s) AS "start", coalesce(one.s, two.s) + 10 AS "end", coalesce(one.price, two.price) AS price, size, sold FROM one FULL JOIN two ON one.chrom = two.chrom AND one.s = two.s
+        UNION ALL SELECT chrom, s, s + 10, NULL, NULL, sold FROM three WHERE sold IS NOT NULL""",
+    )
+)
+def array_import(spark, d):
+    """An array track of two files and a table that share columns and places: parts' prices and sizes, prices and quantities sold, and balances."""
+    part, items = fx.table(spark, d, "part"), fx.table(spark, d, "lineitem")
+    place = [F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_partkey") * 10 + 10).alias("end")]
+    one = part.select(*place, F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    sold = items.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("sold"))
+    two = part.join(sold, F.col("p_partkey") == F.col("l_partkey")).select(*place, F.col("p_retailprice").alias("price"), "sold")
+    files = []
+    for name, table in (("one", one), ("two", two)):
+        path = scratch_path(spark, f"array_{name}")
+        table.write.option("sep", "\t").option("header", True).csv(path)
+        files.append(read_array(spark, path))
+    key = F.col("s_suppkey") * 10
+    three = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    three = three.select(F.col("n_name").alias("chrom"), key.alias("start"), (key + 10).alias("end"), F.array("s_acctbal").alias("value"))
+    made, names = tr.merge_arrays([*files, (three, ["sold"])])
+    return made.select("chrom", "start", "end", *(F.get("value", F.lit(i)).alias(n) for i, n in enumerate(names)))

@@ -104,6 +104,14 @@ def extract_sequence(sequence: DataFrame, intervals: DataFrame, chunk: int = 1 <
     return whole.drop("_id")
 
 
+def read_array(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """A tab-separated table with a header, chrom, start, end and a column for each element, as records of an array track, and the elements' names."""
+    table = spark.read.option("sep", "\t").option("header", True).csv(path)
+    names = [c for c in table.columns if c not in ("chrom", "start", "end", "intervalID")]
+    values = F.array(*(F.col(f"`{c}`").try_cast("double") for c in names))
+    return table.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), values.alias("value")), names
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text: mapped reads ``chrom, pos`` (0-based), ``strand, length``."""
     f = F.split("value", "\t")

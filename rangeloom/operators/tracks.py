@@ -17,6 +17,10 @@ from rangeloom.storage import stored
 KEY = ["_chrom", "_start", "_end"]
 #: Functions that give a single bin's value as it is.
 _SAME = frozenset(["avg", "sum", "min", "max", "first", "last", "nearest"])
+#: Functions whose value for a window follows from those of its parts, and how they are put together (see ``_folded``).
+_FOLDED = frozenset(["avg", "sum", "size", "min", "max", "exists", "lse"])
+#: Blocks in a block of the next level; levels; bins of a window from which blocks are used.
+FOLD, FOLD_LEVELS, FOLD_LEAST = 16, 5, 64
 _NAME = re.compile(r"`([^`]+)`|\b([A-Za-z_][\w.]*)\b")
 
 
@@ -171,6 +175,12 @@ class Workspace:
             raise ValueError("the expressions' tracks imply no single iterator; name one")
         return self.iterator(scope, next(iter(sizes)) or next(iter(tracks.values())).data, exprs)
 
+    def iterator_width(self, iterator: int | str | DataFrame | None, exprs: list[str]) -> int | None:
+        """The width of the iterator's bins, None where it is one of intervals."""
+        if iterator is None:
+            return next((t.bin_size for n in self.names_in(*exprs) if (t := self._base(n)) is not None), None)
+        return iterator if isinstance(iterator, int) else self.tracks[iterator].bin_size if isinstance(iterator, str) else None
+
     def _base(self, name: str) -> Track | None:
         if name in self.tracks:
             return self.tracks[name]
@@ -203,10 +213,59 @@ class Workspace:
         parts = cuts.select(*KEY, "chrom", F.explode(edges).alias("p")).select(*KEY, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
         return parts.where("start < end")
 
-    def _of_track(self, rows: DataFrame, track: Track, wanted: dict[str, VirtualTrack]) -> DataFrame:
-        """A column for each of ``wanted``, whose source, shifts and mask are one: a join and an aggregation for all of them."""
+    def _folded(self, windows: DataFrame, track: Track, wanted: dict[str, VirtualTrack]) -> DataFrame:
+        """Wide windows of a dense track, put together from blocks of bins.
+
+        A block of FOLD blocks of the level below holds their count, sum,
+        extremes and log-sum-exp.  A window is whole blocks of some level in its
+        middle and fewer than FOLD on each side at every level below, so it
+        meets at most 2 * FOLD * FOLD_LEVELS rows, however wide it is, and no
+        sum is a difference of larger ones.
+        """
+        b = track.bin_size
+        level = track.data.select("chrom", F.col("bin").alias("node"), no_nan("value").alias("s")).where("s IS NOT NULL")
+        level = stored(level.select("chrom", "node", F.lit(1).cast("long").alias("n"), "s", F.col("s").alias("lo"), F.col("s").alias("hi"), F.col("s").alias("l")), "fold")
+        levels, current = None, level
+        for k in range(FOLD_LEVELS):
+            tagged = current.withColumn("level", F.lit(k))
+            levels = tagged if levels is None else levels.unionByName(tagged)
+            grouped = current.groupBy("chrom", F.floor(F.col("node") / FOLD).alias("node"))
+            if k + 1 < FOLD_LEVELS:
+                current = stored(grouped.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _log_sum(F.col("l")).alias("l")), "fold")
+        spans = windows.select(*KEY, "chrom", F.floor(F.col("start") / b).alias("_a0"), F.ceil(F.col("end") / b).alias("_b0"))
+        span = lambda a, e: F.when(a < e, F.sequence(a, e - 1)).otherwise(F.array().cast("array<bigint>"))
+        nodes = []
+        for k in range(FOLD_LEVELS):
+            a, e = F.col(f"_a{k}"), F.col(f"_b{k}")
+            if k + 1 < FOLD_LEVELS:
+                up, down = F.ceil(a / FOLD), F.floor(e / FOLD)
+                inner = up < down
+                spans = spans.withColumns({f"_a{k + 1}": F.when(inner, up).otherwise(F.lit(0)), f"_b{k + 1}": F.when(inner, down).otherwise(F.lit(0))})
+                here = F.when(inner, F.concat(span(a, up * FOLD), span(down * FOLD, e))).otherwise(span(a, e))
+            else:
+                here = span(a, e)
+            nodes.append(F.struct(F.lit(k).alias("level"), here.alias("nodes")))
+        met = spans.select(*KEY, "chrom", F.explode(F.array(*nodes)).alias("x")).select(*KEY, "chrom", F.col("x.level").alias("level"), F.explode("x.nodes").alias("node")).select(*KEY, "chrom", "level", "node").join(levels, ["chrom", "level", "node"])
+        kinds = {
+            "avg": F.sum("s") / F.sum("n"), "sum": F.sum("s"), "size": F.sum("n"), "min": F.min("lo"), "max": F.max("hi"), "exists": F.max(F.when(F.col("n") > 0, 1)), "lse": _log_sum(F.col("l")),
+        }
+        made = met.groupBy(*KEY).agg(*(kinds[w.func].alias(n) for n, w in wanted.items()))
+        counts = [n for n, w in wanted.items() if w.func in ("exists", "size")]
+        return windows.select(*KEY).distinct().join(made, KEY, "left").fillna(0, counts) if counts else made
+
+    def _of_track(self, rows: DataFrame, track: Track, wanted: dict[str, VirtualTrack], width: int | None = None) -> DataFrame:
+        """A column for each of ``wanted``, whose source, shifts and mask are one: a join and an aggregation for all of them.
+
+        ``width`` is the iterator's, where it is one of bins; wide windows of a dense track go by blocks.
+        """
         v = next(iter(wanted.values()))
         windows = self._windows(rows, v)
+        if track.bin_size and width and v.mask is None and width + v.eshift - v.sshift > FOLD_LEAST * track.bin_size:
+            fold = {n: w for n, w in wanted.items() if w.func in _FOLDED and not (w.func == "exists" and w.params)}
+            if fold:
+                made = self._folded(windows, track, fold)
+                rest = {n: w for n, w in wanted.items() if n not in fold}
+                return made.join(self._of_track(rows, track, rest), KEY, "full") if rest else made
         if track.bin_size:
             # a bin that a window touches counts in full: an equi-join on (chrom, bin)
             b = track.bin_size
@@ -417,9 +476,7 @@ class Workspace:
         """
         names = self.names_in(*exprs.values())
         rows = self.iterator(self.scope(scope), iterator, list(exprs.values()))
-        width = iterator if isinstance(iterator, int) else self.tracks[iterator].bin_size if isinstance(iterator, str) else None
-        if iterator is None:
-            width = next(t.bin_size for n in names if (t := self._base(n)) is not None)
+        width = self.iterator_width(iterator, list(exprs.values()))
         groups: dict[tuple, dict[str, VirtualTrack]] = {}
         own: list[str] = []
         for name in names:
@@ -446,7 +503,7 @@ class Workspace:
                 first, v = next(iter(wanted.items()))
                 source = self.tracks[v.source] if isinstance(v.source, str) else v.source
                 if isinstance(source, Track):
-                    made = self._of_track(windows, source, {column[n]: w for n, w in wanted.items()})
+                    made = self._of_track(windows, source, {column[n]: w for n, w in wanted.items()}, width)
                 elif source is None:
                     made = self._of_sequence(windows, {column[n]: w for n, w in wanted.items()})
                 else:

@@ -235,12 +235,16 @@ class Database:
     # making tracks
 
     def create_track(self, name: str, expr: str, iterator=None, scope: DataFrame | None = None, workspace: Workspace | None = None, **options) -> None:
-        """Save an expression's values: a dense track over bins of a width, else a sparse one without its missing values."""
+        """Save an expression's values: a dense track where the iterator is one of bins, else a sparse one without its missing values.
+
+        A number, a dense track's name and an iterator implied by dense tracks are iterators of bins.
+        """
         ws = workspace or self.workspace()
+        width = ws.iterator_width(iterator, [expr])
         rows = ws.evaluate({"value": expr}, scope, iterator)
-        if isinstance(iterator, int):
-            bins = rows.groupBy("chrom", F.floor(F.col("start") / iterator).alias("bin")).agg(F.first("value", ignorenulls=True).alias("value"))
-            self.save_dense(name, bins.where("value IS NOT NULL"), iterator, **options)
+        if width:
+            bins = rows.groupBy("chrom", F.floor(F.col("start") / width).alias("bin")).agg(F.first("value", ignorenulls=True).alias("value"))
+            self.save_dense(name, bins.where("value IS NOT NULL"), width, **options)
         else:
             self.save_sparse(name, rows.where("value IS NOT NULL").select("chrom", "start", "end", "value").distinct(), **options)
 

@@ -648,3 +648,20 @@ def array_import(spark, d):
     three = three.select(F.col("n_name").alias("chrom"), key.alias("start"), (key + 10).alias("end"), F.array("s_acctbal").alias("value"))
     made, names = tr.merge_arrays([*files, (three, ["sold"])])
     return made.select("chrom", "start", "end", *(F.get("value", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+@query(
+    _with(
+        """w AS (SELECT chrom, size, bin * 7 AS s, greatest(bin * 7 - 1400, 0) AS a, least(least(bin * 7 + 7, size) + 1400, size) AS e FROM bins),
+        t AS (SELECT w.chrom, w.s, w.size, value, max(value) OVER (PARTITION BY w.chrom, w.s) AS top FROM w LEFT JOIN price p ON p.chrom = w.chrom AND p.bin * 7 < w.e AND p.bin * 7 + 7 > w.a)""",
+        """SELECT chrom, s AS "start", least(s + 7, max(size)) AS "end", round(avg(value), 5) AS m, round(sum(value), 3) AS t, count(value) AS n, min(value) AS lo, max(value) AS hi, round(max(top) + ln(sum(exp(value - top))), 5) AS l
+        FROM t GROUP BY chrom, s""",
+    )
+)
+def vtrack_wide_windows(spark, d):
+    """Windows of 400 weeks around each week."""
+    ws = fx.workspace(spark, d)
+    for name, func in {"m": "avg", "t": "sum", "n": "size", "lo": "min", "hi": "max", "l": "lse"}.items():
+        ws.vtrack(name, "price", func, sshift=-1400, eshift=1400)
+    made = ws.evaluate({k: k for k in ("m", "t", "n", "lo", "hi", "l")}, iterator=7).drop("intervalID")
+    return made.select("chrom", "start", "end", F.round("m", 5).alias("m"), F.round("t", 3).alias("t"), "n", "lo", "hi", F.round("l", 5).alias("l"))

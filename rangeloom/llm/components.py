@@ -1,48 +1,5 @@
 """Connected components of a link table, without gathering links on the driver."""
 
-from __future__ import annotations
+from rangeloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
-
-from rangeloom.llm._store import stored
-
-
-def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The stored edges and what tells them from others, observed while they are written."""
-    seen = Observation()
-    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    kept = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), "links")
-    return kept, (seen.get["n"], seen.get["h"])
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Label every linked id with the smallest id it can reach.
-
-    ``links`` has two id columns; their order, repeats and self links don't
-    matter, and links with a null end are no links.  Returns ``id`` and
-    ``component`` for each id that has a link; an id without links is its own
-    component and isn't listed.
-
-    Alternates two star steps: every id hands its larger neighbours, then its
-    smaller ones, to the smallest id that it knows.  Each step is a grouped
-    minimum (combined on the map side) and a join, so one id's neighbours are
-    never gathered, and the number of rounds grows with the logarithm of the
-    longest path.  Rounds go on until the links no longer change.
-    """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
-    )
-    edges, before = _saved(edges.distinct())
-    while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges, after = _saved(small.select("e.u", "e.v").where("u != v").distinct())
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", "id"))
+__all__ = ["connected_components"]

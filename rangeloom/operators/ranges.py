@@ -78,6 +78,22 @@ def overlap_join(
     return joined.select(*left.columns, *(F.col(f"_r_{c}").alias(n) for c, n in names.items() if c not in keys))
 
 
+def free_parts(rows: DataFrame, masked: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """What intervals that don't overlap each other leave of each row: its columns, with the part's ``start`` and ``end``.
+
+    Rows that are equal in all columns are one; a row that is covered is left out.
+    """
+    hits = overlap_join(rows, masked.select("chrom", "start", "end"), bin_width, how="left")
+    cuts = hits.groupBy(*rows.columns).agg(F.sort_array(F.collect_list(F.when(F.col("start1").isNotNull(), F.struct("start1", "end1")))).alias("_cuts"))
+    # free parts lie between one cut's end and the next cut's start
+    edges = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.struct(
+        F.when(i == 0, F.col("start")).otherwise(F.get(F.col("_cuts"), i - 1)["end1"]).alias("s"),
+        F.when(i == F.size("_cuts"), F.col("end")).otherwise(F.get(F.col("_cuts"), i)["start1"]).alias("e"),
+    ))
+    parts = cuts.withColumn("_p", F.explode(edges)).withColumns({"start": F.col("_p.s"), "end": F.col("_p.e")})
+    return parts.where("start < end").select(*rows.columns)
+
+
 def running(df: DataFrame, kind: str, value: Column, name: str, order: list[Column], tile: int = TILE, keys: tuple[str, ...] = ("chrom",), before: bool = True) -> DataFrame:
     """Add a running aggregate along each key's ``start``, in two levels.
 

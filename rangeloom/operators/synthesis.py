@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import product
 
 import numpy as np
@@ -9,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.binning import locate
 from rangeloom.functions.sequence import kmer_counts, kmers, reverse_complement
 
 MAX_ORDER = 8
@@ -207,9 +207,10 @@ def cell_merge(dims: list[list[float]], merges: list[tuple[list[float], list[flo
         for kind, values in (("from", source), ("to", target)):
             flat, step = 0, 1
             for d, (breaks, value) in enumerate(zip(dims, values, strict=True)):
-                at = locate(value, breaks, include_lowest=True)
-                if at is None:
+                if not breaks[0] <= value <= breaks[-1]:
                     raise ValueError(f"{value} is in no bin of dimension {d + 1}")
+                # a break begins the bin above it, but for the last
+                at = min(bisect_right(breaks, value), len(breaks) - 1) - 1
                 at = maps[d].get(at + 1, at + 1) if maps else at + 1
                 row[f"{kind}_{d + 1}"] = at
                 flat, step = flat + (at - 1) * step, step * (len(breaks) - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.operators import iterators as it
 from rangeloom.operators.intervals import canonic
-from rangeloom.operators.ranges import BIN, TILE, no_nan, overlap_join, running
+from rangeloom.operators.ranges import BIN, TILE, free_parts, no_nan, overlap_join, running
 from rangeloom.storage import stored
 
 #: Columns that tell a window apart: the iterator row's own chromosome, start and end.
@@ -202,16 +202,7 @@ class Workspace:
         moved = sized.select(*KEY, "chrom", start.alias("start"), F.least(F.col("end") + v.eshift, "size").alias("end")).where("start < end")
         if v.mask is None:
             return moved
-        masked = self._mask(v.mask)
-        hits = overlap_join(moved, masked, self.bin_width, how="left")
-        cuts = hits.groupBy(*KEY, "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("start1").isNotNull(), F.struct("start1", "end1")))).alias("cuts"))
-        # free parts lie between one cut's end and the next cut's start
-        edges = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.struct(
-            F.when(i == 0, F.col("start")).otherwise(F.get(F.col("cuts"), i - 1)["end1"]).alias("s"),
-            F.when(i == F.size("cuts"), F.col("end")).otherwise(F.get(F.col("cuts"), i)["start1"]).alias("e"),
-        ))
-        parts = cuts.select(*KEY, "chrom", F.explode(edges).alias("p")).select(*KEY, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
-        return parts.where("start < end")
+        return free_parts(moved, self._mask(v.mask), self.bin_width)
 
     def _folded(self, windows: DataFrame, track: Track, wanted: dict[str, VirtualTrack]) -> DataFrame:
         """Wide windows of a dense track, put together from blocks of bins.

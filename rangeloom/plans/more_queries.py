@@ -13,6 +13,7 @@ from rangeloom.operators import intervals as iv
 from rangeloom.operators import iterators as it
 from rangeloom.operators import matrices as mx
 from rangeloom.operators import nearest as nn
+from rangeloom.operators import strata as st
 from rangeloom.operators import synthesis as sy
 from rangeloom.operators import tracks as tr
 from rangeloom.operators import two_d as td
@@ -665,3 +666,51 @@ def vtrack_wide_windows(spark, d):
         ws.vtrack(name, "price", func, sshift=-1400, eshift=1400)
     made = ws.evaluate({k: k for k in ("m", "t", "n", "lo", "hi", "l")}, iterator=7).drop("intervalID")
     return made.select("chrom", "start", "end", F.round("m", 5).alias("m"), F.round("t", 3).alias("t"), "n", "lo", "hi", F.round("l", 5).alias("l"))
+
+
+# models over strata along the sequence
+
+_STRATA = """l AS (SELECT doc_id::VARCHAR AS chrom, length(seq) AS size, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM seqs WHERE seq <> ''),
+ m AS (SELECT chrom, size, i, c, i // 500 * 500 AS s, upper(c) AS c0, upper(lead(c) OVER w) AS c1, upper(lead(c, 2) OVER w) AS c2 FROM l WINDOW w AS (PARTITION BY chrom ORDER BY i)),
+ f AS (SELECT chrom, s, sum((c0 = 'A' AND c1 = 'C' AND c2 = 'G')::INT) AS kc, sum((c IN ('a', 'c', 'g', 't'))::INT) AS mc FROM m GROUP BY ALL),
+ z AS (SELECT chrom, s, CASE WHEN mc < 300 THEN 1 WHEN mc < 400 THEN 2 ELSE 3 END + 3 * CASE WHEN coalesce(kc, 0) < 2 THEN 0 ELSE 1 END AS stratum FROM f),
+ k AS (SELECT m.chrom, m.size, i, stratum, c0 || c1 AS context, c2 AS base, i BETWEEN 100 AND 159 AS masked, regexp_matches(c0 || c1 || c2, '^[ACGT]{3}$') AS good FROM m JOIN z USING (chrom, s) WHERE c2 IS NOT NULL),
+ fwd AS (SELECT stratum, context, base FROM k WHERE good AND NOT masked),
+ cnt AS (SELECT stratum, context, base, count(*) AS n FROM (FROM fwd UNION ALL SELECT stratum, reverse(translate(substr(context, 2, 1) || base, 'ACGT', 'TGCA')), translate(substr(context, 1, 1), 'ACGT', 'TGCA') FROM fwd) GROUP BY ALL),
+ p AS (SELECT stratum, context, base, n, (n + sum(n) OVER (PARTITION BY stratum, base) / sum(n) OVER (PARTITION BY stratum)) / (sum(n) OVER (PARTITION BY stratum, context) + 1) AS p FROM cnt)"""
+
+
+def _strata_model(spark, d) -> tuple[tr.Workspace, st.StrataModel, DataFrame]:
+    """Texts as sequences, with strata by soft-masked letters and ACGs of 500 letters; the third bin of ACGs counts as the second."""
+    ws = _sequence_workspace(spark, d)
+    ws.vtrack("k", None, "kmer.count", {"kmer": "ACG", "strand": 1})
+    ws.vtrack("m", None, "masked.count")
+    dims = (st.Dimension("m", (0, 300, 400, 500)), st.Dimension("k", (0, 2, 6, 500), ((3, 2),)))
+    mask = ws.chroms.where("size > 100").select("chrom", F.lit(100).cast("long").alias("start"), F.least("size", F.lit(160).cast("long")).alias("end"))
+    return ws, st.train(ws, 2, dims, iterator=500, mask=mask), mask
+
+
+@query(_with(_STRATA, "SELECT stratum, context, base, n, round(p, 9) AS p FROM p"))
+def synth_strata(spark, d):
+    _, model, _ = _strata_model(spark, d)
+    return model.table.where("n > 0").select("stratum", "context", "base", "n", F.round("p", 9).alias("p"))
+
+
+@query(
+    _with(
+        _STRATA + """, v AS (SELECT l.chrom, l.i, ln(p.p) AS value FROM l LEFT JOIN k ON k.chrom = l.chrom AND k.i = l.i - 2 AND NOT l.i BETWEEN 100 AND 159 LEFT JOIN p ON k.good AND p.stratum = k.stratum AND p.context = k.context AND p.base = k.base)""",
+        "SELECT chrom, i // 40 AS bin, CASE WHEN count(value) = count(*) THEN round(sum(value), 6) END AS value FROM v GROUP BY ALL",
+    )
+)
+def synth_score(spark, d):
+    ws, model, mask = _strata_model(spark, d)
+    return st.score(ws, model, 40, mask=mask).select("chrom", "bin", F.round("value", 6).alias("value"))
+
+
+@query("SELECT doc_id::VARCHAR AS chrom, length(seq) AS size, length(seq) - length(replace(seq, 'N', '')) AS unknown, substr(seq, 101, 60) AS copied FROM seqs WHERE seq <> ''")
+def synth_sample(spark, d):
+    """What a sample keeps: sizes, unknown letters and the mask's places; ``tests/test_strata.py`` holds its frequencies against the model's."""
+    ws, model, mask = _strata_model(spark, d)
+    made = st.sample(ws, model, mask_copy=mask).withColumn("unknown", F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit(""))))
+    copied = F.coalesce(F.max(F.when(F.col("chunk_start") == 0, F.substring("seq", 101, 60))), F.lit(""))
+    return made.groupBy("chrom").agg(F.sum(F.length("seq")).alias("size"), F.sum("unknown").alias("unknown"), copied.alias("copied"))

@@ -88,6 +88,7 @@ def test_model_bins_and_transplants(spark):
     breaks = [0.0, 0.25, 0.5, 0.75, 1.0]
     assert sy.bin_map(breaks, [(0.5, (0.25, 0.5)), ((-1, 0.25), (0.25, 0.5))]) == {1: 2, 2: 2, 3: 2, 4: 2}
     assert sy.cell_merge([breaks, breaks], [([0.9, 0.1], [0.3, 0.3])]) == [{"from_1": 4, "from_2": 1, "to_1": 2, "to_2": 2, "source_flat": 4, "target_flat": 6}]
+    assert sy.cell_merge([breaks], [([0.5], [1.0])]) == [{"from_1": 3, "to_1": 4, "source_flat": 3, "target_flat": 4}]
     t, s = (spark.createDataFrame([("a", 0, x * 20)], "chrom string, chunk_start long, seq string") for x in "AT")
     got = sy.transplant(spark.createDataFrame([("a", 3, 6)], IV), s, t).first()
     assert got.seq == "AAATTT" + "A" * 14

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.llm import _text as T
@@ -79,17 +79,20 @@ def contaminated_passages(
         at = words.select(*key, (F.size("words") - k + 1).alias("n_doc"), F.posexplode(_shingles(F.col("words"), F.lit(k))).alias("pos", "h"))
         at = at.join(entries.where(F.col("width") == k), "h")
         hits = at if hits is None else hits.unionByName(at)
-    hits = hits.groupBy(*key, "item_id", "n", "width").agg(F.max("n_doc").alias("n_doc"), F.sort_array(F.collect_set("pos")).alias("pos"))
-    need = F.ceil(F.col("n") * percent / 100).cast("int")
-    hits = hits.withColumn("need", need).where(F.size("pos") >= F.col("need"))
-
-    def starts(i: Column) -> Column:
-        first, last = F.get("pos", i), F.get("pos", i + F.col("need") - 1)
-        low, high = F.greatest(last - F.col("n") + 1, F.lit(0)), F.least(first, F.greatest(F.col("n_doc") - F.col("n"), F.lit(0)))
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-    found = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("pos") - F.col("need")), starts)))
-    windows = hits.select(*key, "item_id", "n", "width", F.explode(found).alias("start"))
+    # a shared shingle counts in the windows that begin up to n - 1 places before it: one more from there on, one less past it
+    group = [*key, "item_id", "n", "width"]
+    hits = hits.repartition(*key, "item_id").dropDuplicates([*group, "pos"])
+    edges = F.array(
+        F.struct(F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0)).alias("at"), F.lit(1).alias("step")),
+        F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("step")),
+    )
+    edges = hits.select(*group, (F.greatest(F.col("n_doc") - F.col("n"), F.lit(0))).alias("last"), F.explode(edges).alias("e")).select(*group, "last", "e.at", "e.step")
+    order = Window.partitionBy(*group).orderBy("at")
+    held = F.sum("step").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = edges.select(*group, "last", "at", held.alias("held"), F.lead("at").over(order).alias("next"))
+    # the windows that begin from one edge to the next hold as many; of edges at one place only the last has any
+    spans = edges.where(F.expr(f"held * 100 >= n * {percent} AND at < next AND at <= last"))
+    windows = spans.select(*group, F.explode(F.sequence(F.col("at"), F.least(F.col("next") - 1, F.col("last")))).alias("start"))
     windows = windows.groupBy(*key).agg(F.collect_list(F.struct("item_id", "n", "width", "start")).alias("windows"))
 
     joined = windows.alias("w").join(base.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_hash") == F.col("t.text_hash")))

@@ -582,6 +582,15 @@ def test_decontamination_truncated_passages(spark):
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in got} == {k: (round(a, 9), b) for k, (a, b) in want.items()}
 
 
+def test_decontamination_of_repeated_passages(spark):
+    """A text that repeats an item thousands of times is as any other, and the first of its best windows counts."""
+    item = [f"w{i}" for i in range(50)]
+    words = ["x"] * 7 + item[:45] + ["y"] * 30 + item * 2000
+    docs = [(1, " ".join(words)), (2, " ".join(words)), (2, " ".join(words)), (3, " ".join(item[:40] + ["z"] * 400)), (4, " ".join(item[:20] * 100))]
+    got = decontaminate.contaminated_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.similarity, r.start_word) for r in got} == {(1, 1.0, 82), (2, 1.0, 82)} and len(got) == 2
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "some words stand here in a row"), (2, None)], "item_id long, text string")
     found = decontaminate.contaminated_passages(odd, items).collect()

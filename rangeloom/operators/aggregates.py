@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -213,23 +214,35 @@ def correlation(ws: Workspace, pairs: list[tuple[str, str]], scope: DataFrame |
     """
     named = {f"_{s}{i}": e for i, p in enumerate(pairs) for s, e in zip("xy", p, strict=True)}
     rows = ws.evaluate(named, _merged(ws, scope), iterator)
-    out = None
-    for i in range(len(pairs)):
-        x, y = no_nan(f"_x{i}"), no_nan(f"_y{i}")
-        both = rows.select(x.alias("x"), y.alias("y"))
-        missing = both.agg(F.count("*").alias("n"), F.count(F.when(F.col("x").isNull() | F.col("y").isNull(), 1)).alias("n_missing"))
-        full = both.where("x IS NOT NULL AND y IS NOT NULL")
-        if method == "spearman":
-            full = stored(full, "ranked")
-            for c in "xy":
-                full = full.join(average_ranks(full, c).withColumnRenamed("rank", f"r{c}"), c)
-            full = full.select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-        made = full.agg(
-            F.avg("x").alias("mean1"), F.avg("y").alias("mean2"), F.stddev_samp("x").alias("sd1"), F.stddev_samp("y").alias("sd2"), F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("cor")
-        )
-        line = missing.join(F.broadcast(made), F.lit(True)).select(F.lit(i + 1).alias("pair"), "*")
-        out = line if out is None else out.unionByName(line)
-    return out
+    if method == "spearman":
+        rows = stored(rows.select(*(no_nan(c).alias(c) for c in named)), "ranked")
+        lines = [_correlations(_ranked(rows, f"_x{i}", f"_y{i}"), [(i, "_x", "_y")]) for i in range(len(pairs))]
+        return reduce(DataFrame.unionByName, lines)
+    return _correlations(rows, [(i, f"_x{i}", f"_y{i}") for i in range(len(pairs))])
+
+
+def _ranked(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Average ranks of two columns among the rows that have both; the other rows follow as nulls."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    full = rows.where(both).select(x, y)
+    for c in (x, y):
+        full = full.join(average_ranks(full, c).withColumnRenamed("rank", f"r{c}"), c)
+    rest = rows.where(~both).select(F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"))
+    return full.select(F.col(f"r{x}").cast("double").alias("_x"), F.col(f"r{y}").cast("double").alias("_y")).unionByName(rest)
+
+
+def _correlations(rows: DataFrame, pairs: list[tuple[int, str, str]]) -> DataFrame:
+    """A row for each numbered pair of columns, all from one aggregation."""
+    made = []
+    for i, a, b in pairs:
+        x, y = no_nan(a), no_nan(b)
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        made.append(F.struct(
+            F.lit(i + 1).alias("pair"), F.count("*").alias("n"), F.count(F.when(~both, 1)).alias("n_missing"), F.avg(x).alias("mean1"), F.avg(y).alias("mean2"),
+            F.stddev_samp(x).alias("sd1"), F.stddev_samp(y).alias("sd2"), F.covar_samp(x, y).alias("cov"), F.corr(x, y).alias("cor"),
+        ))
+    return rows.agg(F.array(*made).alias("_pairs")).select(F.inline("_pairs"))
 
 
 def cumulative(df: DataFrame, column: str, weight: str | None = None, parts: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -70,6 +70,10 @@ def test_folds(spark, ws):
     assert [r.value for r in agg.quantiles(ws, "d", [0.0, 0.5, 1.0]).orderBy("percentile").collect()] == [1.0, 5.0, 10.0]
     d = {r.bin1: (r.range1, r.n) for r in agg.distribution(ws, [("d", [0, 2, 20, 30])]).collect()}
     assert d == {0: ("(0,2]", 2), 1: ("(2,20]", 7), 2: ("(20,30]", 0)}
+    two = {r.pair: r for r in agg.correlation(ws, [("d", "d"), ("d", "CASE WHEN d > 2 THEN -d END")]).collect()}
+    assert two[1].cor == pytest.approx(1) and two[2].n == two[1].n and two[2].n_missing > two[1].n_missing
+    both = {r.pair: r for r in agg.correlation(ws, [("d", "d"), ("d", "-d")], method="spearman").collect()}
+    assert both[1].cor == pytest.approx(1) and both[2].cor == pytest.approx(-1) and both[1].n_missing == both[2].n_missing == two[1].n_missing
     c = agg.correlation(ws, [("d", "d * d")], method="spearman").first()
     assert c.cor == pytest.approx(1.0) and c.n_missing == 5
     per = agg.interval_summary(ws, "d", spark.createDataFrame([("a", 0, 20), ("b", 20, 40)], IV)).orderBy("chrom").collect()

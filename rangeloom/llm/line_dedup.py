@@ -20,8 +20,8 @@ MIN_WORDS = 1
 PERCENT = 90
 #: Least percent at which two lines as near as that always share a pair of neighbouring words.
 LEAST_PERCENT = 67
-#: Words are counted by bucket on one in SAMPLE texts, to tell rare ones from frequent ones.
-BUCKETS, SAMPLE = 1 << 18, 16
+#: Words are counted by bucket, to tell rare ones from frequent ones.
+BUCKETS = 1 << 18
 #: Words up to which lines have signs, as comparing those takes the words times the allowed edits; longer ones are told apart by the rest.
 SIGNED_WORDS = 64
 #: Orders in which a line's least key is noted, to count a pair of lines at one of the keys that they share.
@@ -68,6 +68,10 @@ def _line_ids(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def line_prints(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash, line, id, low_print, high_print, signs, n_words) of every line of (doc_id, text_hash, text) rows.
 
+    Each task ends with rows of line -1 that hold, as text_hash and id, a hash
+    bucket and how many of the task's words fell in it; ``word_levels`` adds
+    them up.
+
     ``id`` is a 64-bit hash of the normalised line and ``line`` counts the text's
     lines from 0.  A print has 128 bits, each the parity of the number of words
     that hash to it, so that one edit changes two bits at most.  ``signs`` has a
@@ -76,9 +80,14 @@ def line_prints(docs: DataFrame) -> DataFrame:
     sign, below.
     """
 
+    names = ["doc_id", "text_hash", "line", "id", "low_print", "high_print", "signs", "n_words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ids_type = np.zeros(BUCKETS, np.int64), None
         for batch in batches:
+            ids_type = batch.column(0).type
             for owners, number, bounds, words in _line_words(batch.column(2)):
+                total += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 counts = np.diff(bounds)
                 full = np.flatnonzero(counts)
                 prints = np.zeros((2, len(counts)), np.uint64)
@@ -95,25 +104,23 @@ def line_prints(docs: DataFrame) -> DataFrame:
                 ids, low, high = (pa.array(x.view(np.int64)) for x in (_line_ids(words, bounds), prints[0], prints[1]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)), ids, low, high, signs, pa.array(counts.astype(np.int32))],
-                    ["doc_id", "text_hash", "line", "id", "low_print", "high_print", "signs", "n_words"],
+                    names,
                 )
+        some = np.flatnonzero(total)
+        if len(some):
+            none, zero = pa.nulls(len(some), ids_type), pa.array(np.zeros(len(some), np.int64))
+            small = pa.array(np.zeros(len(some), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [none, pa.array(some), pa.array(np.full(len(some), -1, np.int32)), pa.array(total[some]), zero, zero, pa.array([""] * len(some)), small], names
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, line int, id long, low_print long, high_print long, signs string, n_words int")
 
 
-def word_levels(texts: DataFrame) -> np.ndarray:
-    """How frequent the words of each hash bucket are, on a logarithmic scale, from one in SAMPLE of (text_hash, text) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, _, words in _line_words(batch.column(1)):
-                total += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    counted = texts.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def word_levels(prints: DataFrame) -> np.ndarray:
+    """How frequent the words of each hash bucket are in all texts, on a logarithmic scale, from the rows of ``line_prints``."""
+    counted = prints.where("line < 0").groupBy(F.col("text_hash").alias("bucket")).agg(F.sum("id").alias("n")).toArrow()
     levels = np.zeros(BUCKETS, np.int64)
     levels[counted.column("bucket").to_numpy()] = (4 * np.log2(1 + counted.column("n").to_numpy())).astype(np.int64)
     return levels
@@ -150,16 +157,16 @@ def _by_line_and_level(line: np.ndarray, level: np.ndarray, pair: np.ndarray) ->
     return order
 
 
-def line_keys(docs: DataFrame, percent: int, fewest: int) -> DataFrame:
+def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) -> DataFrame:
     """Rows (key, id, long) of the lines of ``fewest`` words or more of (text_hash, text) rows; lines alike by ``percent`` share a key.
 
     ``long`` lines have more words than SIGNED_WORDS.
 
     The keys are a line's rarest pairs of neighbouring words, as many as
     ``pairs_needed`` says; a pair that stands there again is another pair.  Any
-    order of the pairs would lose nothing; a sample's counts keep groups small.
+    order of the pairs would lose nothing; ``word_levels`` keep groups small.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, need = shared.value, pairs_needed(256, percent)
@@ -282,14 +289,16 @@ def repeated_lines(
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; lines less alike than {LEAST_PERCENT} need share no pair of words")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    lines = stored(line_prints(base.where("text IS NOT NULL").select("doc_id", "text_hash", "text")).where(F.col("n_words") >= max(1, min_words)), "lines")
+    prints = line_prints(base.where("text IS NOT NULL").select("doc_id", "text_hash", "text"))
+    prints = stored(prints.where((F.col("n_words") >= max(1, min_words)) | (F.col("line") < 0)), "lines")
+    lines = prints.where("line >= 0")
     values = [F.min(c).alias(c) for c in ("low_print", "high_print", "signs")]
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n"), F.min("n_words").alias("words"), *values)
     distinct = stored(distinct, "distinct_lines")
 
     # a line of so few words that no edit is allowed has no other line like it
     fewest = max(min_words, -(-100 // (100 - percent)) - 1) if percent < 100 else 1 << 30
-    keyed = line_keys(base.where("text IS NOT NULL").select("text_hash", "text"), percent, fewest).repartition("key")
+    keyed = line_keys(base.where("text IS NOT NULL").select("text_hash", "text"), word_levels(prints), percent, fewest).repartition("key")
     block = Window.partitionBy("key")
     keyed = keyed.select("key", "id", "long", F.min("id").over(block).alias("lo"), F.max("id").over(block).alias("hi")).where("lo < hi")
     keyed = stored(keyed.select("key", "id", "long").distinct(), "line_keys")

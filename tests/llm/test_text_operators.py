@@ -484,6 +484,13 @@ def test_line_fuzzy_pairs_against_brute_force(spark):
     assert {r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed} == want
 
 
+def test_word_levels_count_every_text(spark):
+    docs = spark.createDataFrame([(i, i, f"often w{i}\noften w{i}") for i in range(40)], "doc_id long, text_hash long, text string")
+    levels = line_dedup.word_levels(line_dedup.line_prints(docs))
+    # 80 of the one word, and two of each other one
+    assert sorted(levels[levels > 0]) == [int(4 * np.log2(3))] * 40 + [int(4 * np.log2(81))]
+
+
 def test_edits_against_brute_force():
     rng = random.Random(13)
 

@@ -158,9 +158,7 @@ def _by_line_and_level(line: np.ndarray, level: np.ndarray, pair: np.ndarray) ->
 
 
 def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) -> DataFrame:
-    """Rows (key, id, long) of the lines of ``fewest`` words or more of (text_hash, text) rows; lines alike by ``percent`` share a key.
-
-    ``long`` lines have more words than SIGNED_WORDS.
+    """Rows (key, id) of the lines of ``fewest`` words or more of (text) rows; lines alike by ``percent`` share a key.
 
     The keys are a line's rarest pairs of neighbouring words, as many as
     ``pairs_needed`` says; a pair that stands there again is another pair.  Any
@@ -171,7 +169,7 @@ def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, need = shared.value, pairs_needed(256, percent)
         for batch in batches:
-            for _, _, bounds, words in _line_words(batch.column(1)):
+            for _, _, bounds, words in _line_words(batch.column(0)):
                 counts = np.diff(bounds)
                 if len(counts) and counts.max() >= len(need):
                     need = pairs_needed(2 * int(counts.max()), percent)
@@ -191,10 +189,23 @@ def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) ->
                 begin = np.searchsorted(line, np.arange(len(counts)))
                 taken = np.arange(len(line)) - begin[line] < need[counts[line]]
                 keys, ids = pair[taken], _line_ids(words, bounds)[line[taken]]
-                long = counts[line[taken]] > SIGNED_WORDS
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(long)], ["key", "id", "long"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64))], ["key", "id"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long")
+
+
+def shared_blocks(keyed: DataFrame) -> DataFrame:
+    """Rows (key, id) of the keys that several ids have; keys that the same ids have become one.
 
-    return docs.select("text_hash", "text").mapInArrow(run, "key long, id long, long boolean")
+    A block's new key is a hash of its ids, so that lines which share many keys
+    meet once; should two sets have one hash, their blocks are joined and no
+    pair is lost.
+    """
+    block = Window.partitionBy("key")
+    several = keyed.repartition("key").select("key", "id", F.min("id").over(block).alias("lo"), F.max("id").over(block).alias("hi")).where("lo < hi")
+    # sums of 32 bits can't overflow
+    parts = [F.sum(F.xxhash64(F.lit(i), "id").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).over(block) for i in (0, 1)]
+    return several.select("key", "id").distinct().select(F.xxhash64(*parts).alias("key"), "id").distinct()
 
 
 def block_keys(print_: Column, blocks: int, radius: int) -> Column:
@@ -245,6 +256,12 @@ def edits_within(a: list[str], b: list[str], most: int) -> bool:
     return False
 
 
+def word_signs(texts: DataFrame) -> DataFrame:
+    """Rows (id, signs) of (id, text) rows of normalised lines, however long: a character of 127 for each word."""
+    sign = lambda word: F.char(F.pmod(F.xxhash64(word), F.lit(127)) + 1)
+    return texts.select("id", F.array_join(F.transform(F.split("text", " "), sign), "").alias("signs"))
+
+
 def alike_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, s, t) whose texts have the edit similarity, as (a, b)."""
 
@@ -276,7 +293,9 @@ def repeated_lines(
     neighbouring words, enough of which are taken for the edits that their
     lengths allow; the parities of their words differ in no more bits, and the
     signs of those compared within a block in no more edits, than that
-    similarity allows.  A block of lines
+    similarity allows (of lines of over SIGNED_WORDS words once their texts are
+    at hand).  Pairs that the same lines share are one block, and a pair of
+    lines counts at one of the blocks that it shares.  A block of lines
     that share a pair is compared with its most frequent and its smallest line
     first, and within itself only where that leaves several groups; so a block
     of copies costs what it holds, and no link between groups is lost.  The
@@ -298,17 +317,13 @@ def repeated_lines(
 
     # a line of so few words that no edit is allowed has no other line like it
     fewest = max(min_words, -(-100 // (100 - percent)) - 1) if percent < 100 else 1 << 30
-    keyed = line_keys(base.where("text IS NOT NULL").select("text_hash", "text"), word_levels(prints), percent, fewest).repartition("key")
     block = Window.partitionBy("key")
-    keyed = keyed.select("key", "id", "long", F.min("id").over(block).alias("lo"), F.max("id").over(block).alias("hi")).where("lo < hi")
-    keyed = stored(keyed.select("key", "id", "long").distinct(), "line_keys")
-    # long lines share many keys: a pair counts at the first least key that both have, and at every key only if they have none
-    least = keyed.where("long").groupBy("id").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"m{i}") for i in range(KEY_MINIMA)))
+    keyed = stored(shared_blocks(line_keys(base.where("text IS NOT NULL"), word_levels(prints), percent, fewest)), "line_keys")
+    # a pair counts at the first least key that both lines have, and at every shared key only if they have none
+    least = keyed.groupBy("id").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"m{i}") for i in range(KEY_MINIMA)))
     least = least.select("id", F.array(*(f"m{i}" for i in range(KEY_MINIMA))).alias("least"))
-    keyed = keyed.drop("long")
     columns = ["id", "low_print", "high_print", "words"]
-    busy = distinct.join(keyed.select("id").distinct(), "id", "left_semi").select(*columns, "signs", "n")
-    busy = stored(busy.join(least, "id", "left"), "busy_lines")
+    busy = stored(distinct.select(*columns, "signs", "n").join(least, "id"), "busy_lines")
 
     def near(x: str, y: str) -> Column:
         """Of lengths and words' parities that the similarity allows; among e edits of lines whose lengths differ by d are d that change one bit."""
@@ -319,9 +334,10 @@ def repeated_lines(
         return sizes & (bits[0] + bits[1] <= 2 * edits - F.abs(a - b))
 
     def near_signs(x: str, y: str) -> Column:
-        longer = F.greatest(F.col(f"{x}words"), F.col(f"{y}words"))
-        edits = F.floor(longer * (100 - percent) / 100).cast("int")
-        return (longer > SIGNED_WORDS) | (F.call_function("levenshtein", F.col(f"{x}signs"), F.col(f"{y}signs"), edits) >= 0)
+        """Of signs within the edits that the similarity allows, where both lines have signs."""
+        edits = F.floor(F.greatest(F.col(f"{x}words"), F.col(f"{y}words")) * (100 - percent) / 100).cast("int")
+        signs = F.col(f"{x}signs"), F.col(f"{y}signs")
+        return (F.least(*map(F.length, signs)) == 0) | (F.call_function("levenshtein", *signs, edits) >= 0)
 
     one = F.struct(*columns)
     leads = [F.max_by(one, F.struct("n", "id")).over(block), F.min_by(one, "id").over(block)]
@@ -330,33 +346,44 @@ def repeated_lines(
     stars = stars.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
     stars = stored(stars, "line_stars")
 
-    def across(groups: DataFrame) -> DataFrame:
-        """Near pairs that share a block but no group, from blocks that hold several groups."""
+    def across(groups: DataFrame, among: DataFrame | None = None, signs: DataFrame | None = None) -> DataFrame:
+        """Near pairs that share a block but no group, from blocks that hold several groups (of those in ``among`` only, with the ``signs``, if given)."""
         placed = keyed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+        if among is not None:
+            placed = placed.join(among, "g", "left_semi")
+        values = busy.drop("n") if signs is None else busy.drop("n", "signs").join(signs, "id")
         mixed = placed.select("*", F.min("g").over(block).alias("lo"), F.max("g").over(block).alias("hi")).where("lo < hi")
-        placed = stored(mixed.select("key", "id", "g").join(busy.drop("n"), "id"), "mixed_blocks")
+        placed = stored(mixed.select("key", "id", "g").join(values, "id"), "mixed_blocks")
         once = F.lit(True)
         for i in reversed(range(KEY_MINIMA)):
             once = F.when(F.get("x.least", F.lit(i)) == F.get("y.least", F.lit(i)), F.col("x.key") == F.get("x.least", F.lit(i))).otherwise(once)
-        once = F.col("x.least").isNull() | F.col("y.least").isNull() | once
-        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & near("x.", "y.") & near_signs("x.", "y.") & once
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & near("x.", "y.") & once & near_signs("x.", "y.")
         return placed.alias("x").join(placed.alias("y"), same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
     # candidates that join the stars' groups; with them, every line that has a candidate is known
     first = stored(stars.unionByName(across(connected_components(stars))), "line_pairs")
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(distinct.select("id", "first"), "id")
     wanted = wanted.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("id", "first.line")).alias("wanted"))
-    texts = wanted.alias("w").join(base.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_hash") == F.col("t.text_hash")))
-    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.id", normalised(F.get("lines", F.col("w.line"))).alias("text"))
+    texts = wanted.hint("shuffle_hash").alias("w").join(base.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_hash") == F.col("t.text_hash")))
+    texts = texts.select(F.split("text", "\n").alias("lines"), "wanted").select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text")))).alias("w"))
+    texts = texts.select("w.id", normalised(F.col("w.text")).alias("text"))
     texts = stored(texts.dropDuplicates(["id"]), "line_texts")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
     alike = lambda pairs: alike_pairs(pairs.join(x, "a").join(y, "b"), percent)
     links = stored(alike(first), "line_links")
-    # candidates whose lines are still apart, now that alike ones are known
-    rest = across(connected_components(links)).join(first, ["a", "b"], "left_anti")
+    # candidates whose lines are still apart, now that alike ones are known; lines that candidates linked
+    # are apart only if one of those between their groups wasn't alike
+    groups = connected_components(links)
+    ends = [groups.select(F.col("id").alias(c), F.col("component").alias(f"g{c}")) for c in ("a", "b")]
+    apart = first.join(links, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = apart.select(F.coalesce("ga", "a").alias("x"), F.coalesce("gb", "b").alias("y")).where("x != y")
+    apart = stored(apart.select(F.explode(F.array("x", "y")).alias("g")).distinct(), "line_groups")
+    own = groups.join(apart, groups["component"] == apart["g"], "left_semi").select("id").union(apart.select("g")).distinct()
+    rest = across(groups, apart, word_signs(texts.join(own, "id", "left_semi"))).join(first, ["a", "b"], "left_anti")
     group = connected_components(links.unionByName(alike(rest)))
 
-    grouped = distinct.join(group, "id", "left").withColumn("group", F.coalesce("component", "id")).select("id", "group", "first", "n")
+    grouped = distinct.select("id", "first", "n").join(group, "id", "left").where("n > 1 OR component IS NOT NULL")
+    grouped = grouped.select("id", F.coalesce("component", "id").alias("group"), "first", "n")
     keeper = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.join(keeper.drop("n"), "group").select("id", "keeper")
     other = ~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("line") == F.col("keeper.line")) & (F.col("text_hash") == F.col("keeper.text_hash")))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from rangeloom.storage import stored
 
 
-def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The stored edges and what tells them from others, observed while they are written."""
+def _neighbours(both: DataFrame) -> tuple[DataFrame, bool]:
+    """Each id's smallest neighbour, stored, and whether every id is the smallest of its neighbours or has one alone, a smaller one."""
     seen = Observation()
-    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    kept = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), "links")
-    return kept, (seen.get["n"], seen.get["h"])
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+    open_ = F.count_if((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") > 0)))
+    low = stored(low.observe(seen, open_.alias("open")).select("u", "m"), "neighbours")
+    return low, seen.get["open"] == 0
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,21 +29,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     smaller ones, to the smallest id that it knows.  Each step is a grouped
     minimum (combined on the map side) and a join, so one id's neighbours are
     never gathered, and the number of rounds grows with the logarithm of the
-    longest path.  Rounds go on until the links no longer change.
+    longest path.  Rounds end once all links lead straight to the smallest id.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    edges, before = _saved(edges.distinct())
-    while before[0]:
+    edges = stored(edges.distinct(), "links")
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        near, done = _neighbours(both)
+        low = near.select("u", F.least("u", "m").alias("m"))
+        if done:
+            return low.select(F.col("u").alias("id"), F.col("m").alias("component"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges, after = _saved(small.select("e.u", "e.v").where("u != v").distinct())
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", "id"))
+        edges = stored(small.select("e.u", "e.v").where("u != v").distinct(), "links")

@@ -491,6 +491,35 @@ def test_word_levels_count_every_text(spark):
     assert sorted(levels[levels > 0]) == [int(4 * np.log2(3))] * 40 + [int(4 * np.log2(81))]
 
 
+def test_shared_blocks_of_the_same_lines_are_one(spark):
+    rows = [(k, i) for k in range(5) for i in (1, 2)] + [(9, i) for i in (1, 2, 3, 3)] + [(10, 4), (11, 4), (11, 4)]
+    found = line_dedup.shared_blocks(spark.createDataFrame(rows, "key long, id long")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    assert sorted(r.ids for r in found.collect()) == [[1, 2], [1, 2, 3]]
+
+
+def test_lines_whose_candidates_are_not_alike_are_still_compared(spark):
+    rng = random.Random(8)
+    for n in (30, 150):
+        # copies with edits all over, near to some of the others only
+        base = [f"w{i}" for i in range(n)]
+        lines = []
+        for _ in range(40):
+            line = list(base)
+            for i in rng.sample(range(n), rng.randrange(n // 10 + 1)):
+                line[i] = rng.choice([f"x{rng.randrange(9)}", base[i], f"y{rng.randrange(9)}"])
+            lines.append(line)
+        rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+        root = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if line_dedup.edits_within(lines[i], lines[j], max(len(lines[i]), len(lines[j])) // 10):
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+        want = {i for i, r in enumerate(root) if r != i}
+        got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+        assert {r.doc_id for r in got} == want
+
+
 def test_edits_against_brute_force():
     rng = random.Random(13)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +27,24 @@ BUCKETS = 1 << 18
 SIGNED_WORDS = 64
 #: Orders in which a line's least key is noted, to count a pair of lines at one of the keys that they share.
 KEY_MINIMA = 8
-_OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Text bytes handled at once, few enough for the caches of cores that all do so.
+CHUNK_BYTES = 1 << 17
+#: Counted buckets in one row.
+SLICE = 1 << 12
+#: Bytes of normalised lines: A-Z are lower-cased, other ASCII characters than letters and digits are spaces.
+_PLAIN = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
-def normalised(line: Column) -> Column:
-    """A-Z lower-cased; every run of other ASCII characters than letters and digits is one space."""
-    return F.trim(F.regexp_replace(T.ascii_lower(line), _OTHER, " "))
+def normalised(line: bytes) -> bytes:
+    """A-Z lower-cased; every run of other ASCII characters than letters and digits is one space, and none at the ends."""
+    return b" ".join(line.translate(_PLAIN).split())
 
 
 def _line_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each bounded chunk of texts: every line's row and number in its text, the bounds of its words, and the words' hashes."""
-    for row, end, data, offsets in T.chunks(column):
-        lower = T.lower_bytes(data)
-        keep = ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57)) | (lower >= 128)
-        plain = np.where(keep, lower, 32).astype(np.uint8)
+    table = np.frombuffer(_PLAIN, np.uint8)
+    for row, end, data, offsets in T.chunks(column, CHUNK_BYTES):
+        plain = table[data]
         breaks = np.flatnonzero(data == 10) + 1
         # a text's lines begin at its start and after each newline; an empty text has one line
         owner = np.searchsorted(offsets, breaks - 1, "right") - 1
@@ -66,11 +71,12 @@ def _line_ids(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def line_prints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, line, id, low_print, high_print, signs, n_words) of every line of (doc_id, text_hash, text) rows.
+    """Rows (doc_id, text_hash, line, id, low_print, high_print, signs, n_words, counted) of every line of (doc_id, text_hash, text) rows.
 
-    Each task ends with rows of line -1 that hold, as text_hash and id, a hash
-    bucket and how many of the task's words fell in it; ``word_levels`` adds
-    them up.
+    Each task ends with rows of line -1 that hold how many of the task's words
+    fell in each of SLICE hash buckets, as unsigned numbers of 32 bits in
+    ``counted`` (else null), and the slice as text_hash; ``word_levels`` adds them
+    up.  Each text has a row of line -2 with its number of lines as id.
 
     ``id`` is a 64-bit hash of the normalised line and ``line`` counts the text's
     lines from 0.  A print has 128 bits, each the parity of the number of words
@@ -80,14 +86,18 @@ def line_prints(docs: DataFrame) -> DataFrame:
     sign, below.
     """
 
-    names = ["doc_id", "text_hash", "line", "id", "low_print", "high_print", "signs", "n_words"]
+    names = ["doc_id", "text_hash", "line", "id", "low_print", "high_print", "signs", "n_words", "counted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ids_type = np.zeros(BUCKETS, np.int64), None
+        total, ids_type, fresh = np.zeros(BUCKETS, np.int64), None, []
         for batch in batches:
-            ids_type = batch.column(0).type
+            ids_type, n_lines = batch.column(0).type, np.zeros(batch.num_rows, np.int64)
             for owners, number, bounds, words in _line_words(batch.column(2)):
-                total += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                n_lines += np.bincount(owners, minlength=len(n_lines))
+                fresh.append((words & np.uint64(BUCKETS - 1)).astype(np.int32))
+                if sum(map(len, fresh)) > 4 * BUCKETS:
+                    total += np.bincount(np.concatenate(fresh), minlength=BUCKETS)
+                    fresh = []
                 counts = np.diff(bounds)
                 full = np.flatnonzero(counts)
                 prints = np.zeros((2, len(counts)), np.uint64)
@@ -103,26 +113,46 @@ def line_prints(docs: DataFrame) -> DataFrame:
                 take = pa.array(owners)
                 ids, low, high = (pa.array(x.view(np.int64)) for x in (_line_ids(words, bounds), prints[0], prints[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)), ids, low, high, signs, pa.array(counts.astype(np.int32))],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)), ids, low, high, signs, pa.array(counts.astype(np.int32)), pa.nulls(len(counts), pa.binary())],
                     names,
                 )
-        some = np.flatnonzero(total)
-        if len(some):
-            none, zero = pa.nulls(len(some), ids_type), pa.array(np.zeros(len(some), np.int64))
-            small = pa.array(np.zeros(len(some), np.int32))
+            zero, small = pa.array(np.zeros(len(n_lines), np.int64)), pa.array(np.zeros(len(n_lines), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [none, pa.array(some), pa.array(np.full(len(some), -1, np.int32)), pa.array(total[some]), zero, zero, pa.array([""] * len(some)), small], names
+                [batch.column(0), batch.column(1), pa.array(np.full(len(n_lines), -2, np.int32)), pa.array(n_lines), zero, zero]
+                + [pa.array([""] * len(n_lines)), small, pa.nulls(len(n_lines), pa.binary())],
+                names,
+            )
+        if fresh:
+            total += np.bincount(np.concatenate(fresh), minlength=BUCKETS)
+        while total.any():
+            part = np.minimum(total, (1 << 32) - 1)
+            total -= part
+            slices = [x.tobytes() for x in part.astype(np.uint32).reshape(-1, SLICE)]
+            zero, small = pa.array(np.zeros(len(slices), np.int64)), pa.array(np.zeros(len(slices), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(slices), ids_type), pa.array(np.arange(len(slices))), pa.array(np.full(len(slices), -1, np.int32)), zero, zero, zero]
+                + [pa.array([""] * len(slices)), small, pa.array(slices, pa.binary())],
+                names,
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, line int, id long, low_print long, high_print long, signs string, n_words int")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, line int, id long, low_print long, high_print long, signs string, n_words int, counted binary")
 
 
 def word_levels(prints: DataFrame) -> np.ndarray:
     """How frequent the words of each hash bucket are in all texts, on a logarithmic scale, from the rows of ``line_prints``."""
-    counted = prints.where("line < 0").groupBy(F.col("text_hash").alias("bucket")).agg(F.sum("id").alias("n")).toArrow()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[at] = totals.get(at, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["slice", "counted"])
+
+    counts = prints.where("line = -1").select(F.col("text_hash").alias("slice"), "counted").repartition("slice").mapInArrow(added, "slice long, counted binary").toArrow()
     levels = np.zeros(BUCKETS, np.int64)
-    levels[counted.column("bucket").to_numpy()] = (4 * np.log2(1 + counted.column("n").to_numpy())).astype(np.int64)
+    for at, counted in zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True):
+        levels[at * SLICE : (at + 1) * SLICE] = (4 * np.log2(1 + np.frombuffer(counted, np.int64))).astype(np.int64)
     return levels
 
 
@@ -157,37 +187,69 @@ def _by_line_and_level(line: np.ndarray, level: np.ndarray, pair: np.ndarray) ->
     return order
 
 
+def edits_allowed(longest: int, percent: int) -> np.ndarray:
+    """For each number of words up to ``longest``: the most edits to any line like it."""
+    return np.arange(longest + 1) * 100 // percent * (100 - percent) // 100
+
+
+def first_pairs(line: np.ndarray, order: np.ndarray, need: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Which pairs, in ``order``, are among the first of their line that its edits can't reach all of.
+
+    ``line`` has each pair's line, by place, and ``order`` sorts pairs by line
+    first.  An edit reaches two pairs at most, and those are neighbours.  Pairs
+    that come before both of their neighbours are no neighbours of each other,
+    so edits reach no more of them than there are edits.  A line's pairs are
+    taken until more than its ``edits`` such ones are, or ``need`` in all.
+    """
+    if not len(order):
+        return np.zeros(0, bool)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    edge = line[1:] != line[:-1]
+    rises = rank[1:] > rank[:-1]
+    lone = (np.r_[True, ~rises | edge] & np.r_[rises | edge, True])[order]
+    # lines keep their places in the order
+    first = np.flatnonzero(np.r_[True, edge])
+    length = np.diff(np.r_[first, len(order)])
+    before = np.cumsum(lone) - lone
+    before -= np.repeat(before[first], length)
+    place = np.arange(len(order)) - np.repeat(first, length)
+    return (place < need[line]) & (before <= edits[line])
+
+
 def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) -> DataFrame:
     """Rows (key, id) of the lines of ``fewest`` words or more of (text) rows; lines alike by ``percent`` share a key.
 
-    The keys are a line's rarest pairs of neighbouring words, as many as
-    ``pairs_needed`` says; a pair that stands there again is another pair.  Any
-    order of the pairs would lose nothing; ``word_levels`` keep groups small.
+    The keys are a line's first pairs of neighbouring words in a common order,
+    until the allowed edits can't reach all of them: as many as
+    ``pairs_needed`` says, or until more than the edits have no word in common
+    (``first_pairs``).  So one of them stands in each line as near, and of two
+    lines the one whose last key comes first has it among the other's keys
+    too.  A pair counts at all of its places and is one key.  Any order of the
+    pairs would lose nothing; the levels of rare words keep groups small, and as
+    the first word weighs more than the second, a rare word brings one of its
+    two pairs to the front, not both.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, need = shared.value, pairs_needed(256, percent)
+        levels, need, edits = shared.value, pairs_needed(256, percent), edits_allowed(256, percent)
         for batch in batches:
             for _, _, bounds, words in _line_words(batch.column(0)):
                 counts = np.diff(bounds)
                 if len(counts) and counts.max() >= len(need):
-                    need = pairs_needed(2 * int(counts.max()), percent)
+                    longest = 2 * int(counts.max())
+                    need, edits = pairs_needed(longest, percent), edits_allowed(longest, percent)
                 line = np.repeat(np.arange(len(counts)), counts)
                 at = np.flatnonzero((line[1:] == line[:-1]) & (counts[line[1:]] >= fewest))
                 line = line[at]
                 level = levels[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                level = level[at] + level[at + 1]
+                level = 4 * level[at] + level[at + 1]
                 pair = T.mix(words[at] * np.uint64(0x9E3779B97F4A7C15) + T.mix(words[at + 1]))
                 order = _by_line_and_level(line, level, pair)
+                taken = first_pairs(line, order, need[counts], edits[counts])
                 line, pair = line[order], pair[order]
-                same = np.r_[False, (pair[1:] == pair[:-1]) & (line[1:] == line[:-1])][: len(pair)]
-                if same.any():
-                    place = np.arange(len(pair))
-                    again = place - np.maximum.accumulate(np.where(same, 0, place))
-                    pair = np.where(same, T.mix(pair + again.astype(np.uint64)), pair)
-                begin = np.searchsorted(line, np.arange(len(counts)))
-                taken = np.arange(len(line)) - begin[line] < need[counts[line]]
+                taken &= np.r_[True, (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])][: len(pair)]
                 keys, ids = pair[taken], _line_ids(words, bounds)[line[taken]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64))], ["key", "id"])
 
@@ -195,17 +257,17 @@ def line_keys(docs: DataFrame, levels: np.ndarray, percent: int, fewest: int) ->
 
 
 def shared_blocks(keyed: DataFrame) -> DataFrame:
-    """Rows (key, id) of the keys that several ids have; keys that the same ids have become one.
+    """Rows (key, id, size) of the keys that several ids have; keys that the same ids have become one.
 
     A block's new key is a hash of its ids, so that lines which share many keys
-    meet once; should two sets have one hash, their blocks are joined and no
-    pair is lost.
+    meet once; ``size`` counts its ids.
     """
     block = Window.partitionBy("key")
     several = keyed.repartition("key").select("key", "id", F.min("id").over(block).alias("lo"), F.max("id").over(block).alias("hi")).where("lo < hi")
     # sums of 32 bits can't overflow
     parts = [F.sum(F.xxhash64(F.lit(i), "id").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).over(block) for i in (0, 1)]
-    return several.select("key", "id").distinct().select(F.xxhash64(*parts).alias("key"), "id").distinct()
+    several = several.select("key", "id").distinct().select("id", F.count("*").over(block).alias("size"), *parts).toDF("id", "size", "p", "q")
+    return several.select(F.xxhash64("size", "p", "q").alias("key"), "id", "size").distinct()
 
 
 def block_keys(print_: Column, blocks: int, radius: int) -> Column:
@@ -219,7 +281,7 @@ def block_keys(print_: Column, blocks: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def edits_within(a: list[str], b: list[str], most: int) -> bool:
+def edits_within(a: list, b: list, most: int) -> bool:
     """Whether at most ``most`` words need be put in, taken out or replaced to turn a into b.
 
     Walks diagonals by the farthest place that each number of edits reaches, so
@@ -238,7 +300,8 @@ def edits_within(a: list[str], b: list[str], most: int) -> bool:
     far = {0: -1}
     for e in range(most + 1):
         now = {}
-        for k in range(-min(e, n), min(e, m) + 1):
+        # no farther from the last diagonal than the edits left
+        for k in range(max(-min(e, n), goal - most + e), min(e, m, goal + most - e) + 1):
             if e == 0:
                 i = 0
             else:
@@ -257,26 +320,43 @@ def edits_within(a: list[str], b: list[str], most: int) -> bool:
 
 
 def word_signs(texts: DataFrame) -> DataFrame:
-    """Rows (id, signs) of (id, text) rows of normalised lines, however long: a character of 127 for each word."""
+    """Rows (id, signs) of (id, text) rows of normalised lines in UTF-8, however long: a character of 127 for each word."""
     sign = lambda word: F.char(F.pmod(F.xxhash64(word), F.lit(127)) + 1)
-    return texts.select("id", F.array_join(F.transform(F.split("text", " "), sign), "").alias("signs"))
+    return texts.select("id", F.array_join(F.transform(F.split(F.col("text").cast("string"), " "), sign), "").alias("signs"))
 
 
 def alike_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, s, t) whose texts have the edit similarity, as (a, b)."""
+    """The pairs (a, b, s, t) whose texts in UTF-8 have the edit similarity, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = s.split(" "), t.split(" ")
-                good.append(edits_within(x, y, max(len(x), len(y)) * (100 - percent) // 100))
+                x, y = s.split(b" "), t.split(b" ")
+                most = max(len(x), len(y)) * (100 - percent) // 100
+                good.append((len(x) == len(y) and sum(map(ne, x, y)) <= most) or edits_within(x, y, most))
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     return pairs.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def wanted_lines(texts: DataFrame) -> DataFrame:
+    """Rows (id, text in UTF-8) of the normalised lines whose ids and numbers (text, ids, lines) rows list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            texts = batch.column(0).cast(pa.large_binary())
+            for row in range(len(texts)):
+                lines = texts[row].as_py().split(b"\n")
+                ids += batch.column(1)[row].as_py()
+                found += [normalised(lines[i]) for i in batch.column(2)[row].as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "text"])
+
+    return texts.mapInArrow(run, "id long, text binary")
+
+
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -319,11 +399,12 @@ def repeated_lines(
     fewest = max(min_words, -(-100 // (100 - percent)) - 1) if percent < 100 else 1 << 30
     block = Window.partitionBy("key")
     keyed = stored(shared_blocks(line_keys(base.where("text IS NOT NULL"), word_levels(prints), percent, fewest)), "line_keys")
-    # a pair counts at the first least key that both lines have, and at every shared key only if they have none
-    least = keyed.groupBy("id").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"m{i}") for i in range(KEY_MINIMA)))
+    # blocks of two lines are compared as stars; in others, a pair counts at the first least key that both
+    # lines have, and at every shared key only if they have none
+    least = keyed.where("size > 2").groupBy("id").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"m{i}") for i in range(KEY_MINIMA)))
     least = least.select("id", F.array(*(f"m{i}" for i in range(KEY_MINIMA))).alias("least"))
     columns = ["id", "low_print", "high_print", "words"]
-    busy = stored(distinct.select(*columns, "signs", "n").join(least, "id"), "busy_lines")
+    busy = stored(distinct.select(*columns, "signs").join(least, "id"), "busy_lines")
 
     def near(x: str, y: str) -> Column:
         """Of lengths and words' parities that the similarity allows; among e edits of lines whose lengths differ by d are d that change one bit."""
@@ -341,17 +422,17 @@ def repeated_lines(
 
     one = F.struct(*columns)
     leads = [F.max_by(one, F.struct("n", "id")).over(block), F.min_by(one, "id").over(block)]
-    stars = keyed.join(busy, "id").select("key", *columns, F.array(*leads).alias("leads"))
+    stars = keyed.join(distinct.select(*columns, "n"), "id").select("key", *columns, F.array(*leads).alias("leads"))
     stars = stars.select(*columns, F.explode(F.array_distinct("leads")).alias("lead")).where((F.col("id") != F.col("lead.id")) & near("", "lead."))
     stars = stars.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
     stars = stored(stars, "line_stars")
 
     def across(groups: DataFrame, among: DataFrame | None = None, signs: DataFrame | None = None) -> DataFrame:
         """Near pairs that share a block but no group, from blocks that hold several groups (of those in ``among`` only, with the ``signs``, if given)."""
-        placed = keyed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+        placed = keyed.where("size > 2").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
         if among is not None:
             placed = placed.join(among, "g", "left_semi")
-        values = busy.drop("n") if signs is None else busy.drop("n", "signs").join(signs, "id")
+        values = busy if signs is None else busy.drop("signs").join(signs, "id")
         mixed = placed.select("*", F.min("g").over(block).alias("lo"), F.max("g").over(block).alias("hi")).where("lo < hi")
         placed = stored(mixed.select("key", "id", "g").join(values, "id"), "mixed_blocks")
         once = F.lit(True)
@@ -365,8 +446,7 @@ def repeated_lines(
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(distinct.select("id", "first"), "id")
     wanted = wanted.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("id", "first.line")).alias("wanted"))
     texts = wanted.hint("shuffle_hash").alias("w").join(base.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_hash") == F.col("t.text_hash")))
-    texts = texts.select(F.split("text", "\n").alias("lines"), "wanted").select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text")))).alias("w"))
-    texts = texts.select("w.id", normalised(F.col("w.text")).alias("text"))
+    texts = wanted_lines(texts.select("text", F.col("wanted.id").alias("ids"), F.col("wanted.line").alias("lines")))
     texts = stored(texts.dropDuplicates(["id"]), "line_texts")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
     alike = lambda pairs: alike_pairs(pairs.join(x, "a").join(y, "b"), percent)
@@ -388,8 +468,8 @@ def repeated_lines(
     kept = grouped.join(keeper.drop("n"), "group").select("id", "keeper")
     other = ~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("line") == F.col("keeper.line")) & (F.col("text_hash") == F.col("keeper.text_hash")))
     removed = lines.join(kept, "id").where(other).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    counts = base.select("doc_id", "text_hash", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("text").isNull().alias("none"))
-    counts = counts.withColumn("n_lines", F.when(F.col("none"), 0).otherwise(F.col("n_lines"))).drop("none").alias("c")
+    none = base.where("text IS NULL").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_lines"))
+    counts = prints.where("line = -2").select("doc_id", "text_hash", F.col("id").alias("n_lines")).union(none).alias("c")
     found = counts.join(removed.alias("r"), F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("c.text_hash") == F.col("r.text_hash")), "left")
     removed_ = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select("c.doc_id", "c.text_hash", "n_lines", F.size(removed_).cast("long").alias("n_removed"), removed_.alias("removed"))

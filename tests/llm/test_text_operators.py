@@ -520,6 +520,39 @@ def test_lines_whose_candidates_are_not_alike_are_still_compared(spark):
         assert {r.doc_id for r in got} == want
 
 
+def test_first_pairs_are_few_and_outlast_the_edits():
+    rng = np.random.default_rng(6)
+    least = 0
+    for _ in range(200):
+        counts = rng.integers(2, 40, 4)
+        line = np.repeat(np.arange(4), counts - 1)
+        order = np.lexsort((rng.random(len(line)), line))
+        need, edits = line_dedup.pairs_needed(50, 80)[counts], line_dedup.edits_allowed(50, 80)[counts]
+        place = np.arange(len(line)) - np.searchsorted(line, line)
+        taken = line_dedup.first_pairs(line, order, need, edits)
+        for n in range(4):
+            places = sorted(place[order][taken & (line == n)].tolist())
+            # edits that reach all of the places, each a place and the next: as few as that takes
+            hits, last = 0, -2
+            for x in places:
+                if x > last + 1 or last < 0:
+                    hits, last = hits + 1, x
+                else:
+                    last = -2
+            assert hits > edits[n] or len(places) >= min(need[n], counts[n] - 1)
+            least += need[n] > len(places)
+    assert least > 100
+
+
+def test_blocks_count_their_lines_and_texts_theirs(spark):
+    rows = [(k, i) for k in range(5) for i in (1, 2, 2)] + [(9, i) for i in (1, 2, 3, 3)] + [(10, 4), (10, 4)]
+    found = line_dedup.shared_blocks(spark.createDataFrame(rows, "key long, id long"))
+    assert sorted((r.id, r.size) for r in found.collect()) == [(1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+    docs = spark.createDataFrame([(1, 5, "a\n\nb\n"), (2, 6, ""), (2, 6, "")], "doc_id long, text_hash long, text string")
+    lines = line_dedup.line_prints(docs).where("line = -2").collect()
+    assert sorted((r.doc_id, r.text_hash, r.id) for r in lines) == [(1, 5, 4), (2, 6, 1), (2, 6, 1)]
+
+
 def test_edits_against_brute_force():
     rng = random.Random(13)
 

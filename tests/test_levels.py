@@ -61,3 +61,15 @@ def test_the_default_scope_meets_many_points(spark):
     at = (F.col("id") * 1249) % 240_000_000
     points = spark.range(100_000).select(F.lit("a").alias("chrom1"), at.alias("start1"), (at + 1).alias("end1"), F.lit("b").alias("chrom2"), (239_999_999 - at).alias("start2"), (240_000_000 - at).alias("end2"))
     assert two_d.rectangle_join(two_d.all_pairs(chroms), points).count() == 100_000
+
+
+def test_short_rows_meet_in_small_bins(spark):
+    """Dense short rows share a bin with few others that they don't overlap, on one axis and on two."""
+    n = 20_000
+    spans = spark.range(n).select(F.lit("a").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"))
+    rects = spans.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("end").alias("end1"), F.col("chrom").alias("chrom2"), F.lit(0).cast("long").alias("start2"), F.lit(9).cast("long").alias("end2"))
+    assert ranges.overlap_join(spans, spans).count() == two_d.rectangle_join(rects, rects).count() == 9 * n - 20
+    width = lambda length, bin_width: spark.range(1).select(ranges.level_width(ranges.level_of(F.lit(length), bin_width), bin_width).alias("w")).first().w
+    assert width(5, ranges.BIN) <= 256 and width(5, two_d.CELL) <= 64
+    for length in (10**3, 10**4, 10**5, 10**6):
+        assert width(length, ranges.BIN) <= ranges.STEP * length
